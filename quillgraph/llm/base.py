@@ -68,3 +68,10 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(n - 1).bit_length()) if n > 1 else 1
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

@@ -12,9 +12,11 @@
 4. Exactness: two linked documents share a shingle of their prefixes (the first n - ceil(0.75 n)
    + 1 in the global rarest-first order). Prefix shingles whose documents already lie in one
    component are settled. The others are dealt into tiles by size band: documents of one band
-   and the band below, in blocks of at most ``TILE`` documents a side. In a tile, bit counts of
-   hashed bitmaps bound each overlap from above; pairs that pass are intersected exactly, and
-   documents that a tile has already joined aren't compared again.
+   and the band below. In a tile, bit counts of hashed bitmaps bound each overlap from above.
+   Tiles of at most ``SMALL`` documents hold bitmaps only; pairs that pass are met with their
+   sorted arrays once, however many tiles they share, and intersected exactly. Larger groups are
+   dealt into tiles of about ``TILE`` documents a side that hold the arrays too, and documents
+   that a tile has already joined aren't compared again.
 
 Null or empty texts have no shingles and link with nothing; a null doc_id is never linked and
 has a null component. Rows with an equal doc_id are one node. Fewer words than a shingle has
@@ -39,10 +41,10 @@ from .components import components
 
 WIDTH, PERCENT = 5, 75
 BUCKET_BYTES = 2 << 20  # of text by bucket of the hash space
-BLOCK_DOCS, BLOCK_ENTRIES = 16_384, 3_000_000
+BLOCK_DOCS, BLOCK_ENTRIES = 16_384, 1_500_000
 HOT = 64  # occurrences in a block from which a shingle is sent as a count
 SEEDS = (0x51ED270B, 0x2545F491, 0x9E3779B9, 0x7F4A7C15)
-TILE = 1024
+TILE, SMALL = 1024, 64
 
 PACKED = "bucket long, block long, kind int, a binary, b binary, c binary, d binary"
 ENTRIES, COUNTS, SELF = 0, 1, 2
@@ -93,8 +95,9 @@ def sender(bits: int, width: int):
         times = np.diff(np.append(first, len(h)))
         hot = np.repeat(times >= HOT, times)
         rows = [(block % (1 << bits), block, SELF, n_ids.astype("<i8").tobytes(), np.concatenate(sizes).astype("<i8").tobytes(), h[hot].tobytes(), doc[hot].tobytes())]
-        for bucket, s in by_bucket(h[~hot], bits):
-            rows.append((bucket, block, ENTRIES, pack48(h[~hot][s]), doc[~hot][s].tobytes(), None, None))
+        light, of = h[~hot], doc[~hot]
+        for bucket, s in by_bucket(light, bits):
+            rows.append((bucket, block, ENTRIES, pack48(light[s]), of[s].tobytes(), None, None))
         heavy, many = h[first][times >= HOT], times[times >= HOT]
         for bucket, s in by_bucket(heavy, bits):
             rows.append((bucket, block, COUNTS, pack48(heavy[s]), many[s].astype("<u4").tobytes(), None, None))
@@ -163,8 +166,8 @@ def answer(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(out, PACKED_SCHEMA)])
 
 
-SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("hashes", pa.list_(pa.int64())), ("prefix", pa.int32()), ("keys", pa.list_(pa.int64()))])
-SETS = "doc_id long, n long, class binary, hashes array<long>, prefix int, keys array<long>"
+SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("hashes", pa.list_(pa.int64())), ("prefix", pa.int32()), ("keys", pa.list_(pa.int64())), ("map", pa.binary())])
+SETS = "doc_id long, n long, class binary, hashes array<long>, prefix int, keys array<long>, map binary"
 
 
 def gatherer(bits: int, percent: int):
@@ -211,20 +214,25 @@ def gatherer(bits: int, percent: int):
             same = hashlib.blake2b(np.sort(h[s]).tobytes(), digest_size=16).digest() if u >= n else None
             prefix = n - (percent * n + 99) // 100 + 1 - (n - u)
             keys = [int(((m[s].min() >> np.uint64(2)) << np.uint64(2) | np.uint64(j)).view(np.int64)) for j, m in enumerate(minima)]
-            out.append((int(ids[i]), n, same, signed[s], max(prefix, 1), keys))
-        out += [(int(ids[i]), int(sizes[i]), None, None, None, None) for i in np.flatnonzero(~may)]
+            out.append((int(ids[i]), n, same, signed[s], max(prefix, 1), keys, bitmap(h[s], n).tobytes()))
+        out += [(int(ids[i]), int(sizes[i]), None, None, None, None, None) for i in np.flatnonzero(~may)]
         return pa.Table.from_batches([batch_of(out, SET_SCHEMA)])
 
     return gather
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """One row of 64-bit words for each set: bit h mod bits is set for each hash."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        at = np.unique(s & np.uint64(bits - 1))
-        np.bitwise_or.at(out[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+def bitmap(hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit words in which bit h mod bits is set for each hash; twice as many bits as shingles, as a power of two."""
+    bits = power_of_two(max(256, 2 * n))
+    flags = np.zeros(bits, bool)
+    flags[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def aligned(maps: list[np.ndarray]) -> np.ndarray:
+    """One row for each bitmap, folded to the shortest."""
+    width = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
 
 
 def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
@@ -245,22 +253,21 @@ def possible(n: np.ndarray, ones: np.ndarray, maps: np.ndarray, i: int, others:
     return others[100 * bound >= percent * (n[i] + n[others] - bound)]
 
 
-def tile_links(n: np.ndarray, sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the tile's documents as far as they are linked; ``group``: components known before.
+def tile_pairs(n: np.ndarray, maps: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sides 0 and 1 that are in different groups (components known before).
 
-    Compared are pairs of sides 0 and 1, and pairs within side 0 if there is no side 1.
+    With ``sets``: links that join the tile's documents as far as they are linked. Without: the
+    pairs that sizes and bit counts leave possible.
     """
-    bits = power_of_two(max(256, 2 * int(n.max())))
-    maps = bitmaps(sets, bits)
     ones = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
     _, group = np.unique(group, return_inverse=True)
     group = group.copy()
-    cross = bool(side.any())
     out = []
     for i in np.flatnonzero(side == 0):
-        rest = np.flatnonzero((group != group[i]) & ((side == 1) if cross else (np.arange(len(n)) > i)))
-        for j in possible(n, ones, maps, i, rest, percent):
-            if group[j] != group[i] and linked(sets[i], n[i], sets[j], n[j], percent):
+        for j in possible(n, ones, maps, i, np.flatnonzero((group != group[i]) & (side == 1)), percent):
+            if sets is None:
+                out.append((i, j))
+            elif group[j] != group[i] and linked(sets[i], n[i], sets[j], n[j], percent):
                 out.append((i, j))
                 group[group == group[j]] = group[i]
     return out
@@ -275,23 +282,24 @@ def verifier(percent: int):
             keep = []
             for i in range(batch.num_rows):
                 a, b = (np.sort(batch.column(c)[i].values.to_numpy().view(np.uint64)) for c in (4, 5))
-                n, ones_maps = np.array([n_u[i], n_v[i]]), bitmaps([a, b], power_of_two(max(256, 2 * int(max(n_u[i], n_v[i])))))
-                ones = np.bitwise_count(ones_maps).sum(axis=1).astype(np.int64)
-                if len(possible(n, ones, ones_maps, 0, np.array([1]), percent)) and linked(a, n_u[i], b, n_v[i], percent):
+                n, maps = np.array([n_u[i], n_v[i]]), aligned([bitmap(a, n_u[i]), bitmap(b, n_v[i])])
+                ones = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+                if len(possible(n, ones, maps, 0, np.array([1]), percent)) and linked(a, n_u[i], b, n_v[i], percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
     return verify
 
 
-def tiler(percent: int):
+def tiler(percent: int, exact: bool):
     def tile(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("doc_id")
         ids, n, group, side = (rows[c].to_numpy() for c in ("doc_id", "n", "root", "side"))
         out = []
         if len(ids) > 1:
-            sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in rows["hashes"]]
-            out = tile_links(n, sets, group, side, percent)
+            maps = aligned([np.frombuffer(x.as_py(), np.uint64) for x in rows["map"]])
+            sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in rows["hashes"]] if exact else None
+            out = tile_pairs(n, maps, group, side, sets, percent)
         u, v = ([int(ids[p[k]]) for p in out] for k in (0, 1))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -316,21 +324,38 @@ def band_of(n) -> F.Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT + 1e-9))).cast("int")
 
 
-def _tiles(open_rows: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links within the groups of (key, doc_id); groups have documents of several components."""
+def _tiles(open_rows: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of (key, doc_id) with several components: pairs that small tiles leave possible; links of large ones."""
     rows = open_rows.join(reps.select("doc_id", "n"), "doc_id").withColumn("band", band_of(F.col("n")))
     roles = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("low")), F.struct((F.col("band") + 1).alias("band"), F.lit(1).alias("low")))).alias("t")
     placed = rows.select("key", "doc_id", roles).select("key", "doc_id", "t.band", "t.low")
     sizes = placed.groupBy("key", "band").agg(F.sum(1 - F.col("low")).alias("upper"), F.count("*").alias("members")).where("upper > 0 and members > 1")
-    sizes = sizes.withColumn("s", F.ceil(F.col("members") / TILE).cast("int"))
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.col("s")).cast("int")
-    dealt = placed.join(sizes, ["key", "band"]).withColumn("mine", block)
-    # block x of the uppers meets every block of uppers and lowers: side 0 of its own row of tiles, side 1 of others' columns
-    as_0 = dealt.where("low = 0").select("key", "band", "doc_id", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), F.col("mine").alias("i"), F.lit(0).alias("side"))
-    as_1 = dealt.select("key", "band", "doc_id", F.col("mine").alias("j"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.lit(1).alias("side"))
-    tiles = as_0.unionByName(as_1)
-    full = tiles.join(reps.select("doc_id", "n", "hashes"), "doc_id").join(roots, "doc_id")
-    return full.groupBy("key", "band", "i", "j").applyInArrow(tiler(percent), "u long, v long")
+    blocks = F.when(F.col("members") <= SMALL, 0).otherwise(F.ceil(F.col("members") / TILE)).cast("int")
+    dealt = placed.join(sizes.withColumn("s", blocks), ["key", "band"])
+    small = dealt.where("s = 0")
+    # every member meets the uppers: both sides of a small tile are one row each
+    side_0 = small.where("low = 0").select("key", "band", "doc_id", F.lit(0).alias("side"))
+    side_1 = small.select("key", "band", "doc_id", F.lit(1).alias("side"))
+    light = side_0.unionByName(side_1).join(reps.select("doc_id", "n", "map"), "doc_id").join(roots, "doc_id")
+    pairs = light.groupBy("key", "band").applyInArrow(tiler(percent, exact=False), "u long, v long")
+    # block i of the uppers meets every block j of the members
+    large = dealt.where("s > 0").withColumn("mine", F.pmod(F.xxhash64("doc_id", "key"), F.col("s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    side_0 = large.where("low = 0").select("key", "band", "doc_id", F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    side_1 = large.select("key", "band", "doc_id", every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"))
+    full = side_0.unionByName(side_1).join(reps.select("doc_id", "n", "map", "hashes"), "doc_id").join(roots, "doc_id")
+    links = full.groupBy("key", "band", "i", "j").applyInArrow(tiler(percent, exact=True), "u long, v long")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), links
+
+
+def _compared(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that are linked; sizes are met before sets."""
+    left = reps.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("s_u"))
+    right = reps.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("s_v"))
+    near = F.least("n_u", "n_v") * 100 >= percent * F.greatest("n_u", "n_v")
+    sized = pairs.join(left.drop("s_u"), "u").join(right.drop("s_v"), "v").where(near).select("u", "v")
+    met = sized.join(left, "u").join(right, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+    return met.mapInArrow(verifier(percent), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -338,19 +363,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     sets, _ = shingle_table(docs, width, percent)
     alive = sets.where("hashes is not null")
-    shared = alive.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "hashes", "prefix", "keys")).alias("r"))
-    reps, reps_path = written(shared.select("r.*").unionByName(alive.where("class is null").select("doc_id", "n", "hashes", "prefix", "keys")), "reps")
+    shared = alive.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "hashes", "prefix", "keys", "map")).alias("r"))
+    reps, reps_path = written(shared.select("r.*").unionByName(alive.where("class is null").select("doc_id", "n", "hashes", "prefix", "keys", "map")), "reps")
     release_shuffles(spark)
 
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("m")).where("m > 1")
     stars = keys.join(leaders.select("key", "v"), "key").where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
-    left = reps.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("s_u"))
-    right = reps.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("s_v"))
-    near = (F.least("n_u", "n_v") * 100 >= percent * F.greatest("n_u", "n_v"))
-    pairs = stars.join(left.drop("s_u"), "u").join(right.drop("s_v"), "v").where(near).select("u", "v")
-    compared = pairs.join(left, "u").join(right, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-    links, links_path = written(compared.mapInArrow(verifier(percent), "u long, v long"), "links")
+    links, links_path = written(_compared(stars, reps, percent), "links")
     first, _ = components(links)
     release_shuffles(spark)
     roots = reps.select("doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -360,9 +380,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # shingles with the same documents need one tile only
     once = unsettled.groupBy("who", "m").agg(F.min("key").alias("key"))
     open_rows, open_path = written(prefixes.select("key", "doc_id").join(once.select("key"), "key"), "open")
-    more, more_path = written(_tiles(open_rows, reps, roots, percent), "links")
-    final, _ = components(links.unionByName(more))
-    delete(spark, open_path)
+    pairs, large = _tiles(open_rows, reps, roots, percent)
+    possible_pairs, pairs_path = written(pairs, "pairs")
+    release_shuffles(spark)
+    more, more_path = written(_compared(possible_pairs, reps, percent), "links")
+    most, most_path = written(large, "links")
+    final, _ = components(links.unionByName(more).unionByName(most))
+    delete(spark, open_path, pairs_path, links_path, more_path, most_path, reps_path)
     release_shuffles(spark)
 
     classes = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))

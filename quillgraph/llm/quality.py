@@ -18,11 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import delete, written
+from .base import fresh, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 KIND = pa.struct([(c, pa.int64()) for c in COUNTS])
@@ -171,12 +171,6 @@ def judged(counted: DataFrame, f: str, limits: DataFrame, lang: str, source: str
     return joined.withColumn(out, ok).select(*[F.col(f"`{c}`") for c in counted.columns], out)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with their columns as they are.
 
