@@ -59,6 +59,20 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers by bytes: by rows alone, long texts would make them large.
+
+    A session's own smaller setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(key, "2147483647").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column; sizes buckets in proportion to the data. One narrow scan."""
     from pyspark.sql import functions as F

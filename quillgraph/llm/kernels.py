@@ -55,7 +55,7 @@ def _power(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
     up, down = _power(lane, len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     values = buf.astype(np.uint64)
@@ -112,7 +112,7 @@ def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
-def _pieces(buf: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(buf: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
     """A long document in parts of about GROUP bytes that end between words."""
     at = 0
     while at < len(buf):
@@ -130,13 +130,13 @@ def _pieces(buf: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = False, lanes: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words per document of a group, and a hash of each word by lane."""
     if len(offsets) == 2 and len(buf) > 4 * GROUP:
-        parts = [word_hashes(x, np.array([0, len(x)]), word, lower, lanes) for x in _pieces(buf, word)]
+        parts = [word_hashes(x, np.array([0, len(x)]), word, lower, lanes) for x in pieces(buf, word)]
         return sum(p[0] for p in parts), [np.concatenate([p[1][k] for p in parts]) for k in range(lanes)]
     if lower:
         buf = LOWER[buf]
     starts, ends = spans(buf, offsets, word)
     counts = np.diff(np.searchsorted(starts, offsets))
-    return counts, [_hash_spans(buf, starts, ends, k) for k in range(lanes)]
+    return counts, [hash_spans(buf, starts, ends, k) for k in range(lanes)]
 
 
 def window_hashes(hashes: np.ndarray, width: int, lane: int = 0) -> np.ndarray:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .base import bounded_batches
 from .tokens import default_path, encoder
 
 MAX_LENGTH, END_ID = 4096, 2
@@ -51,8 +52,7 @@ def packer(path: str, most: int, end_id: int, with_ids: bool):
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for i, _, buf, offsets in K.groups(batch.column(1)):
-                whole = buf.tobytes()
-                ids, sizes = enc.encode([whole[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+                ids, sizes = enc.encode_group(buf, offsets)
                 ends = np.cumsum(sizes)
                 rows: list[list] = [[] for _ in schema]
                 for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
@@ -75,6 +75,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_LEN
     """A row for each sequence; ``ids`` array<int> unless only the digests are wanted."""
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
+    bounded_batches(docs.sparkSession)
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(packer(path or default_path(), most, end_id, with_ids), ddl)

@@ -2,20 +2,23 @@
 
 The word tokenizer's normaliser and splitter never look across ASCII white space, so a text's
 ids are those of its words, one after the other. Each distinct word of a worker is encoded by
-the tokenizers library once and looked up afterwards; tests hold this against whole texts.
+the tokenizers library once and found by its 64-bit hash afterwards; tests hold this against
+whole texts.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from . import kernels as K
+
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
-PIECE = 1 << 20
+SLOTS = 1 << 21
+CACHE_WORDS = 700_000
+AT_ONCE = 2048
 
 
 def default_path(name: str = TOKENIZER) -> str:
@@ -24,92 +27,156 @@ def default_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class WordTable:
+    """64-bit hashes to numbers 0, 1, ... by open addressing, for whole arrays."""
+
+    def __init__(self):
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.values = np.zeros(SLOTS, np.int32)
+        self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes; -1 for those that aren't there."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = None
+        while True:
+            have = self.keys[slot]
+            want = hashes if left is None else hashes[left]
+            hit = have == want
+            if left is None:
+                out[hit] = self.values[slot[hit]]
+                left = np.flatnonzero(~hit & (have != 0))
+                slot = slot[left]
+            else:
+                out[left[hit]] = self.values[slot[hit]]
+                on = ~hit & (have != 0)
+                left, slot = left[on], slot[on]
+            if not len(left):
+                return out
+            slot = (slot + 1) & (SLOTS - 1)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """New, distinct hashes get the next numbers in order."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]
+            own = self.keys[slot] == hashes[left]
+            self.values[slot[own]] = self.used + left[own]
+            left, slot = left[~own], (slot[~own] + 1) & (SLOTS - 1)
+        self.used += len(hashes)
+
+
 class WordEncoder:
-    """Ids of texts; ``word_split`` is False for tokenizers whose words depend on each other."""
+    """Ids of texts. Tokenizers whose words depend on their neighbours get whole texts instead."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         steps = (kind.get("normalizer") or {}).get("normalizers") or []
-        self.word_split = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps) and "\\s" in json.dumps(kind.get("pre_tokenizer")) and not kind.get("post_processor")
+        kinds = [s.get("type") for s in steps]
+        squeezed = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps)
+        self.by_word = squeezed and "\\s" in json.dumps(kind.get("pre_tokenizer")) and not kind.get("post_processor")
+        self.lower = "Lowercase" in kinds
+        # words of ASCII letters are one piece each, which nothing normalises further
+        self.letters = self.by_word and self.lower and "\\p{L}]+" in json.dumps(kind["pre_tokenizer"]).replace("\\\\", "\\")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 15, np.int64)
-        self.length = np.zeros(1 << 15, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids = coded.ids
-                k = len(self.known)
-                if k == len(self.begin):
-                    self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begin[k], self.length[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = k
-
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and the number of ids of each."""
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.table = WordTable()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        k = self.table.used
+        if k + len(sizes) > len(self.begin):
+            self.begin, self.length = (np.concatenate((x, np.zeros(len(sizes), np.int64))) for x in (self.begin, self.length))
+        self.length[k : k + len(sizes)] = sizes
+        self.begin[k : k + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.table.add(hashes)
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Encodes new words: plain ones by the model, others many as one text, where ids go to words by their offsets."""
+        plain = np.array([w.isalpha() and w.islower() for w in words], bool) if self.letters else np.zeros(len(words), bool)
+        model = self.tokenizer.model
+        coded = [[t.id for t in model.tokenize(words[i].decode())] for i in np.flatnonzero(plain)]
+        self._keep(np.array([i for c in coded for i in c], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)), hashes[plain])
+        rest = np.flatnonzero(~plain)
+        for at in range(0, len(rest), AT_ONCE):
+            own = rest[at : at + AT_ONCE]
+            part = [words[i].decode("utf-8", "replace") for i in own]
+            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            owner = np.searchsorted(ends, np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids)), "right")
+            self._keep(np.array(whole.ids, np.uint32), np.bincount(owner, minlength=len(part)), hashes[own])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after the other, and where each word's end."""
         lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(self.begin[at] - (ends - lengths), lengths)
-        return self.flat[source], lengths
-
-    def _long(self, text: bytes) -> Iterator[bytes]:
-        at = 0
-        while at < len(text):
-            end = at + PIECE
-            if end < len(text):
-                gaps = [g for g in (text.find(c, end) for c in (b" ", b"\n", b"\t")) if g >= 0]
-                end = min(gaps) if gaps else len(text)
-            yield text[at:end]
-            at = end
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the number of ids of each."""
-        if not self.word_split:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.array(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
-        flats, sizes = [], np.zeros(len(texts), np.int64)
-        words: list[bytes] = []
-        counts: list[int] = []
-        owners: list[int] = []
-
-        def flush() -> None:
-            if words:
-                flat, lengths = self._words(words)
-                flats.append(flat)
-                np.add.at(sizes, np.repeat(np.array(owners), counts), lengths)
-            words.clear()
-            counts.clear()
-            owners.clear()
-
-        for i, text in enumerate(texts):
-            for part in [text] if len(text) <= PIECE else self._long(text):
-                own = part.split()
-                words += own
-                counts.append(len(own))
-                owners.append(i)
-                if len(words) > 200_000:
-                    flush()
-        flush()
-        return np.concatenate(flats) if flats else np.zeros(0, np.uint32), sizes
+        until = np.cumsum(lengths)
+        source = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.begin[at] - (until - lengths), lengths)
+        return self.flat[source], until
+
+    def _add(self, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Learns distinct words. One that ends in a stop or comma after an ASCII letter is put together of two."""
+        last = buf[ends - 1]
+        before = buf[np.maximum(ends - 2, 0)]
+        tail = (ends - starts > 1) & ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122) & self.letters
+        marks = np.frombuffer(b",.", np.uint8)
+        mark_hash = np.maximum(K.hash_spans(marks, np.array([0, 1]), np.array([1, 2]), 0), np.uint64(1))
+        stem_hash = np.maximum(K.hash_spans(buf, starts[tail], ends[tail] - 1, 0), np.uint64(1))
+        every = np.concatenate((hashes[~tail], stem_hash, mark_hash))
+        begin = np.concatenate((starts[~tail], starts[tail], [0, 0]))
+        end = np.concatenate((ends[~tail], ends[tail] - 1, [0, 0]))
+        distinct, first = np.unique(every, return_index=True)
+        new = self.table.find(distinct) < 0
+        distinct, first = distinct[new], first[new]
+        marked = {len(every) - 2: b",", len(every) - 1: b"."}
+        self._learn([marked.get(i) or raw[a:b] for i, a, b in zip(first.tolist(), begin[first].tolist(), end[first].tolist())], distinct)
+        if len(stem_hash):
+            two = np.stack((self.table.find(stem_hash), self.table.find(mark_hash[(last[tail] == 46).astype(np.int64)])), axis=1).ravel()
+            ids, until = self._gathered(two)
+            self._keep(ids, np.diff(until[1::2], prepend=0), hashes[tail])
+
+    def _group(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        if self.lower and b"<|" not in raw:  # special tokens are found before the normaliser lower-cases
+            buf = K.LOWER[buf]
+            raw = buf.tobytes()
+        starts, ends = K.spans(buf, offsets, K.SPACED)
+        hashes = np.maximum(K.hash_spans(buf, starts, ends, 0), np.uint64(1))
+        at = self.table.find(hashes)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            if self.table.used + 2 * len(fresh) + 2 > CACHE_WORDS:  # with their stems
+                self._clear()
+                missing = np.arange(len(hashes))
+                fresh, first = np.unique(hashes, return_index=True)
+            first = missing[first]
+            self._add(buf, raw, starts[first], ends[first], fresh)
+            at = self.table.find(hashes)
+        ids, until = self._gathered(at)
+        cuts = np.concatenate(([0], until))[np.searchsorted(starts, offsets)]
+        return ids, np.diff(cuts)
+
+    def encode_group(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a group of texts (see ``kernels.groups``), and the number of ids of each."""
+        if not self.by_word:
+            raw = buf.tobytes()
+            coded = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)
+            return np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in coded)]), np.array([len(x.ids) for x in coded], np.int64)
+        if len(offsets) == 2 and len(buf) > 2 * K.GROUP:
+            parts = [self._group(p, np.array([0, len(p)]))[0] for p in K.pieces(buf, K.SPACED)]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self._group(buf, offsets)
 
 
 _encoders: dict[str, WordEncoder] = {}
