@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import fresh
+from .base import bounded_batches, fresh
 
 WINDOW, SHARE = 13, 20
 SHARD_BYTES = 8 << 20
@@ -128,6 +128,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text",
     With several shards, hits of different shards are merged as spans over the original text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shards = benchmark_shards(benchmark, item, "text")
     columns = []
     for rows in shards:

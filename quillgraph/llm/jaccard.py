@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import delete, power_of_two, release_shuffles, text_bytes, written
+from .base import bounded_batches, delete, power_of_two, release_shuffles, text_bytes, written
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -163,6 +163,7 @@ def answer(key: tuple, rows: pa.Table) -> pa.Table:
             if keep.any():
                 refs = np.frombuffer(b[i], np.uint16)[keep].tobytes() if kinds[i] == ENTRIES else None
                 out.append((0, blocks[i], kinds[i], (v[keep] | top).tobytes(), refs, rank_of(mine[keep]).tobytes(), None))
+    K.settle()
     return pa.Table.from_batches([batch_of(out, PACKED_SCHEMA)])
 
 
@@ -216,6 +217,7 @@ def gatherer(bits: int, percent: int):
             keys = [int(((m[s].min() >> np.uint64(2)) << np.uint64(2) | np.uint64(j)).view(np.int64)) for j, m in enumerate(minima)]
             out.append((int(ids[i]), n, same, signed[s], max(prefix, 1), keys, bitmap(h[s], n).tobytes()))
         out += [(int(ids[i]), int(sizes[i]), None, None, None, None, None) for i in np.flatnonzero(~may)]
+        K.settle()
         return pa.Table.from_batches([batch_of(out, SET_SCHEMA)])
 
     return gather
@@ -361,6 +363,7 @@ def _compared(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     sets, _ = shingle_table(docs, width, percent)
     alive = sets.where("hashes is not null")
     shared = alive.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "hashes", "prefix", "keys", "map")).alias("r"))
@@ -403,4 +406,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PER
     """The documents that are the smallest of their component, with their columns as they are."""
     found = jaccard_components(docs.select("doc_id", "text"), width, percent)
     gone, _ = written(found.where("component_id != doc_id").select("doc_id").distinct(), "gone")
+    release_shuffles(docs.sparkSession)
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,13 +8,15 @@ is hashed piece by piece.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-GROUP = 1 << 20
+GROUP = 1 << 19
 LONG_WORD = 256
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -101,6 +103,20 @@ def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def settle() -> None:
+    """Gives freed memory back to the system: workers live long, and large arrays come and go."""
+    pa.default_memory_pool().release_unused()
+    try:
+        _libc().malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL("libc.so.6")
+
+
 def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets from 0) of consecutive rows that have about GROUP bytes together."""
     data, offsets = text_parts(column)
@@ -110,6 +126,7 @@ def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    settle()
 
 
 def pieces(buf: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import fresh, written
+from .base import bounded_batches, fresh, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 KIND = pa.struct([(c, pa.int64()) for c in COUNTS])
@@ -177,6 +177,7 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     Texts are counted twice, once for the sketches and once beside the verdict: that costs less
     than to shuffle or store whole texts between the two.
     """
+    bounded_batches(docs.sparkSession)
     f = fresh(docs, "__counts")
     v = fresh(docs, "__kept")
     counted = docs.withColumn(f, features(F.col(text)))
@@ -186,6 +187,7 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed and kept of each document. Counts are written once: they are narrow."""
+    bounded_batches(docs.sparkSession)
     counted, _ = written(docs.select("doc_id", "lang", "source", features(F.col("text")).alias("f")), "counts")
     limits, _ = written(fences(sketch(counted, "f")), "fences")
     out = judged(counted, "f", limits, "lang", "source", "kept")

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import delete, fresh, power_of_two, release_shuffles, text_bytes, written
+from .base import bounded_batches, delete, fresh, power_of_two, release_shuffles, text_bytes, written
 from .jaccard import PACKED, PACKED_SCHEMA, batch_of, by_bucket
 
 WIDTH = 13
 BATCHES, FANOUT = 3, 2
 BUCKET_BYTES = 4 << 20
-BLOCK_ENTRIES = 3_000_000
+BLOCK_ENTRIES = 1_500_000
 BROADCAST_BYTES = 32 << 20
 
 RUN, ENTRIES, SELF, HITS = 1, 0, 2, 3
@@ -105,6 +105,7 @@ def sender(bits: int, width: int, batch_no: int):
                 if n and n + len(start) > BLOCK_ENTRIES:
                     yield from flush(batch_no << 48 | part << 24 | k, *held)
                     held, n, k = ([], [], [], [], []), 0, k + 1
+                    K.settle()
                 for column, values in zip(held, own):
                     column.append(values)
                 n += len(start)
@@ -144,6 +145,7 @@ def merge_join(bucket: int, rows: pa.Table, runs: list[np.ndarray]) -> pa.Table:
             if mine.any():
                 out.append((bucket, blocks[i], HITS, pack_sorted(np.sort(unpack_planes(d[i])[mine])), None, None, None))
         out.append((bucket, 0, RUN, pack_sorted(distinct[~old]), None, None, None))
+    K.settle()
     return pa.Table.from_batches([batch_of(out, PACKED_SCHEMA)])
 
 
@@ -248,6 +250,7 @@ def tag_of(text) -> F.Column:
 def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, tag, starts, ends): for documents with repeated windows, spans of words to remove. A written table."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     bits = power_of_two(text_bytes(docs, text) / BUCKET_BYTES).bit_length() - 1
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col(text)).alias("tag"), F.col(text).alias("text"))
     inner = [k / batches for k in range(1, batches)]

@@ -74,15 +74,15 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        steps = (kind.get("normalizer") or {}).get("normalizers") or []
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        normalizer, splitter = state(self.tokenizer.normalizer) or {}, json.dumps(state(self.tokenizer.pre_tokenizer))
+        steps = normalizer.get("normalizers") or []
         kinds = [s.get("type") for s in steps]
         squeezed = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps)
-        self.by_word = squeezed and "\\s" in json.dumps(kind.get("pre_tokenizer")) and not kind.get("post_processor")
+        self.by_word = squeezed and "\\s" in splitter and self.tokenizer.post_processor is None
         self.lower = "Lowercase" in kinds
         # words of ASCII letters are one piece each, which nothing normalises further
-        self.letters = self.by_word and self.lower and "\\p{L}]+" in json.dumps(kind["pre_tokenizer"]).replace("\\\\", "\\")
+        self.letters = self.by_word and self.lower and "\\p{L}]+" in splitter.replace("\\\\", "\\")
         self._clear()
 
     def _clear(self) -> None:
