@@ -15,7 +15,6 @@ query = CATALOG.add
 SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
 PARAS = "paras AS (SELECT doc_id, source, lang, unnest(range(len(ps)))::INT AS para, unnest(ps) AS text FROM (SELECT doc_id, source, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents))"
-LINES = F.col("text")
 
 
 def docs(spark, folder):

@@ -79,7 +79,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def content_hash(df: DataFrame) -> str:
     """One hash of a table whatever its row order: what resumed stages are keyed by."""
-    row = df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
+    row = df.select(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
     return f"{row[0]}:{row[1]}"
 
 
