@@ -97,7 +97,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     # the left side may have a hot conversation; both joins are on the message
     out = messages.join(linked, KEY, "left").join(places, ["conv_id", "turn"], "left")
     path = F.coalesce("path", F.array("turn"))
-    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("body"), "reply_to", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("thread", "turn").alias("thread"), (F.size(path) - 1).cast("long").alias("depth"), F.array_join(path, "/").alias("path"))
+    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("body"), "reply_to", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("thread", "turn").alias("thread"), (F.size(path) - 1).cast("long").alias("depth"), F.when(F.col("turn").isNotNull(), F.array_join(path, "/")).alias("path"))
 
 
 def in_reply_order(chats: DataFrame, partitions: int) -> DataFrame:
