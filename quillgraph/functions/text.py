@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,36 @@ def words_pattern(words) -> str:
     return f"(?i){EDGE}(?:{body}){END}"
 
 
+def alternatives(words) -> list[str]:
+    """Top-level alternatives of a pattern's body."""
+    if not isinstance(words, str):
+        return list(words)
+    out, depth = [""], 0
+    for c in words:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def holds(text, lowered, words) -> Column:
+    """Whether a text has one of the words. Plain substring tests of the lower-cased text go before
+    the pattern: few texts reach it."""
+    heads = []
+    for a in alternatives(words):
+        head = re.match(r"[a-z' ]*", a.lower())[0]
+        heads.append(head[:-1] if a[len(head) : len(head) + 1] in ("?", "*", "{") else head)
+    found = text.rlike(words_pattern(words))
+    if not all(heads):
+        return found
+    near = F.lit(False)
+    for head in sorted(set(heads)):
+        near = near | F.contains(lowered, F.lit(head))
+    return near & found
+
+
 def tokens(text) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
@@ -59,7 +91,11 @@ def sentence_clean(sentence) -> Column:
     out = sentence
     for pattern in (r"https?://\S+", r"file://\S+", r"(?i)\bm\d+\w*\.htm", r"\bwww\.\S+", r"(?i)\b(?:said|spoke|replied|answered|continued),?--"):
         out = F.regexp_replace(out, pattern, "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    # few sentences have a mark of what goes; the others skip the patterns
+    marked = F.contains(F.lower(sentence), F.lit(".htm"))
+    for mark in ("http", "file://", "www.", "--"):
+        marked = marked | F.contains(sentence, F.lit(mark))
+    return F.trim(F.regexp_replace(F.when(marked, out).otherwise(sentence), r"\s+", " "))
 
 
 def name_normalize(name) -> Column:

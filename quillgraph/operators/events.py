@@ -18,8 +18,9 @@ def sentence_table(docs: DataFrame, key: list[str], text: str = "text") -> DataF
 def detect(sentences: DataFrame, patterns=lexicon.EVENT_PATTERNS, macro=lexicon.MACRO_TYPES, micro=lexicon.MICRO_VERBS, least: int = 5) -> DataFrame:
     """One event for each type whose pattern a sentence holds, in the lexicon's order; none in
     sentences with a micro verb. One pass over the sentence, no join with the lexicon."""
-    usable = sentences.where((F.length("sentence") >= least) & ~F.col("sentence").rlike(T.words_pattern(micro)))
-    flags = F.array(*[F.when(F.col("sentence").rlike(T.words_pattern(p)), F.struct(F.lit(k).alias("type_order"), F.lit(name).alias("event_type"), F.lit("MACRO" if name in macro else "MESO").alias("tier"))) for k, (name, p) in enumerate(patterns.items())])
+    text, low = F.col("sentence"), F.lower("sentence")
+    usable = sentences.where((F.length("sentence") >= least) & ~T.holds(text, low, micro))
+    flags = F.array(*[F.when(T.holds(text, low, p), F.struct(F.lit(k).alias("type_order"), F.lit(name).alias("event_type"), F.lit("MACRO" if name in macro else "MESO").alias("tier"))) for k, (name, p) in enumerate(patterns.items())])
     return usable.select("*", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("_e")).select("*", "_e.*").drop("_e")
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import words_pattern
+from ..functions.text import holds, words_pattern
 
 
 def intent(text, rules=lexicon.INTENT_WORDS) -> Column:
     """The first rule in order of priority; FACT if none matches."""
     out = None
     for name, words in rules:
-        hit = text.rlike(words_pattern(words))
+        hit = holds(text, F.lower(text), words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("FACT")
 
