@@ -20,10 +20,11 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
-RENEW = (128, 512, 2048)
-LANES, READ_LANES = 512, 1024
-STEPS = 32
+BLOCK = 4096
+RENEW = (128, 1024)
+LANES = 2048
+#: Lanes whose intervals are made at a time: their table of known ids stays in the processor's cache.
+STEP_LANES = 16
 MAGIC = b"QRC1"
 HEAD = struct.Struct("<4sIIII")
 
@@ -43,9 +44,8 @@ class Model:
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
         self.counts = np.zeros((lanes, 4, 3), np.int64)
-        self.local = np.zeros((lanes, 1 << 16), np.uint16)
 
-    def learn(self, seen: np.ndarray, decoding: bool) -> None:
+    def learn(self, seen: np.ndarray) -> None:
         """seen: (t, L) ids, in order of time."""
         t, lanes = seen.shape
         key = np.sort((seen.astype(np.uint32) | (self.lanes.astype(np.uint32) << np.uint32(16))).ravel())
@@ -53,54 +53,62 @@ class Model:
         times = np.diff(np.append(first, len(key)))
         keys = key[first]
         lane = (keys >> np.uint32(16)).astype(np.int64)
-        self.ids = (keys & np.uint32(0xFFFF)).astype(np.uint16)
         kinds = np.bincount(lane, minlength=lanes)
         escape = np.maximum(1, FREQ * kinds // (2 * t + kinds))
         room = FREQ - escape - kinds
         freq = 1 + times * room[lane] // t
-        self.begin = np.cumsum(kinds) - kinds
+        begin = np.cumsum(kinds) - kinds
         total = np.cumsum(freq)
-        before = (total - freq)[self.begin]  # of all lanes before
-        self.freq, self.cum = freq.astype(np.uint64), (total - freq - before[lane]).astype(np.uint64)
-        used = np.add.reduceat(freq, self.begin)
-        self.escape_cum, self.escape_freq = used.astype(np.uint64), (FREQ - used).astype(np.uint64)
-        if decoding:
-            # frequency slots of each lane: 1 + place in the lane's ids, 0 for the escape
-            place = (np.arange(len(keys)) - self.begin[lane] + 1).astype(np.uint16)
-            at = np.append(place, np.zeros(lanes, np.uint16))
-            size = np.append(freq, FREQ - used)
-            order = np.argsort(np.append(lane, self.lanes), kind="stable")
-            self.slots = np.repeat(at[order], size[order])
-        else:
-            self.local[:] = 0
-            self.local[lane, self.ids] = np.arange(len(keys)) - self.begin[lane] + 1
-        self.one = np.full((lanes, SIZE_1), NONE, np.uint16)
-        self.two = np.full((lanes, SIZE_2), NONE, np.uint16)
-        flat = np.broadcast_to(self.lanes, (t, lanes))
+        used = np.add.reduceat(freq, begin)
+        #: entries by lane: the escape first, then the ids with their frequencies; one more at the end
+        self.begin = begin + self.lanes
+        own = np.arange(len(keys)) + lane + 1
+        self.ids, self.cum, self.freq = (np.zeros(len(keys) + lanes + 1, np.uint32) for _ in range(3))
+        self.freq[-1] = 1  # an entry that changes nothing, for events that need none
+        self.ids[own] = keys & np.uint32(0xFFFF)
+        self.cum[own], self.freq[own] = total - freq - (total - freq)[begin][lane], freq
+        self.cum[self.begin], self.freq[self.begin] = used, FREQ - used
+        self.one, self.two = np.full(lanes * SIZE_1, NONE, np.uint16), np.full(lanes * SIZE_2, NONE, np.uint16)
         # of equal places the last one stays: assignment goes in order of time
-        self.one[flat[1:], hash_1(seen[:-1])] = seen[1:]
-        self.two[flat[2:], hash_2(seen[:-2], seen[1:-1])] = seen[2:]
-
-    def weights(self) -> np.ndarray:
-        """(L, 4, 3) frequencies that add up to MIX; an event that may happen has at least 1."""
+        self.one[self.lanes * SIZE_1 + hash_1(seen[:-1])] = seen[1:]
+        self.two[self.lanes * SIZE_2 + hash_2(seen[:-2], seen[1:-1])] = seen[2:]
+        self._weigh()
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of each lane, and each entry's place in its lane."""
+        size = np.append(self.begin[1:], len(self.ids) - 1) - self.begin
+        return size, np.arange(len(self.ids) - 1) - np.repeat(self.begin, size)
+
+    def slots(self) -> np.ndarray:
+        """(L * FREQ) entry within its lane, 0 for the escape, of each frequency slot."""
+        size, place = self.sizes()
+        # slots go by cum: ids first, the escape last
+        order = np.arange(len(place)) + 1
+        last = self.begin + size - 1
+        order[last] = self.begin
+        return np.repeat(place[order].astype(np.uint16), self.freq[order])
+
+    def _weigh(self) -> None:
+        """By (lane, kind of context, event): where its interval of 2 ** MIXED starts, and its width (of the third event: the factor of a frequency)."""
         n = self.counts * 2 + PRIOR
-        total = n.sum(axis=2, keepdims=True)
-        out = 1 + n * (MIX - 3) // total
-        out[:, 0, :2] = 0
-        out[:, :, 2] = MIX - out[:, :, 0] - out[:, :, 1]
-        return out.astype(np.uint64)
+        f = 1 + n * (MIX - 3) // n.sum(axis=2, keepdims=True)
+        f[:, 0, :2] = 0
+        f[:, :, 2] = MIX - f[:, :, 0] - f[:, :, 1]
+        start = np.zeros_like(f)
+        start[:, :, 1], start[:, :, 2] = f[:, :, 0] * FREQ, (f[:, :, 0] + f[:, :, 1]) * FREQ
+        f[:, :, :2] *= FREQ
+        self.start, self.width = start.astype(np.uint32).ravel(), f.astype(np.uint32).ravel()
 
     def predict(self, lanes, before, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1, and the kind of context."""
-        two, one = self.two[lanes, hash_2(before, last)], self.one[lanes, hash_1(last)]
-        has_2, has_1 = two != NONE, one != NONE
-        kind = np.where(has_2, np.where(two == one, 2, 3), has_1.astype(np.int64))
-        return two, one, kind
+        """Predictions of order 2 and 1, and the kind of context: 0 none, 1 order 1 only, 2 both and equal, 3 both."""
+        two, one = self.two.take(lanes * SIZE_2 + hash_2(before, last)), self.one.take(lanes * SIZE_1 + hash_1(last))
+        return two, one, np.where(two != NONE, np.int64(2) + (two != one), one != NONE)
 
-    def note(self, kind: np.ndarray, event: np.ndarray) -> None:
+    def note(self, kind: np.ndarray, event: np.ndarray, lanes: np.ndarray | None = None) -> None:
         """Counts events (0, 1: hit of order 2, 1; 2: neither) of (s, L) ids."""
-        at = (np.broadcast_to(self.lanes, kind.shape) * 12 + kind * 3 + event).ravel()
-        self.counts += np.bincount(at, minlength=12 * len(self.lanes)).reshape(-1, 4, 3)
+        lanes = self.lanes if lanes is None else lanes
+        at = ((lanes - lanes[0]) * 12 + kind * 3 + event).ravel()
+        self.counts[lanes] += np.bincount(at, minlength=12 * len(lanes)).reshape(-1, 4, 3)
 
 
 def hash_1(last: np.ndarray) -> np.ndarray:
@@ -130,7 +138,7 @@ class Writer:
         part = wide >> bits
         low = low + part * cum
         wide = part * freq
-        small = np.flatnonzero(wide <= LOW32)
+        small = (wide <= LOW32).nonzero()[0]
         if len(small):
             l, w = low[small], wide[small]
             cross = ((l ^ (l + (w - np.uint64(1)))) >> U32) != 0
@@ -171,7 +179,7 @@ class Reader:
         part = wide >> bits
         low = low + part * cum
         wide = part * freq
-        small = np.flatnonzero(wide <= LOW32)
+        small = (wide <= LOW32).nonzero()[0]
         if len(small):
             l, w = low[small], wide[small]
             cross = ((l ^ (l + (w - np.uint64(1)))) >> U32) != 0
@@ -191,45 +199,46 @@ MIXED = np.uint64(MIX_BITS + FREQ_BITS)
 ONE = np.uint64(1)
 
 
-def _intervals(model: Model, weights: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray):
-    """Of (s, L) ids after two others: interval of 2 ** MIXED, whether the plain id follows, kind and event."""
-    every = np.broadcast_to(model.lanes, own.shape)
-    two, one, kind = model.predict(every, before, last)
+def _intervals(model: Model, lanes: np.ndarray, local: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray):
+    """Of (s, l) ids after two others: start and width of their interval, whether the plain id follows, kind and event."""
+    two, one, kind = model.predict(lanes, before, last)
     event = np.where((own == two) & (two != NONE), 0, np.where((own == one) & (one != NONE), 1, 2))
-    w = weights.reshape(-1, 3)[every * 4 + kind]
-    f2, f1, fe = w[..., 0], w[..., 1], w[..., 2]
-    local = model.local[every, own].astype(np.int64)
-    known = local > 0
-    at = np.where(known, model.begin + local - 1, 0)
-    cum = np.where(known, model.cum[at], model.escape_cum)
-    freq = np.where(known, model.freq[at], model.escape_freq)
-    scale = np.uint64(FREQ)
-    cum = np.where(event == 0, np.uint64(0), np.where(event == 1, f2 * scale, (f2 + f1) * scale + fe * cum))
-    freq = np.where(event == 0, f2 * scale, np.where(event == 1, f1 * scale, fe * freq))
-    return cum, freq, (event == 2) & ~known, kind, event
+    at = (lanes * 4 + kind) * 3 + event
+    place = local[lanes - lanes[0], own]
+    other = event == 2
+    entry = np.where(other, model.begin[lanes] + place, len(model.ids) - 1)
+    width = model.width.take(at)
+    return model.start.take(at) + width * model.cum.take(entry), width * model.freq.take(entry), other & (place == 0), kind, event
 
 
 def _encode(ids: np.ndarray) -> list[np.ndarray]:
     """ids: (n, L). Words of each lane."""
     n, lanes = ids.shape
     out, model = Writer(lanes, n), Model(lanes)
-    wide = ids.astype(np.uint64)
+    local = np.zeros((STEP_LANES, 1 << 16), np.uint16)
     for a, b in segments(n):
         if a == 0:
             for t in range(b):
-                out.put(wide[t], ONE, RAW)
+                out.put(ids[t].astype(np.uint64), ONE, RAW)
             continue
-        model.learn(ids[:a], decoding=False)
-        weights = model.weights()
-        for at in range(a, b, STEPS):  # a few steps at a time stay in the processor's cache
-            end = min(at + STEPS, b)
-            cum, freq, raw, kind, event = _intervals(model, weights, ids[at:end], ids[at - 1 : end - 1], ids[at - 2 : end - 2])
-            model.note(kind, event)
-            for t in range(end - at):
-                out.put(cum[t], freq[t], MIXED)
-                who = np.flatnonzero(raw[t])
-                if len(who):
-                    out.put(wide[at + t, who], ONE, RAW, who)
+        model.learn(ids[:a])
+        size, place = model.sizes()
+        lane_of = np.repeat(model.lanes, size)
+        cum, width, raw = np.empty((b - a, lanes), np.uint32), np.empty((b - a, lanes), np.uint32), np.empty((b - a, lanes), bool)
+        for g in range(0, lanes, STEP_LANES):
+            own = model.lanes[g : g + STEP_LANES]
+            at = np.arange(model.begin[g], model.begin[own[-1]] + size[own[-1]])
+            at = at[place[at] > 0]  # the escape has no id
+            local[lane_of[at] - g, model.ids[at]] = place[at]
+            s = slice(g, g + len(own))
+            cum[:, s], width[:, s], raw[:, s], kind, event = _intervals(model, own, local, ids[a:b, s], ids[a - 1 : b - 1, s], ids[a - 2 : b - 2, s])
+            model.note(kind, event, own)
+            local[lane_of[at] - g, model.ids[at]] = 0
+        for t in range(b - a):
+            out.put(cum[t], width[t], MIXED)
+            who = raw[t].nonzero()[0]
+            if len(who):
+                out.put(ids[a + t, who].astype(np.uint64), ONE, RAW, who)
     return out.finish()
 
 
@@ -238,7 +247,7 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
     lanes = len(words)
     code, model = Reader(words), Model(lanes)
     ids = np.zeros((n, lanes), np.uint16)
-    scale, slot_base = np.uint64(FREQ), np.arange(lanes) * FREQ
+    slot_base, lane_4 = np.arange(lanes) * FREQ, np.arange(lanes) * 4
     for a, b in segments(n):
         if a == 0:
             for t in range(b):
@@ -246,33 +255,22 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
                 code.take(v, ONE, RAW)
                 ids[t] = v
             continue
-        model.learn(ids[:a], decoding=True)
-        weights = model.weights().reshape(-1, 3)
-        # the escape comes first among the entries of each lane
-        extended = np.arange(lanes) + model.begin
-        entries = len(model.ids) + lanes
-        at_escape = np.zeros(entries, bool)
-        at_escape[extended] = True
-        entry_id, entry_cum, entry_freq = np.zeros(entries, np.uint16), np.zeros(entries, np.uint64), np.zeros(entries, np.uint64)
-        entry_id[~at_escape], entry_cum[~at_escape], entry_freq[~at_escape] = model.ids, model.cum, model.freq
-        entry_cum[extended], entry_freq[extended] = model.escape_cum, model.escape_freq
+        model.learn(ids[:a])
+        slots, start_2, start_3 = model.slots(), model.start[1::3].copy(), model.start[2::3].copy()
         kinds, events = np.zeros((b - a, lanes), np.int8), np.zeros((b - a, lanes), np.int8)
-        base = model.lanes * 4
         for t in range(a, b):
             two, one, kind = model.predict(model.lanes, ids[t - 2], ids[t - 1])
-            w = weights[base + kind]
-            f2, f1, fe = w[:, 0], w[:, 1], w[:, 2]
-            v = code.value(MIXED)
-            hits_2, hits = f2 * scale, (f2 + f1) * scale
-            event = (v >= hits_2).astype(np.int8) + (v >= hits)
-            slot = np.minimum(np.where(event == 2, v - hits, 0) // fe, scale - ONE).astype(np.int64)
-            place = model.slots[slot_base + slot].astype(np.int64)
-            entry = extended + place
-            cum = np.where(event == 0, 0, np.where(event == 1, hits_2, hits + fe * entry_cum[entry])).astype(np.uint64)
-            freq = np.where(event == 0, hits_2, np.where(event == 1, f1 * scale, fe * entry_freq[entry]))
-            code.take(cum, freq, MIXED)
-            now = np.where(event == 0, two, np.where(event == 1, one, entry_id[entry]))
-            who = np.flatnonzero((event == 2) & (place == 0))
+            context = lane_4 + kind
+            v = code.value(MIXED).astype(np.uint32)
+            other = v >= start_3.take(context)
+            event = (v >= start_2.take(context)).astype(np.int64) + other
+            at = context * 3 + event
+            start, width = model.start.take(at), model.width.take(at)
+            place = slots.take(slot_base + np.minimum((v - start) // width, FREQ - 1))
+            entry = np.where(other, model.begin + place, len(model.ids) - 1)
+            code.take(start + width * model.cum.take(entry), width * model.freq.take(entry), MIXED)
+            now = np.where(other, model.ids.take(entry), np.where(event == 0, two, one))
+            who = (other & (place == 0)).nonzero()[0]
             if len(who):
                 v = code.value(RAW, who)
                 code.take(v, ONE, RAW, who)
@@ -312,8 +310,8 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
     for length in sorted({h[1] for h in heads}):
         own = [i for i, h in enumerate(heads) if h[1] == length]
-        for k in range(0, len(own), READ_LANES):
-            part = own[k : k + READ_LANES]
+        for k in range(0, len(own), LANES):
+            part = own[k : k + LANES]
             ids = _decode([np.frombuffer(blocks[i], "<u4", offset=HEAD.size) for i in part], length)
             for lane, i in enumerate(part):
                 out[i] = ids[: heads[i][0], lane]

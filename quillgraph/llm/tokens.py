@@ -27,6 +27,24 @@ def default_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The splitter's characters for bytes: printable Latin-1 stands for itself, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+def _piece(word: bytes) -> str | None:
+    """What the model gets for a word that is one piece and that nothing normalises: lower-case Latin letters only."""
+    if word.isalpha():
+        return word.decode() if word.islower() else None
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return None
+    if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+        return word.decode("latin-1").translate(BYTE_CHARS)
+    return None
+
+
 class WordTable:
     """64-bit hashes to numbers 0, 1, ... by open addressing, for whole arrays."""
 
@@ -81,8 +99,8 @@ class WordEncoder:
         squeezed = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps)
         self.by_word = squeezed and "\\s" in splitter and self.tokenizer.post_processor is None
         self.lower = "Lowercase" in kinds
-        # words of ASCII letters are one piece each, which nothing normalises further
-        self.letters = self.by_word and self.lower and "\\p{L}]+" in splitter.replace("\\\\", "\\")
+        # words of Latin letters are one piece each, which nothing normalises further
+        self.letters = self.by_word and self.lower and "\\p{L}]+" in splitter.replace("\\\\", "\\") and "ByteLevel" in splitter
         self._clear()
 
     def _clear(self) -> None:
@@ -104,9 +122,10 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
         """Encodes new words: plain ones by the model, others many as one text, where ids go to words by their offsets."""
-        plain = np.array([w.isalpha() and w.islower() for w in words], bool) if self.letters else np.zeros(len(words), bool)
+        pieces = [_piece(w) for w in words] if self.letters else [None] * len(words)
+        plain = np.array([p is not None for p in pieces], bool)
         model = self.tokenizer.model
-        coded = [[t.id for t in model.tokenize(words[i].decode())] for i in np.flatnonzero(plain)]
+        coded = [[t.id for t in model.tokenize(p)] for p in pieces if p is not None]
         self._keep(np.array([i for c in coded for i in c], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)), hashes[plain])
         rest = np.flatnonzero(~plain)
         for at in range(0, len(rest), AT_ONCE):
