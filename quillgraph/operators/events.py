@@ -12,7 +12,13 @@ from ..functions import text as T
 
 
 def sentence_table(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    return docs.select(*key, F.posexplode(T.sentences(F.col(text))).alias("sentence_index", "raw")).withColumn("sentence", T.sentence_clean(F.col("raw"))).drop("raw")
+    # cleaned inside the array: filters on sentences then don't copy the cleaning
+    return docs.select(*key, F.posexplode(F.transform(T.sentences(F.col(text)), T.sentence_clean)).alias("sentence_index", "sentence"))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once: the optimizer copies no expression across a generator."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
 def detect(sentences: DataFrame, patterns=lexicon.EVENT_PATTERNS, macro=lexicon.MACRO_TYPES, micro=lexicon.MICRO_VERBS, least: int = 5) -> DataFrame:
@@ -68,7 +74,8 @@ def extract(events: DataFrame, roles: dict[str, dict] | None = None, recogniser:
     for kind, patterns in (roles or {}).items():
         own = F.when(F.col("event_type") == kind, role_arguments(F.col("sentence"), patterns)).otherwise(own)
     both = F.when(F.size("_own") < 3, F.concat("_own", recogniser(F.col("sentence")))).otherwise(F.col("_own"))
-    return events.withColumn("_own", own).withColumn("arguments", dedupe_arguments(F.filter(both, lambda x: candidate_ok(x["text"])))).drop("_own")
+    found = once(once(events, "_own", own), "_all", F.filter(both, lambda x: candidate_ok(x["text"])))
+    return once(found, "arguments", dedupe_arguments(F.col("_all"))).drop("_own", "_all")
 
 
 def meso_gate(events: DataFrame, places: tuple[str, ...] = (), tactical=lexicon.TACTICAL_VERBS) -> DataFrame:
@@ -80,7 +87,9 @@ def meso_gate(events: DataFrame, places: tuple[str, ...] = (), tactical=lexicon.
     many = (actors >= 2) | ((actors >= 1) & (n_places >= 1))
     points = many.cast("int") + F.col("sentence").rlike(T.words_pattern(tactical)).cast("int") + (n_places >= 1).cast("int") - (T.word_count(F.col("sentence")) < 8).cast("int")
     keep = (F.col("tier") != "MESO") | (many & (points >= 2))
-    return events.withColumn("confidence", points).withColumn("arguments", F.when(keep, F.col("arguments")).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
+    kept = F.when(keep, F.col("arguments")).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+    judged = once(events, "_g", F.struct(points.alias("confidence"), kept.alias("arguments")))
+    return judged.drop("arguments").select("*", "_g.confidence", "_g.arguments").drop("_g")
 
 
 def admitted(events: DataFrame) -> DataFrame:
