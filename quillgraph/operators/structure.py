@@ -40,7 +40,7 @@ def spans(docs: DataFrame, header: str, key: list[str], text: str = "text") -> D
     """
     parts = F.split(F.regexp_replace(F.col(text), header, "\u0001$1\u0002"), "\u0001")
     rows = docs.select(*key, F.posexplode(parts).alias("at", "part")).where("at > 0")
-    named = rows.select(*key, "at", F.regexp_extract("part", "(?s)^([^\u0002]*)\u0002(.*)$", 1).alias("number"), F.trim(F.regexp_extract("part", "(?s)^([^\u0002]*)\u0002(.*)$", 2)).alias("body"))
+    named = rows.select(*key, "at", F.regexp_extract("part", "(?s)^([^\u0002]*)\u0002(.*)$", 1).alias("number"), F.regexp_replace(F.regexp_extract("part", "(?s)^([^\u0002]*)\u0002(.*)$", 2), r"\A\s+|\s+\z", "").alias("body"))
     first = Window.partitionBy(*key, "number").orderBy("at")
     return named.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 

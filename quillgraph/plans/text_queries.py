@@ -111,7 +111,7 @@ def duplicate_sections(spark, folder):
 
 @query(r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '\n(The|Is|And|La|Le|Die|Der)\b', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM documents),
  r AS (SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS part FROM p),
- n AS (SELECT doc_id, pos, regexp_extract(part, '(?s)^([^\x02]*)\x02(.*)$', 1) AS number, trim(regexp_extract(part, '(?s)^([^\x02]*)\x02(.*)$', 2)) AS body FROM r WHERE pos > 0)
+ n AS (SELECT doc_id, pos, regexp_extract(part, '(?s)^([^\x02]*)\x02(.*)$', 1) AS number, regexp_replace(regexp_extract(part, '(?s)^([^\x02]*)\x02(.*)$', 2), '\A\s+|\s+\z', '', 'g') AS body FROM r WHERE pos > 0)
  SELECT doc_id, pos, number, body FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, number ORDER BY pos) = 1""")
 def section_spans(spark, folder):
     return structure.spans(docs(spark, folder), r"\n(The|Is|And|La|Le|Die|Der)(?![A-Za-z0-9_])", ["doc_id"]).select("doc_id", F.col("at").alias("pos"), "number", "body")
