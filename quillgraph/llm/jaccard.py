@@ -333,7 +333,9 @@ def _tiles(open_rows: DataFrame, reps: DataFrame, roots: DataFrame, percent: int
     placed = rows.select("key", "doc_id", roles).select("key", "doc_id", "t.band", "t.low")
     sizes = placed.groupBy("key", "band").agg(F.sum(1 - F.col("low")).alias("upper"), F.count("*").alias("members")).where("upper > 0 and members > 1")
     blocks = F.when(F.col("members") <= SMALL, 0).otherwise(F.ceil(F.col("members") / TILE)).cast("int")
-    dealt = placed.join(sizes.withColumn("s", blocks), ["key", "band"])
+    # written first: the join then is one that can be split where a group is large
+    counted, _ = written(sizes.select("key", "band", blocks.alias("s")), "sizes")
+    dealt = placed.join(counted, ["key", "band"])
     small = dealt.where("s = 0")
     # every member meets the uppers: both sides of a small tile are one row each
     side_0 = small.where("low = 0").select("key", "band", "doc_id", F.lit(0).alias("side"))
