@@ -47,6 +47,11 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that operators left in the shared folder; results that still read them must be written before."""
+    delete(spark, f"{shared_dir(spark)}/quillgraph")
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished steps.
 
@@ -80,6 +85,12 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
+def rough_bytes(docs: DataFrame) -> int:
+    """Size of a table as Spark's statistics have it (files as they lie), without a scan; counted where they have none."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else text_bytes(docs)
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(n - 1).bit_length()) if n > 1 else 1
 

@@ -34,7 +34,9 @@ MIX, FREQ = 1 << MIX_BITS, 1 << FREQ_BITS
 SIZE_1, SIZE_2 = 1 << 11, 1 << 13
 #: Starting counts of (order-2 hit, order-1 hit, neither) by kind of context.
 PRIOR = np.array([[0, 0, 8], [1, 1, 6], [4, 1, 4], [2, 1, 5]], np.int64)
-U32, U16 = np.uint64(32), np.uint64(16)
+U32, ONE = np.uint64(32), np.uint64(1)
+#: Bits of a plain id's interval, and of a mixed prediction's.
+RAW, MIXED = np.uint64(16), np.uint64(MIX_BITS + FREQ_BITS)
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -70,8 +72,9 @@ class Model:
         self.cum[self.begin], self.freq[self.begin] = used, FREQ - used
         self.one, self.two = np.full(lanes * SIZE_1, NONE, np.uint16), np.full(lanes * SIZE_2, NONE, np.uint16)
         # of equal places the last one stays: assignment goes in order of time
-        self.one[self.lanes * SIZE_1 + hash_1(seen[:-1])] = seen[1:]
-        self.two[self.lanes * SIZE_2 + hash_2(seen[:-2], seen[1:-1])] = seen[2:]
+        wide = seen.astype(np.uint32)
+        self.one[self.lanes * SIZE_1 + hash_1(wide[:-1])] = seen[1:]
+        self.two[self.lanes * SIZE_2 + hash_2(wide[:-2], wide[1:-1])] = seen[2:]
         self._weigh()
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -99,24 +102,25 @@ class Model:
         f[:, :, :2] *= FREQ
         self.start, self.width = start.astype(np.uint32).ravel(), f.astype(np.uint32).ravel()
 
-    def predict(self, lanes, before, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1, and the kind of context: 0 none, 1 order 1 only, 2 both and equal, 3 both."""
-        two, one = self.two.take(lanes * SIZE_2 + hash_2(before, last)), self.one.take(lanes * SIZE_1 + hash_1(last))
+    def predict(self, base_2, base_1, before, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1, and the kind of context: 0 none, 1 order 1 only, 2 both and equal, 3 both.
+
+        base_2 and base_1: where the lanes' tables begin; before and last: ids as uint32.
+        """
+        two, one = self.two.take(base_2 + hash_2(before, last)), self.one.take(base_1 + hash_1(last))
         return two, one, np.where(two != NONE, np.int64(2) + (two != one), one != NONE)
 
-    def note(self, kind: np.ndarray, event: np.ndarray, lanes: np.ndarray | None = None) -> None:
-        """Counts events (0, 1: hit of order 2, 1; 2: neither) of (s, L) ids."""
-        lanes = self.lanes if lanes is None else lanes
-        at = ((lanes - lanes[0]) * 12 + kind * 3 + event).ravel()
-        self.counts[lanes] += np.bincount(at, minlength=12 * len(lanes)).reshape(-1, 4, 3)
+    def note(self, at: np.ndarray, lanes: np.ndarray) -> None:
+        """Counts events: at is (lane * 4 + kind) * 3 + event, where 0 and 1 are hits of order 2 and 1, 2 is neither."""
+        self.counts[lanes] += np.bincount((at - 12 * lanes[0]).ravel(), minlength=12 * len(lanes)).reshape(-1, 4, 3)
 
 
 def hash_1(last: np.ndarray) -> np.ndarray:
-    return ((last.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
+    return (last * np.uint32(2654435761)) >> np.uint32(21)
 
 
 def hash_2(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return ((before.astype(np.uint32) * np.uint32(2246822519) + last.astype(np.uint32) * np.uint32(3266489917)) >> np.uint32(19)).astype(np.int64)
+    return (before * np.uint32(2246822519) + last * np.uint32(3266489917)) >> np.uint32(19)
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -130,7 +134,7 @@ class Writer:
     def __init__(self, lanes: int, n: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, 2 * n + 4), np.uint32)
+        self.out = np.zeros((lanes, n // 2 + 4), np.uint32)  # 16 bits an id at first; see reserve
         self.used = np.zeros(lanes, np.int64)
 
     def put(self, cum, freq, bits: np.uint64, lanes=None) -> None:
@@ -152,7 +156,12 @@ class Writer:
         else:
             self.low[lanes], self.range[lanes] = low, wide
 
+    def reserve(self, words: int) -> None:
+        if int(self.used.max(initial=0)) + words > self.out.shape[1]:
+            self.out = np.concatenate((self.out, np.zeros((len(self.out), max(words, self.out.shape[1] // 2)), np.uint32)), axis=1)
+
     def finish(self) -> list[np.ndarray]:
+        self.reserve(2)
         for shift in (U32, np.uint64(0)):
             self.out[np.arange(len(self.used)), self.used] = ((self.low >> shift) & LOW32).astype(np.uint32)
             self.used += 1
@@ -170,13 +179,13 @@ class Reader:
         self.at = self.begin + 2
 
     def value(self, bits: np.uint64, lanes=None) -> np.ndarray:
-        if lanes is None:
-            return np.minimum((self.code - self.low) // (self.range >> bits), (np.uint64(1) << bits) - np.uint64(1))
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> bits), (np.uint64(1) << bits) - np.uint64(1))
+        """Where in 2 ** bits the code stands; ``take`` then removes the interval that it stands in."""
+        code, low, wide = (self.code, self.low, self.range) if lanes is None else (self.code[lanes], self.low[lanes], self.range[lanes])
+        self.part = wide >> bits
+        return np.minimum((code - low) // self.part, (ONE << bits) - ONE)
 
-    def take(self, cum, freq, bits: np.uint64, lanes=None) -> None:
-        low, wide = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        part = wide >> bits
+    def take(self, cum, freq, lanes=None) -> None:
+        low, part = self.low if lanes is None else self.low[lanes], self.part
         low = low + part * cum
         wide = part * freq
         small = (wide <= LOW32).nonzero()[0]
@@ -194,21 +203,16 @@ class Reader:
             self.low[lanes], self.range[lanes] = low, wide
 
 
-RAW = np.uint64(16)
-MIXED = np.uint64(MIX_BITS + FREQ_BITS)
-ONE = np.uint64(1)
-
-
 def _intervals(model: Model, lanes: np.ndarray, local: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray):
-    """Of (s, l) ids after two others: start and width of their interval, whether the plain id follows, kind and event."""
-    two, one, kind = model.predict(lanes, before, last)
+    """Of (s, l) ids after two others: start and width of their interval, whether the plain id follows, and (lane, kind, event)."""
+    two, one, kind = model.predict(lanes * SIZE_2, lanes * SIZE_1, before, last)
     event = np.where((own == two) & (two != NONE), 0, np.where((own == one) & (one != NONE), 1, 2))
     at = (lanes * 4 + kind) * 3 + event
     place = local[lanes - lanes[0], own]
     other = event == 2
     entry = np.where(other, model.begin[lanes] + place, len(model.ids) - 1)
     width = model.width.take(at)
-    return model.start.take(at) + width * model.cum.take(entry), width * model.freq.take(entry), other & (place == 0), kind, event
+    return model.start.take(at) + width * model.cum.take(entry), width * model.freq.take(entry), other & (place == 0), at
 
 
 def _encode(ids: np.ndarray) -> list[np.ndarray]:
@@ -218,6 +222,7 @@ def _encode(ids: np.ndarray) -> list[np.ndarray]:
     local = np.zeros((STEP_LANES, 1 << 16), np.uint16)
     for a, b in segments(n):
         if a == 0:
+            out.reserve(2 * b + 2)
             for t in range(b):
                 out.put(ids[t].astype(np.uint64), ONE, RAW)
             continue
@@ -231,10 +236,13 @@ def _encode(ids: np.ndarray) -> list[np.ndarray]:
             at = at[place[at] > 0]  # the escape has no id
             local[lane_of[at] - g, model.ids[at]] = place[at]
             s = slice(g, g + len(own))
-            cum[:, s], width[:, s], raw[:, s], kind, event = _intervals(model, own, local, ids[a:b, s], ids[a - 1 : b - 1, s], ids[a - 2 : b - 2, s])
-            model.note(kind, event, own)
+            near = ids[a - 2 : b, s].astype(np.uint32)
+            cum[:, s], width[:, s], raw[:, s], events = _intervals(model, own, local, near[2:], near[1:-1], near[:-2])
+            model.note(events, own)
             local[lane_of[at] - g, model.ids[at]] = 0
         for t in range(b - a):
+            if t % 64 == 0:
+                out.reserve(64 * 2 + 2)  # an id gives two words at most
             out.put(cum[t], width[t], MIXED)
             who = raw[t].nonzero()[0]
             if len(who):
@@ -247,19 +255,20 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
     lanes = len(words)
     code, model = Reader(words), Model(lanes)
     ids = np.zeros((n, lanes), np.uint16)
-    slot_base, lane_4 = np.arange(lanes) * FREQ, np.arange(lanes) * 4
+    slot_base, lane_4, base_2, base_1 = (model.lanes * k for k in (FREQ, 4, SIZE_2, SIZE_1))
     for a, b in segments(n):
         if a == 0:
             for t in range(b):
                 v = code.value(RAW)
-                code.take(v, ONE, RAW)
+                code.take(v, ONE)
                 ids[t] = v
             continue
         model.learn(ids[:a])
         slots, start_2, start_3 = model.slots(), model.start[1::3].copy(), model.start[2::3].copy()
-        kinds, events = np.zeros((b - a, lanes), np.int8), np.zeros((b - a, lanes), np.int8)
+        events = np.zeros((b - a, lanes), np.int32)
+        before, last = ids[a - 2].astype(np.uint32), ids[a - 1].astype(np.uint32)
         for t in range(a, b):
-            two, one, kind = model.predict(model.lanes, ids[t - 2], ids[t - 1])
+            two, one, kind = model.predict(base_2, base_1, before, last)
             context = lane_4 + kind
             v = code.value(MIXED).astype(np.uint32)
             other = v >= start_3.take(context)
@@ -268,15 +277,16 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
             start, width = model.start.take(at), model.width.take(at)
             place = slots.take(slot_base + np.minimum((v - start) // width, FREQ - 1))
             entry = np.where(other, model.begin + place, len(model.ids) - 1)
-            code.take(start + width * model.cum.take(entry), width * model.freq.take(entry), MIXED)
+            code.take(start + width * model.cum.take(entry), width * model.freq.take(entry))
             now = np.where(other, model.ids.take(entry), np.where(event == 0, two, one))
             who = (other & (place == 0)).nonzero()[0]
             if len(who):
                 v = code.value(RAW, who)
-                code.take(v, ONE, RAW, who)
+                code.take(v, ONE, who)
                 now[who] = v
-            ids[t], kinds[t - a], events[t - a] = now, kind, event
-        model.note(kinds.astype(np.int64), events.astype(np.int64))
+            ids[t], events[t - a] = now, at
+            before, last = last, now
+        model.note(events, model.lanes)
     return ids
 
 

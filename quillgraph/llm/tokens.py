@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from . import kernels as K
 
 TOKENIZER = "word_bpe_49k.json"
-SLOTS = 1 << 21
-CACHE_WORDS = 700_000
+SLOTS = 1 << 22
+CACHE_WORDS = 1_500_000
 AT_ONCE = 2048
 
 
@@ -101,12 +101,17 @@ class WordEncoder:
         self.lower = "Lowercase" in kinds
         # words of Latin letters are one piece each, which nothing normalises further
         self.letters = self.by_word and self.lower and "\\p{L}]+" in splitter.replace("\\\\", "\\") and "ByteLevel" in splitter
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.letters = self.letters and bool(suffix)
+        if self.letters:
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.table = WordTable()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
+        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -114,7 +119,8 @@ class WordEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         k = self.table.used
         if k + len(sizes) > len(self.begin):
-            self.begin, self.length = (np.concatenate((x, np.zeros(len(sizes), np.int64))) for x in (self.begin, self.length))
+            more = np.zeros(len(self.begin) + len(sizes), np.int32)
+            self.begin, self.length = (np.concatenate((x, more)) for x in (self.begin, self.length))
         self.length[k : k + len(sizes)] = sizes
         self.begin[k : k + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
@@ -125,8 +131,9 @@ class WordEncoder:
         pieces = [_piece(w) for w in words] if self.letters else [None] * len(words)
         plain = np.array([p is not None for p in pieces], bool)
         model = self.tokenizer.model
-        coded = [[t.id for t in model.tokenize(p)] for p in pieces if p is not None]
-        self._keep(np.array([i for c in coded for i in c], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)), hashes[plain])
+        # one flat list: a word's last id is one that ends words
+        ids = np.array([t.id for p in pieces if p is not None for t in model.tokenize(p)], np.uint32)
+        self._keep(ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), hashes[plain])
         rest = np.flatnonzero(~plain)
         for at in range(0, len(rest), AT_ONCE):
             own = rest[at : at + AT_ONCE]
@@ -138,7 +145,7 @@ class WordEncoder:
 
     def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known words, one after the other, and where each word's end."""
-        lengths = self.length[at]
+        lengths = self.length[at].astype(np.int64)
         until = np.cumsum(lengths)
         source = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.begin[at] - (until - lengths), lengths)
         return self.flat[source], until
