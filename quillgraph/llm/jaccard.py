@@ -373,8 +373,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     release_shuffles(spark)
 
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("m")).where("m > 1")
-    stars = keys.join(leaders.select("key", "v"), "key").where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
+    # written first, as tile sizes are below: the join can then be split where a key is frequent
+    leaders, _ = written(keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("m")).where("m > 1").select("key", "v"), "leaders")
+    stars = keys.join(leaders, "key").where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
     links, links_path = written(_compared(stars, reps, percent), "links")
     first, _ = components(links)
     release_shuffles(spark)
