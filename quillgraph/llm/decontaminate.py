@@ -85,17 +85,14 @@ def original_spans(text: str, hit: np.ndarray) -> tuple[list[int], list[int]]:
     return [places[i][0] for i in np.flatnonzero(edges == 1)], [places[i - 1][1] for i in np.flatnonzero(edges == -1)]
 
 
-_machines: dict[str, ahocorasick.Automaton | None] = {}
-
-
 def scanner(shared, digest: str, width: int):
     """Arrow function over texts; the automaton is built once a worker from the broadcast items."""
 
     def scan(texts: pa.Array) -> pa.Array:
-        if digest not in _machines:
-            _machines.clear()
-            _machines[digest] = automaton(shared.value, width)
-        machine = _machines[digest]
+        kept = K.kept("decontaminate")
+        if digest not in kept:
+            kept[digest] = automaton(shared.value, width)
+        machine = kept[digest]
         n_words, n_hit, items, starts, ends = [], [], [], [], []
         for _, _, buf, offsets in K.groups(texts):
             whole = buf.tobytes()

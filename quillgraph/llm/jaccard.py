@@ -41,7 +41,7 @@ from .components import components
 
 WIDTH, PERCENT = 5, 75
 BUCKET_BYTES = 2 << 20  # of text by bucket of the hash space
-BLOCK_DOCS, BLOCK_ENTRIES = 16_384, 1_500_000
+BLOCK_DOCS, BLOCK_ENTRIES = 16_384, 1_000_000
 HOT = 64  # occurrences in a block from which a shingle is sent as a count
 SEEDS = (0x51ED270B, 0x2545F491, 0x9E3779B9, 0x7F4A7C15)
 TILE, SMALL = 1024, 64
@@ -105,6 +105,7 @@ def sender(bits: int, width: int):
             yield batch_of(rows[i : i + 64], PACKED_SCHEMA)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.kept("jaccard")
         part, k = TaskContext.get().partitionId(), 0
         ids, sizes, docs, hashes, n_docs, n = [], [], [], [], 0, 0
         for batch in batches:

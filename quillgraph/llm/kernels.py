@@ -103,6 +103,22 @@ def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What a worker keeps between tasks of one operator (models, automata, word tables).
+
+    Workers outlive stages, so one operator's things go when another operator starts.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        _powers.clear()
+        settle()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def settle() -> None:
     """Gives freed memory back to the system: workers live long, and large arrays come and go."""
     pa.default_memory_pool().release_unused()

@@ -186,19 +186,19 @@ class Scanner:
 
 KIND = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 DDL = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double,starts:array<bigint>,ends:array<bigint>>"
-_scanners: dict[str, Scanner] = {}
 
 
 def scanner(phrases: dict, notices: dict, templates: dict):
     key = repr((phrases, notices, templates))
 
     def scan(texts: pa.Array) -> pa.Array:
-        if key not in _scanners:
-            _scanners[key] = Scanner(phrases, notices, templates)
+        kept = K.kept("licenses")
+        if key not in kept:
+            kept[key] = Scanner(phrases, notices, templates)
         out = []
         for _, _, buf, offsets in K.groups(texts):
             whole = buf.tobytes()
-            out += [_scanners[key].scan(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            out += [kept[key].scan(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         return pa.array(out, KIND)
 
     return scan

@@ -73,6 +73,7 @@ def _repeated(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def count_features(texts: pa.Array) -> pa.Array:
+    K.kept("quality")
     parts: list[list[np.ndarray]] = []
     for _, _, buf, offsets in K.groups(texts):
         counts, (hashes,) = K.word_hashes(buf, offsets)

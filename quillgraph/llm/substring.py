@@ -35,7 +35,7 @@ from .jaccard import PACKED, PACKED_SCHEMA, batch_of, by_bucket
 WIDTH = 13
 BATCHES, FANOUT = 3, 2
 BUCKET_BYTES = 4 << 20
-BLOCK_ENTRIES = 1_500_000
+BLOCK_ENTRIES = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
 RUN, ENTRIES, SELF, HITS = 1, 0, 2, 3
@@ -93,6 +93,7 @@ def sender(bits: int, width: int, batch_no: int):
             yield batch_of(rows[i : i + 64], PACKED_SCHEMA)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.kept("substring")
         part, k = TaskContext.get().partitionId(), 0
         held: tuple[list, ...] = ([], [], [], [], [])
         n = 0

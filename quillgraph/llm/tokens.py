@@ -205,11 +205,9 @@ class WordEncoder:
         return self._group(buf, offsets)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    found = K.kept("tokens")
+    if path not in found:
+        found[path] = WordEncoder(path)
+    return found[path]
