@@ -63,17 +63,19 @@ def admit(extracted: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.withColumn("type", kind).withColumn("entity_id", entity_id(F.col("type"), F.col("canonical")))
 
 
-def number_events(events: DataFrame, *order: str) -> DataFrame:
-    """Event ids by arrival order. Ordinals are counted by ranges of the first column, not in one task:
-    each range's count is a number, and its events are numbered within it."""
+def number_events(events: DataFrame, *order: str, width: int = 1 << 16, prefix: int = 8) -> DataFrame:
+    """Event ids by arrival order, without one global sort: counts of ranges of the first column are
+    summed up, then each range counts its own. Ranges: ``width`` numbers, or texts with an equal start."""
     first = order[0]
-    ranges = events.groupBy(first).agg(F.count("*").alias("n"))
-    # one row a chunk; running totals of counts
-    before = F.coalesce(F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.select(first, before.alias("start"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1
-    numbered = events.withColumn("_own", own).join(starts, first).withColumn("ordinal", (F.col("start") + F.col("_own")).cast("long"))
-    return numbered.drop("_own", "start").withColumn("event_id", F.concat(F.lit("E"), F.col("ordinal").cast("string")))
+    text = dict(events.dtypes)[first] == "string"
+    keyed = events.withColumn("_range", F.substring(first, 1, prefix) if text else F.floor(F.col(first) / width))
+    ranges = keyed.groupBy("_range").agg(F.count("*").alias("n"))
+    # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("_range", before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    numbered = keyed.withColumn("_own", own).join(starts, "_range").withColumn("ordinal", (F.col("_start") + F.col("_own")).cast("long"))
+    return numbered.drop("_own", "_start", "_range").withColumn("event_id", F.concat(F.lit("E"), F.col("ordinal").cast("string")))
 
 
 def build_entities(admitted: DataFrame) -> DataFrame:
