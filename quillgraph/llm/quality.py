@@ -4,8 +4,12 @@ Base rules reject a text of fewer than ten words, or one of whose words over a f
 repeated five-word windows. Beyond that nothing is a fixed cutoff: rates of each text are
 counted into logarithmic buckets (relative error ``ERROR``) by language and source. Such a
 sketch is a set of (bucket, count) rows, so sketches merge by adding counts: partial sums on the
-map side, a language's sketch from those of its sources, today's with yesterday's. Fences come
-from the sketches' quartiles, and documents are joined to the fences of their group.
+map side, a language's sketch from those of its sources, today's with yesterday's. A fence lies
+three interquartile ranges beyond its quartile, or at the group's outer tenth if that is further
+out: rates that are zero for most texts have no quartiles to speak of. Beyond the sketch's own
+error nothing is added. A text is judged by its count less the standard error of a count (its
+root), so that one occurrence in a short text is no evidence. Documents are joined to the
+fences of their group.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a
 group of its own. Ties and repeated rows count as often as they occur. An empty table gives an
@@ -31,14 +35,14 @@ REPEAT_WIDTH = 5
 
 #: Relative error of a sketch's quantiles, and the value under which rates count as zero.
 ERROR, LEAST = 0.01, 1e-4
-#: Rate: (numerator, denominator, sides that are fenced, slack: what a rate may exceed its fence by when a group hardly varies).
+#: Rate: (numerator, denominator, sides that are fenced).
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", "upper", 0.10),
-    "dup_line_rate": ("n_dup_lines", "n_lines", "upper", 0.50),
-    "upper_rate": ("n_upper", "word_chars", "upper", 0.20),
-    "word_length": ("word_chars", "n_words", "both", 3.0),
+    "symbol_rate": ("n_symbols", "n_words", "upper"),
+    "dup_line_rate": ("n_dup_lines", "n_lines", "upper"),
+    "upper_rate": ("n_upper", "word_chars", "upper"),
+    "word_length": ("word_chars", "n_words", "both"),
 }
-SPREAD = 3.0
+SPREAD, TAIL = 3.0, 0.1
 MIN_GROUP = 200  # documents: smaller groups take their language's fences, smaller languages those of all
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -94,9 +98,10 @@ def base_failed(f) -> F.Column:
     return (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
 
 
-def _rate(f, name: str) -> F.Column:
-    over, under, _, _ = RATES[name]
-    return f[over] / F.greatest(f[under], F.lit(1))
+def _rate(f, name: str, errors: int = 0) -> F.Column:
+    over, under, _ = RATES[name]
+    count = f[over] + errors * F.sqrt(f[over]) if errors else f[over]
+    return count / F.greatest(f[under], F.lit(1))
 
 
 def sketch(counted: DataFrame, f: str, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -127,11 +132,12 @@ def fences(sketches: DataFrame) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.col("bucket").asc_nulls_first())
     ranked = merged.withColumn("seen", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.exp(F.col("bucket") * gamma) * 2 / (1 + math.exp(gamma)))
-    quartile = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("all") * q), value))
-    found = ranked.groupBy(*keys).agg(F.max("all").alias("n_docs"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for r, (_, _, _, s) in RATES.items() for x in (r, s)])[F.col("rate")]
-    reach = F.greatest(SPREAD * (F.col("q3") - F.col("q1")), slack)
-    wide = found.groupBy("level", "lang", "source").pivot("rate", list(RATES)).agg(F.max(F.col("q1") - reach).alias("low"), F.max(F.col("q3") + reach).alias("high"), F.max("n_docs").alias("n"))
+    quantile = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("all") * q), value))
+    found = ranked.groupBy(*keys).agg(F.max("all").alias("n_docs"), *[quantile(q).alias(name) for name, q in (("least", TAIL), ("q1", 0.25), ("q3", 0.75), ("most", 1 - TAIL))])
+    reach = SPREAD * (F.col("q3") - F.col("q1"))
+    low = F.least(F.col("q1") - reach, F.col("least") * (1 - 2 * ERROR) - LEAST)
+    high = F.greatest(F.col("q3") + reach, F.col("most") * (1 + 2 * ERROR) + LEAST)
+    wide = found.groupBy("level", "lang", "source").pivot("rate", list(RATES)).agg(F.max(low).alias("low"), F.max(high).alias("high"), F.max("n_docs").alias("n"))
     return wide.withColumn("n_docs", F.greatest(*[F.coalesce(f"{r}_n", F.lit(0)) for r in RATES])).drop(*[f"{r}_n" for r in RATES])
 
 
@@ -165,10 +171,10 @@ def judged(counted: DataFrame, f: str, limits: DataFrame, lang: str, source: str
         joined = joined.join(mine, on, "left")
     edge = F.coalesce("__e2", "__e1", "__e0")
     ok = ~base_failed(F.col(f))
-    for r, (_, _, sides, _) in RATES.items():
-        ok = ok & F.coalesce(_rate(F.col(f), r) <= edge[f"{r}_high"], F.lit(True))
+    for r, (_, _, sides) in RATES.items():
+        ok = ok & F.coalesce(_rate(F.col(f), r, -1) <= edge[f"{r}_high"], F.lit(True))
         if sides == "both":
-            ok = ok & F.coalesce(_rate(F.col(f), r) >= edge[f"{r}_low"], F.lit(True))
+            ok = ok & F.coalesce(_rate(F.col(f), r, 1) >= edge[f"{r}_low"], F.lit(True))
     return joined.withColumn(out, ok).select(*[F.col(f"`{c}`") for c in counted.columns], out)
 
 

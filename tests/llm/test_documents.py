@@ -283,6 +283,17 @@ def test_adaptive_fences_follow_the_group(spark):
     assert not got[5000] and all(v for k, v in got.items() if k != 5000)
 
 
+def test_fences_follow_spread_of_each_rate(spark):
+    """Rates that the sketch shows as outliers go, though small; rates that a tenth of a group have stay."""
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice("bcdfg") + rng.choice("aeiou") + str(rng.randrange(100, 999)) for _ in range(3))
+    text = lambda again=0: "\n".join(x for lines in [[line() for _ in range(60)]] for x in lines + lines[:again])
+    rows = [(i, text(), "en", "once", 0) for i in range(300)] + [(1000, text(5), "en", "once", 0), (1001, text(1), "en", "once", 0), (1002, text() + " #" * 12, "en", "once", 0), (1003, text().replace("b", "B"), "en", "once", 0)]
+    rows += [(2000 + i, text(5 if i % 5 == 0 else 0), "en", "often", 0) for i in range(300)]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k for k, v in got.items() if not v} == {1000, 1002, 1003}
+
+
 def test_sketches_merge_and_bound_quantiles(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["#" if rng.random() < p else f"y{j}" for j in range(200)] + [f"x{j}" for j in range(300)]) for p in rng.random(400) * 0.2]
