@@ -8,8 +8,10 @@ map side, a language's sketch from those of its sources, today's with yesterday'
 three interquartile ranges beyond its quartile, or at the group's outer tenth if that is further
 out: rates that are zero for most texts have no quartiles to speak of. Beyond the sketch's own
 error nothing is added. A text is judged by its count less the standard error of a count (its
-root), so that one occurrence in a short text is no evidence. Documents are joined to the
-fences of their group.
+root), so that one occurrence in a short text is no evidence. A source's sketch is merged with
+``PRIOR`` texts that stand for its language, a language's with ``PRIOR`` that stand for all: the
+fewer texts a group has, the more its fences are those of the level above, with no switch at
+any size. Documents are joined to the fences of their group.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a
 group of its own. Ties and repeated rows count as often as they occur. An empty table gives an
@@ -43,7 +45,7 @@ RATES = {
     "word_length": ("word_chars", "n_words", "both"),
 }
 SPREAD, TAIL = 3.0, 0.1
-MIN_GROUP = 200  # documents: smaller groups take their language's fences, smaller languages those of all
+PRIOR = 50  # texts by which the level above weighs in a group's sketch
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 GAPS = " \t\n\x0b\x0c\r"
@@ -123,17 +125,36 @@ def merge_sketches(*sketches: DataFrame) -> DataFrame:
 def fences(sketches: DataFrame) -> DataFrame:
     """(level, lang, source, n_docs, <rate>_low, <rate>_high) for each source of a language, language and all.
 
-    Levels: 2 a language's source, 1 a language, 0 all.
+    Levels: 2 a language's source, 1 a language, 0 all. ``sketches`` is read several times: a written table, as a rule.
     """
     gamma = math.log((1 + ERROR) / (1 - ERROR))
-    every = sketches.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), (F.col("lang") if level else F.lit(None).cast("string")).alias("lang"), (F.col("source") if level == 2 else F.lit(None).cast("string")).alias("source")) for level in (0, 1, 2)])).alias("g"), "rate", "bucket", "n")
-    merged = every.groupBy("g.level", "g.lang", "g.source", "rate", "bucket").agg(F.sum("n").alias("n"))
     keys = ["level", "lang", "source", "rate"]
-    order = Window.partitionBy(*keys).orderBy(F.col("bucket").asc_nulls_first())
-    ranked = merged.withColumn("seen", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    sizes = Window.partitionBy(*keys)
+    order = sizes.orderBy(F.col("bucket").asc_nulls_first())
+    ranking = lambda df: df.withColumn("seen", F.sum("n").over(order)).withColumn("all", F.sum("n").over(sizes))
+
+    def level(k: int) -> DataFrame:
+        lang, source = (F.col("lang") if k else F.lit(None).cast("string")), (F.col("source") if k == 2 else F.lit(None).cast("string"))
+        return sketches.groupBy(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"), "rate", "bucket").agg(F.sum("n").alias("n"))
+
+    def shrunk(own: DataFrame, above: DataFrame) -> DataFrame:
+        """``own`` with PRIOR texts more in each group: those at evenly spaced ranks of the group's sketch in ``above``."""
+        drawn = lambda seen: F.floor((2 * PRIOR * seen + F.col("all")) / (2 * F.col("all")))
+        prior = ranking(above).withColumn("n", drawn(F.col("seen")) - drawn(F.col("seen") - F.col("n"))).where("n > 0")
+        groups = own.select("level", "lang", "source").distinct()
+        if above is every:
+            prior = groups.join(F.broadcast(prior.select("rate", "bucket", "n")))
+        else:
+            prior = groups.join(prior.select(F.col("lang").alias("of"), "rate", "bucket", "n"), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+        return own.withColumn("own", F.col("n")).unionByName(prior.withColumn("own", F.lit(0).cast("long"))).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+
+    every = level(0)
+    langs = shrunk(level(1), every)
+    merged = every.withColumn("own", F.col("n")).unionByName(langs).unionByName(shrunk(level(2), langs.drop("own")))
+    ranked = ranking(merged)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.exp(F.col("bucket") * gamma) * 2 / (1 + math.exp(gamma)))
     quantile = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("all") * q), value))
-    found = ranked.groupBy(*keys).agg(F.max("all").alias("n_docs"), *[quantile(q).alias(name) for name, q in (("least", TAIL), ("q1", 0.25), ("q3", 0.75), ("most", 1 - TAIL))])
+    found = ranked.groupBy(*keys).agg(F.sum("own").alias("n_docs"), *[quantile(q).alias(name) for name, q in (("least", TAIL), ("q1", 0.25), ("q3", 0.75), ("most", 1 - TAIL))])
     reach = SPREAD * (F.col("q3") - F.col("q1"))
     low = F.least(F.col("q1") - reach, F.col("least") * (1 - 2 * ERROR) - LEAST)
     high = F.greatest(F.col("q3") + reach, F.col("most") * (1 + 2 * ERROR) + LEAST)
@@ -153,7 +174,7 @@ def judged(counted: DataFrame, f: str, limits: DataFrame, lang: str, source: str
     n = limits.count()
     edges = [c for c in limits.columns if c.endswith(("_low", "_high"))]
     packed = F.struct(*edges).alias("__edges")
-    levels = [limits.where(f"level = {k}").where((F.col("n_docs") >= MIN_GROUP) | F.lit(k == 0)).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), packed) for k in (0, 1, 2)]
+    levels = [limits.where(f"level = {k}").select(F.col("lang").alias("__l"), F.col("source").alias("__s"), packed) for k in (0, 1, 2)]
     joined = counted
     for k, level in enumerate(levels):
         mine = level.withColumnRenamed("__l", f"__l{k}").withColumnRenamed("__s", f"__s{k}").withColumnRenamed("__edges", f"__e{k}")
@@ -188,7 +209,8 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     f = fresh(docs, "__counts")
     v = fresh(docs, "__kept")
     counted = docs.withColumn(f, features(F.col(text)))
-    limits, _ = written(fences(sketch(docs.select(lang, source, text).withColumn(f, features(F.col(text))), f, lang, source)), "fences")
+    buckets, _ = written(sketch(docs.select(lang, source, text).withColumn(f, features(F.col(text))), f, lang, source), "sketch")
+    limits, _ = written(fences(buckets), "fences")
     return judged(counted, f, limits, lang, source, v).where(v).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -196,6 +218,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed and kept of each document. Counts are written once: they are narrow."""
     bounded_batches(docs.sparkSession)
     counted, _ = written(docs.select("doc_id", "lang", "source", features(F.col("text")).alias("f")), "counts")
-    limits, _ = written(fences(sketch(counted, "f")), "fences")
+    buckets, _ = written(sketch(counted, "f"), "sketch")
+    limits, _ = written(fences(buckets), "fences")
     out = judged(counted, "f", limits, "lang", "source", "kept")
     return out.select("doc_id", *[F.col(f"f.{c}").alias(c) for c in COUNTS[:5]], base_failed(F.col("f")).alias("base_failed"), "kept", *[_rate(F.col("f"), r).alias(r) for r in RATES])

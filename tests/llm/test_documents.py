@@ -294,6 +294,17 @@ def test_fences_follow_spread_of_each_rate(spark):
     assert {k for k, v in got.items() if not v} == {1000, 1002, 1003}
 
 
+def test_small_groups_keep_their_own_fences(spark):
+    """A source is judged by its own rates at 199 texts and at 60, whatever is usual in its language."""
+    words = [f"word{i}" for i in range(40)]
+    text = lambda k, gap: gap.join(words[k % 7 : k % 7 + 20]) + f" a{k}"
+    rows = [(i, text(i, " "), "en", "clean", 0) for i in range(900)] + [(1000 + i, text(i, " # "), "en", "code", 0) for i in range(199)]
+    rows += [(2000 + i, text(i, " "), "en", "small", 0) for i in range(60)] + [(3000, text(1, " # "), "en", "small", 0)]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[1000 + i] for i in range(199))
+    assert not got[3000]
+
+
 def test_sketches_merge_and_bound_quantiles(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["#" if rng.random() < p else f"y{j}" for j in range(200)] + [f"x{j}" for j in range(300)]) for p in rng.random(400) * 0.2]
