@@ -2,8 +2,9 @@
 
 One automaton accepts every run of words of every template. A text's words are streamed through
 it, which gives for each word the longest run ending there that some template has: its matching
-statistics. Runs of ``MIN_RUN`` words or more are chained, by template and in template order,
-into covered spans; a label is given where a chain covers ``MIN_SHARE`` of its template. Phrases
+statistics. Words of runs of ``MIN_RUN`` or more are chained, by template and in template order:
+of all chains the one that covers most counts, and overlapping runs share out their words. A label
+is given where it covers ``MIN_SHARE`` of its template. Phrases
 are templates of their own that must occur whole: each automaton state knows which phrases end
 the run that it stands for.
 
@@ -102,10 +103,11 @@ class Scanner:
         whole = [(code(p), label, base) for table, base in ((phrases, True), (notices, False)) for p, label in table.items()]
         self.templates = [(label, code(text)) for label, text in templates.items()]
         self.sam = SuffixAutomaton([w for w, _, _ in whole] + [t for _, t in self.templates])
-        self.places: dict[int, dict[int, list[int]]] = {}
-        for t, (_, words) in enumerate(self.templates):
-            for at, word in enumerate(words):
-                self.places.setdefault(t, {}).setdefault(word, []).append(at)
+        #: by template: where its runs of MIN_RUN words begin
+        self.places: list[dict[tuple[int, ...], list[int]]] = [{} for _ in self.templates]
+        for places, (_, words) in zip(self.places, self.templates):
+            for at in range(len(words) - MIN_RUN + 1):
+                places.setdefault(tuple(words[at : at + MIN_RUN]), []).append(at)
         ends: dict[int, list[tuple[int, str, bool]]] = {}
         for words, label, base in whole:
             state = 0
@@ -149,9 +151,7 @@ class Scanner:
                         first = start if first is None else min(first, start)
                         last = start if last is None else max(last, start)
             if run >= MIN_RUN:
-                if runs and runs[-1][1] == at and run == runs[-1][2] + 1:
-                    runs.pop()
-                runs.append((at - run + 1, at + 1, run))
+                runs.append(at - MIN_RUN + 1)
         score = 1.0 if labels else 0.0
         spans = []
         for t, (label, template) in enumerate(self.templates):
@@ -162,26 +162,38 @@ class Scanner:
             score = max(score, covered / len(template))
         return {"n_words": len(words), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(1.0, score), "starts": [s for s, _ in sorted(spans + hits)], "ends": [e for _, e in sorted(spans + hits)]}
 
-    def _chain(self, words: list[int], runs: list, t: int, template: list[int]) -> tuple[int, tuple[int, int]]:
+    def _chain(self, words: list[int], runs: list[int], t: int, template: list[int]) -> tuple[int, tuple[int, int]]:
         """Most words of a template that runs cover in its order, and the span of text that they take.
 
-        Runs are placed greedily: each at the first place in the template after the one before it.
+        ``runs`` are the beginnings of all runs of MIN_RUN words. Their words are paired with their
+        places in the template; a chain goes forward in both, with gaps in the text of at most the
+        template's length. By place, the chains that end there are held as (covered, begin, last):
+        a later one is held besides an earlier one that covers more, as that goes out of reach first.
         """
-        at, covered, begin, end = 0, 0, None, 0
-        for start, stop, run in runs:
-            place = next((p for p in self.places[t].get(words[start], ()) if p >= at and template[p : p + run] == words[start:stop]), None)
-            if place is None or (begin is not None and start < end):
-                continue
-            if begin is not None and start - end > len(template):  # too far off: a new chain
-                if 2 * covered >= len(template):
-                    break
-                covered, begin, at = 0, None, 0
-                place = next((p for p in self.places[t].get(words[start], ()) if template[p : p + run] == words[start:stop]), None)
-                if place is None:
-                    continue
-            begin = start if begin is None else begin
-            at, end, covered = place + run, stop, covered + run
-        return covered, (begin or 0, end)
+        size, best = len(template), (0, 0, -1)
+        held: list[list[tuple[int, int, int]]] = [[] for _ in template]
+        places, waiting = self.places[t], {}
+        for start in (*runs, len(words)):
+            for at in sorted(k for k in waiting if k < start):
+                for place in sorted(waiting.pop(at), reverse=True):
+                    covered, begin = 0, at
+                    for chains in held[:place]:
+                        while chains and at - chains[0][2] - 1 > size:
+                            chains.pop(0)
+                        if chains and chains[0][:2] > (covered, begin):
+                            covered, begin, _ = chains[0]
+                    chains = held[place]
+                    while chains and chains[-1][0] <= covered + 1:
+                        chains.pop()
+                    chains.append((covered + 1, begin, at))
+                    if covered >= best[0]:
+                        best = (covered + 1, begin, at)
+            if best[0] == size:
+                break
+            for place in places.get(tuple(words[start : start + MIN_RUN]), ()):
+                for k in range(MIN_RUN):
+                    waiting.setdefault(start + k, set()).add(place + k)
+        return best[0], (best[1], best[2] + 1)
 
 
 KIND = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])

@@ -361,6 +361,36 @@ def test_license_templates_and_statistics(spark):
     assert {at: run for at, run, _ in scan.statistics(stream)} == best
 
 
+def test_license_chains_are_the_best():
+    """Runs that overlap, stray ends of a template before it, and chains after a longer one lose nothing."""
+    scan = licenses.Scanner({}, {}, licenses.TEMPLATES)
+    mit = licenses.TEMPLATES["mit"]
+    cut, stray, far = mit.replace("to deal in the software ", ""), "and or sell copies of the software", " pad" * 80
+    got = [scan.scan(t.encode()) for t in (cut, stray + " pad " + mit, stray + far + " " + mit, " ".join(mit.split()[:20]) + far + " " + stray)]
+    assert [(r["labels"], round(r["score"] * 49)) for r in got] == [("mit", 44), ("mit", 49), ("mit", 49), ("", 20)]
+    assert (got[1]["starts"], got[1]["ends"]) == ([8], [57])
+
+
+def test_license_chains_agree_with_brute_force():
+    """Against the longest common subsequence of the words that lie in shared runs."""
+    rng = random.Random(8)
+    scan = licenses.Scanner({}, {}, {"t": " ".join(f"w{k % 17}" for k in range(40))})
+    template = scan.templates[0][1]
+    for _ in range(40):
+        words = []
+        while len(words) < 38:
+            a = rng.randrange(36)
+            words += template[a : a + rng.randint(3, 14)] + [0] * rng.randint(0, 1)
+        pairs = {(i + k, p + k) for i in range(len(words) - 4) for p in range(36) if words[i : i + 5] == template[p : p + 5] for k in range(5)}
+        best = np.zeros((len(words) + 1, 41), int)
+        for i in range(len(words)):
+            for p in range(40):
+                best[i + 1, p + 1] = max(best[i, p + 1], best[i + 1, p], best[i, p] + ((i, p) in pairs))
+        runs = [at - 4 for at, run, _ in scan.statistics(words) if run >= 5]
+        covered, _ = scan._chain(words, runs, 0, template)
+        assert covered == best[-1, -1]
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (jaccard.jaccard_components(empty), jaccard.drop_near_duplicates(empty), substring.dedup_report(empty), substring.drop_repeated_passages(empty), decontaminate.decontamination_report(empty, items), packing.pack_documents(empty), idfiles.written_and_read(empty), quality.quality_report(empty), quality.quality_filter(empty), licenses.scan_licenses(empty)):
