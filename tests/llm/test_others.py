@@ -63,6 +63,24 @@ def test_url_model_probabilities_sum_to_one(spark):
     assert abs(total - 1) < 0.1  # hashing may let contexts share counters
 
 
+def test_url_model_is_exact_beyond_any_table_size(spark, monkeypatch):
+    """Probabilities sum to one with over 32,768 contexts, and shards of the counts give the same scores."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    made = [f"http://{word(9)}.{rng.choice(['example.net/en', 'example.com/de', 'example.org'])}/{word(20)}" for _ in range(6000)]
+    model = urls.fit(spark.createDataFrame([(k % 2, u) for k, u in enumerate(made)], "class int, url string"))
+    import pyarrow as pa
+
+    for prefix in [u[: 12 + k % 9].encode() for k, u in enumerate(made[:20])]:
+        found = [next(urls.contexts(pa.array([prefix + bytes([c])], pa.binary())))[2] for c in range(256)]
+        assert abs(sum(np.exp(model.log_probability(1, slots)[-1]) for slots in found) - 1) < 1e-9
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    whole = {r.page_id: r for r in urls.judge(df).collect()}
+    monkeypatch.setattr(urls, "MAX_PAIRS", 100_000)
+    for r in urls.judge(df).collect():
+        assert abs(r.score - whole[r.page_id].score) < 1e-9 and abs(r.threshold - whole[r.page_id].threshold) < 1e-9
+
+
 TALK = [
     (1, 0, "user", "Hello there!\nHow are you?"), (1, 1, "assistant", "> hello there\nHi. I am fine.\nThanks"), (1, 2, "user", "> Hi.  I am fine\n>> Hello there\nGood"), (1, 3, "user", "no quote"),
     (1, 4, "user", ">>> how are you\n>nothing known\nx"), (2, 0, "user", "Hello there!"), (2, 1, "user", "> Hi. I am fine.\nq"), (2, 2, None, None), (None, 1, "user", "> x"), (3, 1, "u", "a\n\n"), (3, 1, "u", "> a"),
