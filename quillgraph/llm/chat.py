@@ -11,6 +11,11 @@ Each message yields its text without quotes, what it replies to, its thread (the
 turn), depth, and its path of turns; sorting by conversation and path gives the reply order. A
 message that quotes nothing known starts a thread.
 
+With ``partial``, a passage is also split at its blank quoted lines, and paragraphs of messages are
+indexed beside their lines, so that paragraphs of a message link when they are quoted without the
+rest or re-wrapped; whole passages count before paragraphs, ``n_linked`` counts paragraphs. The
+registered query is without, as its SQL is.
+
 Null texts are empty messages. Messages without a conv_id or turn are never linked. Rows with one
 conv_id and turn are one place in a conversation: replies to it are the same, each row has its own
 text. Quotes that hold no letter or digit link nothing. Long texts are lines like others. Extra
@@ -28,6 +33,7 @@ from .base import delete, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
+BLANK = r"\n(?:[ \t]*\n)+"
 KEY = ["conv_id", "turn", "tag"]
 
 
@@ -50,27 +56,45 @@ def _hash(text) -> F.Column:
     return F.xxhash64(normalised(text))
 
 
-def quoted_keys(quoting: DataFrame) -> DataFrame:
-    """(conv_id, turn, tag, level, whole, h): hashes of quoted passages and of their lines."""
+def quoted_keys(quoting: DataFrame, partial: bool = False) -> DataFrame:
+    """(conv_id, turn, tag, level, whole, h): hashes of quoted passages and of their lines.
+
+    whole is 0 for a line and 1 for a passage; with ``partial`` 1 for a paragraph of one and 2 for one of several paragraphs.
+    """
     lines = quoting.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("level", level_of(F.col("line"))).where("level > 0")
     lines = lines.withColumn("line", F.regexp_replace("line", MARKS, ""))
     run = F.col("at") - F.row_number().over(Window.partitionBy(*KEY, "level").orderBy("at"))
-    passages = lines.withColumn("run", run).groupBy(*KEY, "level", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("line"))
-    every = lines.select(*KEY, "level", F.lit(0).alias("whole"), "line").unionByName(passages.select(*KEY, "level", F.lit(1).alias("whole"), "line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n" if partial else " ")
+    passages = lines.withColumn("run", run).groupBy(*KEY, "level", "run").agg(joined.alias("line"))
+    whole = F.lit(1)
+    if partial:
+        passages = passages.withColumn("parts", F.filter(F.split("line", BLANK), lambda x: normalised(x) != ""))
+        whole = F.when(F.size("parts") > 1, 2).otherwise(1)
+    every = lines.select(*KEY, "level", F.lit(0).alias("whole"), "line").unionByName(passages.select(*KEY, "level", whole.alias("whole"), "line"))
+    if partial:
+        every = every.unionByName(passages.where(F.size("parts") > 1).select(*KEY, "level", F.lit(1).alias("whole"), F.explode("parts").alias("line")))
     return every.where(normalised(F.col("line")) != "").select(*KEY, "level", "whole", _hash(F.col("line")).alias("h"))
 
 
-def links(messages: DataFrame) -> DataFrame:
+def links(messages: DataFrame, partial: bool = False) -> DataFrame:
     """(conv_id, turn, tag, reply_to, n_linked) of messages that quote something known."""
     quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(*KEY, "text").dropDuplicates(KEY)
     talks = quoting.select("conv_id").distinct()
     spoken = messages.where(F.col("turn").isNotNull()).join(talks, "conv_id", "left_semi").select("conv_id", "turn", own_text(F.col("text")).alias("own"))
-    parts = F.explode(F.array_distinct(F.concat(F.array("own"), F.split("own", "\n")))).alias("part")
+    pieces = [F.array("own"), F.split("own", "\n")] + ([F.split("own", BLANK)] if partial else [])
+    parts = F.explode(F.array_distinct(F.concat(*pieces))).alias("part")
     index = spoken.select("conv_id", "turn", parts).where(normalised(F.col("part")) != "").groupBy("conv_id", _hash(F.col("part")).alias("h")).agg(F.min("turn").alias("said"))
-    found = quoted_keys(quoting).join(index, ["conv_id", "h"]).where("said < turn")
+    found = quoted_keys(quoting, partial).join(index, ["conv_id", "h"]).where("said < turn")
     votes = found.groupBy(*KEY, "level", "whole", "said").agg(F.count("*").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("level"), "whole", "n", "said"))["said"]
-    return votes.groupBy(*KEY).agg(best.alias("reply_to"), F.sum(F.col("n") * F.col("whole")).alias("n_linked"))
+    return votes.groupBy(*KEY).agg(best.alias("reply_to"), _linked(partial).alias("n_linked"))
+
+
+def _linked(partial: bool) -> F.Column:
+    if not partial:
+        return F.sum(F.col("n") * F.col("whole"))
+    of = lambda whole: F.sum(F.when(F.col("whole") == whole, F.col("n")).otherwise(0))
+    return F.greatest(of(1), of(2))
 
 
 def paths(edges: DataFrame) -> DataFrame:
@@ -88,11 +112,11 @@ def paths(edges: DataFrame) -> DataFrame:
     return now.select("conv_id", "turn", F.col("top").alias("thread"), F.concat(F.array("top"), "path").alias("path"))
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
+def format_chats(conversations: DataFrame, partial: bool = False) -> DataFrame:
     """A row for each message: conv_id, turn, role, body, reply_to, n_linked, thread, depth, path."""
     messages = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     messages = messages.withColumn("tag", F.xxhash64("text"))
-    linked, _ = written(links(messages), "links")
+    linked, _ = written(links(messages, partial), "links")
     places, _ = written(paths(linked.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to"))), "paths")
     # the left side may have a hot conversation; both joins are on the message
     out = messages.join(linked, KEY, "left").join(places, ["conv_id", "turn"], "left")

@@ -99,6 +99,16 @@ def test_quotes(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_paragraphs_quoted_in_part_link(spark):
+    """Re-wrapped paragraphs of a longer message link, with their count; other results stay."""
+    first = "One two three four five six.\n\nSeven eight nine\nten eleven.\n\nTwelve thirteen."
+    reply = "> One two three\n> four five six.\n>\n> Seven eight\n> nine ten\n> eleven.\nI agree."
+    rows = [(1, 0, "u", first), (1, 1, "u", reply), (2, 0, "u", "P1 a b\nP2 c d\nP3 e f"), (2, 1, "u", "> P1 a\n> b\n>\n> P2\n> c d\nyes"), (3, 0, "u", "a b\n\nc d"), (3, 1, "u", "> a b\n>\n> c d\nall")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked, r.path) for r in chat.format_chats(df, partial=True).collect()}
+    assert all(got[k, 1] == (0, 2, "0/1") and got[k, 0] == (None, 0, "0") for k in (1, 2, 3))
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "word0")] + [(1, k, "u", f"> word{k - 1}\nword{k}") for k in range(1, 40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
