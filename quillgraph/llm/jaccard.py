@@ -322,14 +322,14 @@ def shingle_table(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     return out
 
 
-def band_of(n) -> F.Column:
+def band_of(n, percent: int = PERCENT) -> F.Column:
     """Band of a size: partners lie in one band or in two neighbours."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT + 1e-9))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int")
 
 
 def _tiles(open_rows: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Groups of (key, doc_id) with several components: pairs that small tiles leave possible; links of large ones."""
-    rows = open_rows.join(reps.select("doc_id", "n"), "doc_id").withColumn("band", band_of(F.col("n")))
+    rows = open_rows.join(reps.select("doc_id", "n"), "doc_id").withColumn("band", band_of(F.col("n"), percent))
     roles = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("low")), F.struct((F.col("band") + 1).alias("band"), F.lit(1).alias("low")))).alias("t")
     placed = rows.select("key", "doc_id", roles).select("key", "doc_id", "t.band", "t.low")
     sizes = placed.groupBy("key", "band").agg(F.sum(1 - F.col("low")).alias("upper"), F.count("*").alias("members")).where("upper > 0 and members > 1")

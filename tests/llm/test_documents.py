@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgraph.llm import decontaminate, idfiles, jaccard, licenses, packing, quality, substring, tokens
@@ -91,6 +92,12 @@ def test_jaccard_large_tiles_are_exact(docs, rows, monkeypatch):
     assert {tuple(r) for r in jaccard.jaccard_components(docs).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [30, 50, 75, 90])
+def test_bands_of_possible_partners_are_neighbours(spark, percent):
+    bands = {r.n: r.band for r in spark.range(1, 300).select(F.col("id").alias("n"), jaccard.band_of(F.col("id"), percent).alias("band")).collect()}
+    assert all(bands[m] - bands[n] in (0, 1) for n in bands for m in bands if n <= m and 100 * n >= percent * m)
+
+
 def test_jaccard_blocks_and_buckets_change_nothing(docs, monkeypatch):
     want = {tuple(r) for r in jaccard.jaccard_components(docs).collect()}
     monkeypatch.setattr(jaccard, "BUCKET_BYTES", 2000)
