@@ -2,7 +2,8 @@
 
 Quality rules drop documents; of each group of near duplicates the smallest doc_id stays; repeated
 passages are cut out of the later documents (documents of which nothing is left go); contaminated
-documents go; what remains is tokenized and packed. All stages but the last return the columns of
+documents go, and benchmark passages are cut out of those that stay; what remains is tokenized
+and packed. All stages but the last return the columns of
 ``documents``. Null, empty and very long texts, ties, repeated rows, empty tables and extra columns
 are handled as each operator's docstring states.
 """

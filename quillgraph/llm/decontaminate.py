@@ -164,6 +164,18 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their columns as they are."""
+    """The documents that aren't contaminated, without the spans that are hits; other columns as they are.
+
+    A text without hits stays as it is; n_chars, where there is such a column, is counted anew if spans were cut.
+    """
     f = fresh(docs, "__scan")
-    return scanned(docs, benchmark, f).where(~contaminated(F.col(f))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = scanned(docs, benchmark, f).where(~contaminated(F.col(f)))
+    hit = F.col(f)["n_hit"] > 0
+    starts, ends = F.col(f)["starts"].cast("array<int>"), F.col(f)["ends"].cast("array<int>")
+    # what lies between one span's end and the next one's start
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("a"), F.concat(starts, F.array(F.char_length("text"))).alias("b"))
+    left = F.array_join(F.transform(gaps, lambda g: F.substring(F.col("text"), g["a"] + 1, g["b"] - g["a"])), "")
+    cut = clean.withColumn("text", F.when(hit, left).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(hit, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
