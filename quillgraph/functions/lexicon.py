@@ -4,27 +4,57 @@ from __future__ import annotations
 
 # fixed values: event types and the keyword patterns that mark them
 EVENT_PATTERNS = {
-    "KILL": r"kill|killed|slay|slew|slain|struck?\s+down|struck?\s+dead|smote|smitten|slaughter|beheaded|beheading|decapitated|murder|murdered",
-    "COMMAND": r"command|commanded|led|ordered|instructed|directed|sent|dispatch|deputed",
-    "BATTLE": r"battle|fought|clash|combat|war|duel|skirmish",
-    "VOW": r"vow|vowed|vowing|swore|sworn|swear|oath|promise|promised",
-    "CURSE": r"curse|cursed|cursing|accursed|doomed|condemned|imprecation",
-    "BOON": r"boon|granted|favour|favor|gift|bestowed",
-    "DEATH": r"died|death|perish|perished|fallen|fell|expire|expired|breathed\s+(?:his|her)\s+last|passed\s+away|succumb|succumbed",
-    "CORONATION": r"crowned|coronation|anointed|installed\s+as\s+king|made\s+king|enthroned|ascended\s+(?:the\s+)?throne",
-    "ENGAGED_IN_BATTLE": r"engaged\s+(?:in\s+)?(?:battle|combat|fight)|encountered\s+(?:in\s+)?battle|met\s+(?:in\s+)?battle|joined\s+battle\s+with|stood\s+against|opposed|confronted|advanced\s+against|assailed|attacked|surged\s+against",
-    "DEFEATED": r"defeated|overcame|vanquished|routed|conquered|subdued|overpowered|worsted|broke\s+the\s+ranks\s+of",
-    "PROTECTED": r"protected|defended|shielded|guarded|covered\s+the\s+retreat\s+of|supported|reinforced|held\s+firm\s+for",
-    "PURSUED": r"pursued|chased|followed|hunted|tracked",
-    "RESCUED": r"rescued|saved|delivered\s+from|liberated|freed",
-    "APPOINTED_AS": r"appointed\s+(?:as)?|installed\s+as|made\s+(?:commander|general|minister|king)|designated\s+as",
-    "ABANDONED": r"abandoned|left|forsook|deserted|renounced|retreated\s+before|fled\s+from|fell\s+back\s+before",
-    "ATTACKED": r"attacked|assailed|assaulted|struck\s+at|charged\s+at|fell\s+upon|made\s+war\s+upon",
-    "DEFENDED": r"defended|shielded|protected|held\s+the\s+line\s+against|stood\s+fast\s+against",
-    "RETREATED": r"retreated|fell\s+back|withdrew|fled\s+from|turned\s+back\s+before",
-    "SURROUNDED": r"surrounded|encompassed|hemmed\s+in|closed\s+in\s+upon",
-    "SUPPORTED": r"supported|reinforced|succoured|came\s+to\s+the\s+aid\s+of|covered\s+the\s+retreat\s+of",
-    "FORMED_ARRAY_AGAINST": r"formed\s+(?:an\s+)?array\s+against|arrayed\s+against|drew\s+up\s+against|entered\s+the\s+ranks\s+of",
+    "KILL": (r"\b(?:kill|killed|slay|slew|slain|struck?\s+down|struck?\s+dead|smote|smitten|slaughter|beheaded|beheading|decapitated|murder|murdered)\b",),
+    "COMMAND": (r"\b(?:command|commanded|led|ordered|instructed|directed|sent|dispatch|deputed)\b",),
+    "BATTLE": (r"\b(?:battle|fought|fought\s+(?:with|against)|clash|combat|war|duel|skirmish|battle\s+(?:between|of)|fought\s+(?:in|at))\b",),
+    "VOW": (r"\b(?:vow|vowed|vow(?:ing|ed)|swore|sworn|swear|oath|promise|promised)\b",),
+    "CURSE": (r"\b(?:curse|cursed|curse\s+(?:upon|on)|cursing|accursed|doomed|condemned|imprecation)\b",),
+    "BOON": (r"\b(?:boon|granted\s+a\s+boon|boon\s+(?:from|of)|granted|granted\s+(?:to|him)|favour|favor|gift|bestowed)\b",),
+    "DEATH": (r"\b(?:died|death|perish|perished|fallen|fell|expire|expired|breathed\s+(?:his|her)\s+last|passed\s+away|succumb|succumbed)\b",),
+    "CORONATION": (r"\b(?:crowned|coronation|anointed|installed\s+as\s+king|made\s+king|enthroned|ascended\s+(?:the\s+)?throne)\b",),
+    "ENGAGED_IN_BATTLE": (
+        r"\b(?:engaged\s+(?:in\s+)?(?:battle|combat|fight)|encountered\s+(?:in\s+)?battle|met\s+(?:in\s+)?battle|joined\s+battle\s+with|stood\s+against|opposed|confronted)\b",
+        r"\b(?:advanced\s+against|assailed|attacked|surged\s+against)\b",
+    ),
+    "DEFEATED": (r"\b(?:defeated|overcame|vanquished|routed|conquered|subdued|overpowered|worsted|broke\s+the\s+ranks\s+of)\b",),
+    "PROTECTED": (r"\b(?:protected|defended|shielded|guarded|covered\s+the\s+retreat\s+of|supported|reinforced|held\s+firm\s+for)\b",),
+    "PURSUED": (r"\b(?:pursued|chased|followed|hunted|tracked)\b",),
+    "RESCUED": (r"\b(?:rescued|saved|delivered\s+from|liberated|freed)\b",),
+    "APPOINTED_AS": (r"\b(?:appointed\s+(?:as)?|installed\s+as|made\s+(?:commander|general|minister|king)|designated\s+as)\b",),
+    "ABANDONED": (r"\b(?:abandoned|left|forsook|deserted|renounced|retreated\s+before|fled\s+from|fell\s+back\s+before)\b",),
+    "ATTACKED": (r"\b(?:attacked|assailed|assaulted|struck\s+at|charged\s+at|fell\s+upon|made\s+war\s+upon)\b",),
+    "DEFENDED": (r"\b(?:defended|shielded|protected|held\s+the\s+line\s+against|stood\s+fast\s+against)\b",),
+    "RETREATED": (r"\b(?:retreated|fell\s+back|withdrew|fled\s+from|turned\s+back\s+before)\b",),
+    "SURROUNDED": (r"\b(?:surrounded|encompassed|hemmed\s+in|closed\s+in\s+upon)\b",),
+    "SUPPORTED": (r"\b(?:supported|reinforced|succoured|came\s+to\s+the\s+aid\s+of|covered\s+the\s+retreat\s+of)\b",),
+    "FORMED_ARRAY_AGAINST": (r"\b(?:formed\s+(?:an\s+)?array\s+against|arrayed\s+against|drew\s+up\s+against|entered\s+the\s+ranks\s+of)\b",),
+}
+# fixed values: by type and role, what stands before a participant, the participant, and what follows
+ROLE_PATTERNS = {
+    "KILL": {
+        "agent": (r"\b(?:who|X)\b", r"[a-z]+(?:\s+of\s+\w+)*", r"(?:\s+kill|\s+slew)"),
+        "patient": (r"(?:killed|slew|slain)\s+", r"[a-z]+(?:\s+(?:of|the)\s+\w+)*", r"(?:\s|,|\.|$)"),
+    },
+    "COMMAND": {
+        "agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+commanded|\s+ordered)"),
+        "patient": (r"(?:commanded|ordered)\s+", r"[a-z]+(?:\s+\w+)*", r"(?:\s+(?:to|not)\s|\s|,|\.|$)"),
+    },
+    "BATTLE": {
+        "agent1": (r"(?:between|with)\s+", r"[a-z]+(?:\s+and\s+|,\s+)*", r"(?:\s+and|\s+,)"),
+        "agent2": (r"(?:\s+and|\s+,)\s+", r"[a-z]+(?:\s+\w+)*", r"(?:\s|,|\.|$)"),
+    },
+    "VOW": {"agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+vowed|\s+swore)")},
+    "BIRTH": {"agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+was\s+born|was\s+begotten)")},
+    "CURSE": {
+        "agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+cursed)"),
+        "patient": (r"(?:cursed)\s+", r"[a-z]+(?:\s+\w+)*", r"(?:\s|,|\.|$)"),
+    },
+    "BOON": {
+        "agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+granted)"),
+        "recipient": (r"(?:granted)\s+(?:to\s+)?", r"[a-z]+(?:\s+\w+)*", r"(?:\s|,|\.|$)"),
+    },
+    "EXILE": {"agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+was\s+exiled|\s+was\s+banished)")},
+    "DEATH": {"agent": (r"(?:, )?", r"[a-z]+(?:\s+\w+)*", r"(?:\s+died|\s+perished)")},
 }
 # fixed values: the pivotal types; all others are tactical (MESO)
 MACRO_TYPES = ("KILL", "COMMAND", "BATTLE", "VOW", "CURSE", "BOON", "DEATH", "CORONATION")
@@ -52,11 +82,11 @@ INTENT_TYPES = {
     "TEMPORAL": ("DEATH", "BATTLE", "RETREATED"),
     "MULTI_HOP": ("KILL", "DEATH", "BOON", "CURSE"),
 }
-INTENT_WORDS = (
-    ("CAUSAL", "why|because|reason"),
-    ("TEMPORAL", "before|after|during|first|last"),
-    ("MULTI_HOP", "benefit|benefited|benefits|consequence|consequences|impact|impacted|impacts|led to|result in|resulted in|gained|advantage"),
-    ("FACT", "who|whom|what|when"),
+INTENT_PATTERNS = (
+    ("CAUSAL", (r"\bwhy\b|\bbecause\b|\breason\b",)),
+    ("TEMPORAL", (r"\bbefore\b|\bafter\b|\bduring\b|\bfirst\b|\blast\b",)),
+    ("MULTI_HOP", (r"\bbenefit(?:ed|s)?\b", r"\bconsequence(?:s)?\b", r"\bimpact(?:ed|s)?\b", r"\bled to\b", r"\bresult(?:ed)? in\b", r"\bgained\b", r"\badvantage\b")),
+    ("FACT", (r"\bwho\b|\bwhom\b|\bwhat\b|\bwhen\b",)),
 )
 TRIGGER_TYPES = ("KILL", "DEATH", "BATTLE")
 # fixed values: pronouns that are never seeds of a question
@@ -116,7 +146,12 @@ PLACE_EXCLUDED = (
     "island", "seven", "islands", "supreme", "felicity", "woodland",
 )
 PLACE_ABSTRACT = "slander|garland|felicity|supreme|woodland|tank|forest|flower|virtue|sin|honor|shame|fate|destiny|action|deed|night|day|year|moment|age"
-PLACE_LEADS = ("at", "in", "field of", "near")
+PLACE_PATTERNS = (
+    r"\bat\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)",
+    r"\bin\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)",
+    r"\bfield of\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)",
+    r"\bnear\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)",
+)
 # fixed values: reranking and evidence
 DEATH_KEYWORDS = ("killed", "slew", "slain", "death", "fell", "struck", "beheaded", "cut off", "pierced", "shot")
 DEATH_VERBS = ("killed", "slew", "slain", "fell", "cut down", "shot", "struck", "laid low", "death")
@@ -137,3 +172,45 @@ AGENTS = {
 }
 # fixed values: second hop of a benefit question, by the written specification of answers
 BENEFIT_TYPES = ("APPOINTED_AS", "CORONATION", "BOON", "SUPPORTED", "COMMAND", "RESCUED")
+# fixed values: headers of books (over several lines, or inline), the books' names, and spellings that are mended
+BOOK_HEADER = r"^\s*BOOK\s+(\d{1,2})\s*(?:\r?\n\s*[^\n]*?){0,3}\r?\n\s*([A-Z][A-Z \-]+PARVA)\b"
+BOOK_HEADER_INLINE = r"^\s*BOOK\s+(\d{1,2})\s*:\s*([A-Z][^\n]*?PARVA)\b"
+BOOK_NAMES = (
+    "Adi Parva", "Sabha Parva", "Vana Parva", "Virata Parva", "Udyoga Parva", "Bhishma Parva", "Drona Parva", "Karna Parva", "Shalya Parva",
+    "Sauptika Parva", "Stri Parva", "Shanti Parva", "Anushasan Parva", "Ashvamedhika Parva", "Ashramavasika Parva", "Mausala Parva", "Mahaprasthanika Parva", "Svargarohanika Parva",
+)
+BOOK_SPELLINGS = {"Santi Parva": "Shanti Parva", "Anusasana Parva": "Anushasan Parva", "Aswamedha Parva": "Ashvamedhika Parva", "Asramavasika Parva": "Ashramavasika Parva"}
+# fixed values: the older question parser
+PARSER_NAMES = ("Arjuna", "Yudhishthira", "Bhima", "Draupadi", "Krishna", "Karna", "Duryodhana", "Ashvatthama", "Drona", "Bhishma")
+PARSER_PHASES = {
+    "Origins": ("creation", "ancient", "beginning"),
+    "RiseOfThePandavas": ("rise", "youth", "swayamvara"),
+    "Exile": ("exile", "forest", "agyatvasa", "wandering"),
+    "PreludeToWar": ("prelude", "negotiation", "diplomacy"),
+    "KurukshetraWar": ("war", "kurukshetra", "battle"),
+    "ImmediateAftermath": ("aftermath", "mourning"),
+    "PostWarInstruction": ("instruction", "teaching"),
+    "WithdrawalFromTheWorld": ("withdrawal", "heaven", "death"),
+}
+PARSER_INTENTS = {"temporal": ("when", "during", "time"), "location": ("where", "location", "place"), "causal": ("why", "reason", "cause"), "narrative": ("what happened", "what did")}
+PARSER_SCOPES = {"agyatvasa": "Exile.Year13.Agyatvasa", "forest": "Exile.ForestYears", "war": "KurukshetraWar"}
+PARSER_ALIASES = {
+    "partha": "Arjuna", "dhananjaya": "Arjuna", "brihannala": "Arjuna", "dharmaraja": "Yudhishthira", "kanka": "Yudhishthira", "bhimasena": "Bhima", "vrikodara": "Bhima", "ballava": "Bhima",
+    "krishnaa": "Draupadi", "panchali": "Draupadi", "sairindhri": "Draupadi", "vasudeva": "Krishna", "hari": "Krishna", "govinda": "Krishna",
+}
+# fixed values: the property graph's node types with their attributes, and its edge types
+NODE_TYPES = {
+    "ContextUnit": ("unit_id", "parva", "section", "story_phase", "text"),
+    "Character": ("name", "role", "parva_first_appearance"),
+    "Alias": ("alias_name", "canonical_name"),
+    "Parva": ("parva_number", "name"),
+    "Section": ("parva", "section_number"),
+    "StoryPhase": ("phase_name", "parvas"),
+    "Concept": ("concept_name",),
+}
+LINK_TYPES = ("APPEARS_IN", "ALIAS_OF", "PART_OF", "DURING", "NEXT", "MENTIONS", "RELATED_TO")
+CORE_CONCEPTS = ("Dharma", "Karma", "Exile", "War", "Kingship", "Duty", "Lineage", "Curse", "Fortune", "Betrayal", "Loyalty", "Victory", "Defeat", "Death", "Rebirth")
+# fixed values: what the profile of a graph counts
+PROFILE_PRONOUNS = ("thou", "thee", "thy", "him", "her", "they", "them", "his", "hers", "who", "whom", "he", "she", "it", "we", "you")
+PROFILE_NOISE = ("having ", "being ", "the presence", "the act of")
+PROFILE_TARGETS = {"events": (500, 1500), "entities": (2000, 3500)}

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 
-EDGE = r"(^|[^\p{L}\p{N}_])"
-END = r"($|[^\p{L}\p{N}_])"
+
+def unicode(pattern: str) -> str:
+    """A lexicon's pattern for Java: case-insensitive, with \\b, \\w and \\s over Unicode."""
+    return f"(?iU){pattern}"
 
 
 def words_pattern(words) -> str:
-    """Case-insensitive pattern of whole words; boundaries are spelled out, as engines differ in \\b."""
+    """Case-insensitive pattern of whole words."""
     body = words if isinstance(words, str) else "|".join(words)
-    return f"(?i){EDGE}(?:{body}){END}"
+    return unicode(rf"\b(?:{body})\b")
 
 
 def alternatives(words) -> list[str]:
@@ -33,22 +35,55 @@ def alternatives(words) -> list[str]:
     return out
 
 
+def heads(words) -> list[str]:
+    """The plain letters that each alternative starts with; empty texts where there are none."""
+    found = []
+    for a in alternatives(words):
+        head = re.match(r"[a-z' ]*", a.lower())[0]
+        found.append(head[:-1] if a[len(head) : len(head) + 1] in ("?", "*", "{") else head)
+    return found
+
+
+def body_of(pattern: str) -> str:
+    """What stands between the word boundaries of a lexicon's pattern; the pattern itself if it isn't of that form."""
+    whole = re.fullmatch(r"\\b\(\?:(.*)\)\\b", pattern)
+    return whole[1] if whole else pattern
+
+
 def holds(text, lowered, words) -> Column:
     """Whether a text has one of the words. Plain substring tests of the lower-cased text go before
     the pattern: few texts reach it."""
-    heads = []
-    for a in alternatives(words):
-        head = re.match(r"[a-z' ]*", a.lower())[0]
-        heads.append(head[:-1] if a[len(head) : len(head) + 1] in ("?", "*", "{") else head)
     found = text.rlike(words_pattern(words))
-    if not all(heads):
+    starts = heads(words)
+    if not all(starts):
         return found
     near = F.lit(False)
-    for head in sorted(set(heads)):
+    for head in sorted(set(starts)):
         near = near | F.contains(lowered, F.lit(head))
     return near & found
 
 
+def holds_any(text, lowered, patterns) -> Column:
+    """Whether a text has one of a lexicon's patterns."""
+    out = F.lit(False)
+    for p in patterns:
+        body = body_of(p)
+        out = out | (holds(text, lowered, body) if body != p else text.rlike(unicode(p)))
+    return out
+
+
+def any_head(patterns) -> str | None:
+    """A pattern that every (lower-cased) text matches which one of the patterns may match: beginnings
+    of words, by their first letter. None where a pattern has no plain beginning."""
+    starts = sorted({h for p in patterns for h in heads(body_of(p))})
+    if not all(starts) or any(body_of(p) == p for p in patterns):
+        return None
+    letters: dict[str, list[str]] = {}
+    for h in starts:
+        letters.setdefault(h[0], []).append(h[1:])
+    return r"(?U)\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in letters.items()) + ")"
+
+
 def tokens(text) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
@@ -126,9 +161,11 @@ def title_name(name) -> Column:
 
 
 def contains_any(text, words) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def count_contained(text, words) -> Column:
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-

@@ -1,9 +1,10 @@
 """The entity-event graph: resolution, admission, build, repair and validation.
 
-Relations: entities(entity_id, canonical_name, type, aliases, event_count, evidence),
-events(event_id, ordinal, type, tier, sentence, chunk_id, participants), edges(source_id,
-target_id, edge_type, event_id, event_type, weight, evidence). Event ids are ``E`` and an ordinal
-that follows from the order of chunks, sentences and types.
+Relations: entities(entity_id, canonical_name, type, aliases, event_count, mentions, n_chunks, first_seen),
+evidence(entity_id, chunk_id, n), events(event_id, ordinal, type, tier, sentence, chunk_id,
+participants), edges(source_id, target_id, edge_type, event_id, event_type, weight, evidence).
+Event ids are ``E`` and an ordinal that follows from the order of chunks, sentences and types. What
+a hub entity gathers (evidence, neighbours) stays in rows; cells hold what one event has.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import EDGE, name_normalize
+from ..functions.text import name_normalize
+from ..sources import storage
 
 PARTICIPATED, OCCURRED = "PARTICIPATED_IN", "OCCURRED_AT"
 
@@ -63,26 +65,31 @@ def admit(extracted: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.withColumn("type", kind).withColumn("entity_id", entity_id(F.col("type"), F.col("canonical")))
 
 
-def number_events(events: DataFrame, *order: str, width: int = 1 << 16, prefix: int = 8) -> DataFrame:
-    """Event ids by arrival order, without one global sort: counts of ranges of the first column are
-    summed up, then each range counts its own. Ranges: ``width`` numbers, or texts with an equal start."""
-    first = order[0]
-    text = dict(events.dtypes)[first] == "string"
-    keyed = events.withColumn("_range", F.substring(first, 1, prefix) if text else F.floor(F.col(first) / width))
-    ranges = keyed.groupBy("_range").agg(F.count("*").alias("n"))
+def number_events(events: DataFrame, *order: str) -> DataFrame:
+    """Event ids by arrival order, without one global sort: rows are dealt out by sampled ranges of the
+    order and sorted in their range, written, and ranges' counts are summed up. Ranges follow the data, so
+    no prefix or value is hot; equal rows are numbered in any order."""
+    dealt = events.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed, _ = storage.written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
     # one row a range
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.select("_range", before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    numbered = keyed.withColumn("_own", own).join(starts, "_range").withColumn("ordinal", (F.col("_start") + F.col("_own")).cast("long"))
-    return numbered.drop("_own", "_start", "_range").withColumn("event_id", F.concat(F.lit("E"), F.col("ordinal").cast("string")))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    numbered = placed.withColumn("_part", part).join(starts, "_part").withColumn("ordinal", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    return numbered.drop("_at", "_part", "_start").withColumn("event_id", F.concat(F.lit("E"), F.col("ordinal").cast("string")))
+
+
+def evidence_rows(admitted: DataFrame) -> DataFrame:
+    """(entity_id, chunk_id, n): how often an entity is an argument in a chunk."""
+    return admitted.groupBy("entity_id", "chunk_id").agg(F.count("*").alias("n"))
 
 
 def build_entities(admitted: DataFrame) -> DataFrame:
-    per_chunk = admitted.groupBy("entity_id", "chunk_id").agg(F.count("*").alias("n"))
-    evidence = per_chunk.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", F.col("n").cast("int"))))).alias("evidence"))
-    head = admitted.groupBy("entity_id").agg(F.min("canonical").alias("canonical_name"), F.min("type").alias("type"), F.array_sort(F.collect_set("text")).alias("aliases"), F.countDistinct("event_id").alias("event_count"))
-    return head.join(evidence, "entity_id")
+    """One row an entity: its name, type, distinct spellings, numbers of events, arguments and chunks, and the first event that has it."""
+    number = F.col("ordinal") if "ordinal" in admitted.columns else F.substring("event_id", 2, 20).try_cast("long")
+    counted = admitted.groupBy("entity_id").agg(F.min("canonical").alias("canonical_name"), F.min("type").alias("type"), F.array_sort(F.collect_set("text")).alias("aliases"), F.countDistinct("event_id").alias("event_count"), F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("n_chunks"), F.min(number).alias("first_seen"))
+    return counted
 
 
 def build_participants(admitted: DataFrame) -> DataFrame:
@@ -92,17 +99,55 @@ def build_participants(admitted: DataFrame) -> DataFrame:
 
 
 def build_edges(admitted: DataFrame) -> DataFrame:
-    """One edge by entity and event; its weight counts arguments."""
+    """One edge by entity and event; its weight counts arguments, its evidence is the event's chunks."""
     merged = admitted.groupBy(F.col("entity_id").alias("source_id"), F.col("event_id").alias("target_id"))
     return merged.agg(F.lit(PARTICIPATED).alias("edge_type"), F.min("event_id").alias("event_id"), F.min("event_type").alias("event_type"), F.count("*").alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("evidence"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("source_id", "target_id", "edge_type").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    """Edges of several builds as one table: weights are summed, evidence is the distinct chunks of both ends and type."""
+    keys = ["source_id", "target_id", "edge_type"]
+    sums = edges.groupBy(*keys).agg(F.min("event_id").alias("event_id"), F.min("event_type").alias("event_type"), F.sum("weight").alias("weight"))
+    chunks = edges.select(*keys, F.explode("evidence").alias("chunk_id")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("chunk_id")).alias("evidence"))
+    return sums.join(chunks, keys, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def neighbourhood(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, edge_type, target_id): distinct neighbours of the entities (entity_id)."""
+    return edges.join(entities.select(F.col("entity_id").alias("source_id")), "source_id", "left_semi").select(F.col("source_id").alias("entity_id"), "edge_type", "target_id").distinct()
+
+
+def events_of_entities(edges: DataFrame, events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, event_id): events that exist and that the entities take part in."""
+    mine = neighbourhood(edges.where(F.col("edge_type") == PARTICIPATED), entities)
+    return mine.select("entity_id", F.col("target_id").alias("event_id")).join(events.select("event_id"), "event_id", "left_semi").select("entity_id", "event_id")
+
+
+# registry lookups
+
+
+def by_id(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    return entities.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+
 
+def by_type(entities: DataFrame, *types: str) -> DataFrame:
+    return entities.where(F.col("type").isin(*types))
 
-def neighbourhood(edges: DataFrame, entity: str) -> DataFrame:
-    return edges.where(F.col("source_id") == entity).groupBy("edge_type").agg(F.array_sort(F.collect_set("target_id")).alias("targets"))
+
+def by_event(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(event_id, entity columns): entities that take part in the events (event_id)."""
+    mine = edges.where(F.col("edge_type") == PARTICIPATED).select(F.col("target_id").alias("event_id"), F.col("source_id").alias("entity_id")).join(ids.select("event_id"), "event_id", "left_semi")
+    return mine.distinct().join(entities, "entity_id").select("event_id", *entities.columns)
+
+
+def relations(entities: DataFrame, events: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The export's relations: summary, entities, events and edges, with counts for what the engine keeps in cells."""
+    return {
+        "summary": stats(entities, events, edges).select(F.col("entities").alias("entity_count"), F.col("events").alias("event_count"), F.col("edges").alias("edge_count")),
+        "entities": entities.select("entity_id", "canonical_name", F.col("type").alias("entity_type"), "aliases", "event_count", F.col("n_chunks").alias("evidence_chunks")),
+        "events": events.select("event_id", F.col("type").alias("event_type"), "sentence", "chunk_id", F.size("participants").alias("participant_count")),
+        "edges": edges,
+    }
 
 
 def stats(entities: DataFrame, events: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,10 +169,9 @@ def downgrade_concepts(entities: DataFrame, events: DataFrame, edges: DataFrame,
     return entities.join(down, "entity_id", "left").withColumn("type", F.coalesce("_t", "type")).drop("_t")
 
 
-def place_mentions(events: DataFrame, sentence: str = "sentence", leads=lexicon.PLACE_LEADS) -> DataFrame:
+def place_mentions(events: DataFrame, sentence: str = "sentence", patterns=lexicon.PLACE_PATTERNS) -> DataFrame:
     """(event_id, place) for capitalised runs after a preposition."""
-    run = r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)"
-    found = F.concat(*[F.regexp_extract_all(F.col(sentence), F.lit(rf"{EDGE}{lead}\s+{run}"), 2) for lead in leads])
+    found = F.concat(*[F.regexp_extract_all(F.col(sentence), F.lit(f"(?U){p}"), 1) for p in patterns])
     return events.select("event_id", F.explode(F.array_distinct(found)).alias("place")).where(F.length("place") >= 3)
 
 
@@ -143,6 +187,17 @@ def recover_places(mentions: DataFrame, entities: DataFrame, known=lexicon.KNOWN
     return free.where(F.col("have").isNotNull() | is_known).select("event_id", F.coalesce("have", made).alias("entity_id"), "place").distinct()
 
 
+def with_places(entities: DataFrame, edges: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Entities with the recovered places: new ones as rows, known ones with the events that they didn't have."""
+    pairs = recovered.select("entity_id", "event_id", "place").join(edges.select(F.col("source_id").alias("entity_id"), "event_id"), ["entity_id", "event_id"], "left_anti")
+    more = pairs.groupBy("entity_id").agg(F.countDistinct("event_id").alias("_more"), F.min(F.lower("place")).alias("_name"), F.array_sort(F.collect_set("place")).alias("_places"), F.min(F.substring("event_id", 2, 20).try_cast("long")).alias("_first"))
+    both = entities.join(more, "entity_id", "left").withColumn("event_count", F.col("event_count") + F.coalesce("_more", F.lit(0))).select(*entities.columns)
+    new = more.join(entities.select("entity_id"), "entity_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    made = new.select("entity_id", F.col("_name").alias("canonical_name"), F.lit("PLACE").alias("type"), F.col("_places").alias("aliases"), F.col("_more").alias("event_count"), zero.alias("mentions"), zero.alias("n_chunks"), F.col("_first").alias("first_seen"))
+    return both.unionByName(made)
+
+
 def occurred_edges(recovered: DataFrame, events: DataFrame) -> DataFrame:
     pairs = recovered.select("event_id", "entity_id").distinct().join(events.select("event_id", F.col("type").alias("event_type"), "chunk_id"), "event_id")
     return pairs.select(F.col("event_id").alias("source_id"), F.col("entity_id").alias("target_id"), F.lit(OCCURRED).alias("edge_type"), "event_id", "event_type", F.lit(1).cast("long").alias("weight"), F.array("chunk_id").alias("evidence"))
@@ -182,11 +237,77 @@ def long_names(entities: DataFrame, most: int = 50) -> DataFrame:
     return entities.where(F.length("canonical_name") > most)
 
 
+def without_place(events: DataFrame) -> DataFrame:
+    """(event_id, field) of events that don't say where they come from."""
+    flags = F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in ("chunk_id", "parva", "section") if c in events.columns])
+    return events.select("event_id", F.explode(F.array_compact(flags)).alias("field"))
+
+
 def profile(entities: DataFrame, top: int = 15) -> DataFrame:
     return entities.orderBy(F.desc("event_count"), "entity_id").limit(top)
 
 
-# property graph of context units
+def output_profile(entities: DataFrame, events: DataFrame, pronouns=lexicon.PROFILE_PRONOUNS, noise=lexicon.PROFILE_NOISE, targets=lexicon.PROFILE_TARGETS) -> DataFrame:
+    """(measure, name, n, share): entities by type with their share, events by type and tier, entities that are
+    pronouns or hold a noise phrase, totals, and whether totals lie in their targets (1 or 0)."""
+    total = entities.agg(F.count("*").alias("n"))
+    all_events = events.agg(F.count("*").alias("n"))
+    kinds = entities.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
+    shares = kinds.withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1)))).select(F.lit("entity type").alias("measure"), "name", "n", (100.0 * F.col("n") / F.col("all")).alias("share"))
+    row = lambda df, measure, name: df.select(F.lit(measure).alias("measure"), name.alias("name"), "n", F.lit(None).cast("double").alias("share"))
+    by = lambda column, measure: row(events.groupBy(F.coalesce(F.col(column), F.lit("UNKNOWN")).alias("k")).agg(F.count("*").alias("n")), measure, F.col("k"))
+    low = F.lower("canonical_name")
+    noisy = F.lit(False)
+    for phrase in noise:
+        noisy = noisy | F.contains(low, F.lit(phrase))
+    counted = entities.agg(F.count_if(low.isin(*pronouns)).alias("p"), F.count_if(noisy).alias("q"))
+    out = shares.unionByName(by("type", "event type")).unionByName(by("tier", "event tier"))
+    out = out.unionByName(row(counted.select(F.col("p").alias("n")), "quality", F.lit("pronouns"))).unionByName(row(counted.select(F.col("q").alias("n")), "quality", F.lit("noise phrases")))
+    for name, df in (("entities", total), ("events", all_events)):
+        least, most = targets[name]
+        out = out.unionByName(row(df, "total", F.lit(name))).unionByName(row(df.select(F.col("n").between(least, most).cast("long").alias("n")), "within target", F.lit(name)))
+    return out
+
+
+# property graph of context units: nodes(node_id, type, attributes map<string,string>), links(source_id, target_id, edge_type)
+
+
+def node_key(prefix: str, name) -> Column:
+    return F.concat(F.lit(prefix), F.regexp_replace(F.upper(name), " ", "_"))
+
+
+def _node(kind: str, node_id, **attributes) -> list[Column]:
+    own = F.map_filter(F.create_map(*[x for k, v in attributes.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()) if attributes else F.create_map().cast("map<string,string>")
+    return [node_id.alias("node_id"), F.lit(kind).alias("type"), own.alias("attributes")]
+
+
+def property_nodes(units: DataFrame, characters: DataFrame | None = None, concepts=lexicon.CORE_CONCEPTS) -> DataFrame:
+    """Nodes of context units (unit_id, parva_number, parva, section, story_phase, text), of their books, sections and
+    phases, of characters (name, first_appearance) and of concepts."""
+    out = units.select(*_node("ContextUnit", F.col("unit_id"), unit_id=F.col("unit_id"), parva=F.col("parva"), section=F.col("section"), story_phase=F.col("story_phase"), text=F.col("text")))
+    books = units.select("parva_number", "parva").where("parva_number is not null").distinct()
+    out = out.unionByName(books.select(*_node("Parva", F.format_string("PARVA_%02d", F.col("parva_number")), parva_number=F.col("parva_number"), name=F.col("parva"))))
+    sections = units.select("parva", "section").where("section is not null").distinct()
+    out = out.unionByName(sections.select(*_node("Section", F.concat(F.lit("SEC_"), "parva", F.lit("_"), "section"), parva=F.col("parva"), section_number=F.col("section"))))
+    phases = units.where("story_phase is not null").groupBy("story_phase").agg(F.array_join(F.array_sort(F.collect_set(F.col("parva_number").cast("string"))), ",").alias("parvas"))
+    out = out.unionByName(phases.select(*_node("StoryPhase", node_key("PHASE_", F.col("story_phase")), phase_name=F.col("story_phase"), parvas=F.col("parvas"))))
+    if characters is not None:
+        out = out.unionByName(characters.select(*_node("Character", node_key("CHAR_", F.col("name")), name=F.col("name"), parva_first_appearance=F.col("first_appearance"))))
+    if concepts:
+        listed = units.sparkSession.createDataFrame([(c,) for c in concepts], "name string")
+        out = out.unionByName(listed.select(*_node("Concept", node_key("CONCEPT_", F.col("name")), concept_name=F.col("name"))))
+    return out
+
+
+def property_links(units: DataFrame, appearances: DataFrame | None = None) -> DataFrame:
+    """PART_OF, DURING and NEXT links of context units (also at: their order in a section), and APPEARS_IN of ``appearances`` (name, unit_id)."""
+    out = unit_links(units.withColumn("_s", F.concat(F.lit("SEC_"), "parva", F.lit("_"), "section")), "unit_id", "_s", "PART_OF")
+    out = out.unionByName(unit_links(units.withColumn("_p", node_key("PHASE_", F.col("story_phase"))), "unit_id", "_p", "DURING"))
+    grouped = units.withColumn("_g", F.struct("parva", "section"))
+    out = out.unionByName(next_links(grouped, "unit_id", "_g", "at"))
+    if appearances is not None:
+        out = out.unionByName(appearances.select(node_key("CHAR_", F.col("name")).alias("source_id"), F.col("unit_id").alias("target_id"), F.lit("APPEARS_IN").alias("edge_type")).distinct())
+    return out
 
 
 def next_links(units: DataFrame, unit: str, group: str, order: str) -> DataFrame:
@@ -198,6 +319,21 @@ def unit_links(units: DataFrame, unit: str, parent: str, kind: str) -> DataFrame
     return units.where(F.col(parent).isNotNull()).select(F.col(unit).alias("source_id"), F.col(parent).alias("target_id"), F.lit(kind).alias("edge_type"))
 
 
+def ontology_errors(nodes: DataFrame, links: DataFrame, schema=lexicon.NODE_TYPES, kinds=lexicon.LINK_TYPES) -> DataFrame:
+    """(id, rule, detail): nodes of unknown type or with attributes that their type doesn't have, links of unknown type."""
+    table = F.create_map(*[x for k, v in schema.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    allowed = F.try_element_at(table, F.col("type"))
+    bad = nodes.where(allowed.isNull()).select(F.col("node_id").alias("id"), F.lit("node type").alias("rule"), F.col("type").alias("detail"))
+    odd = nodes.where(allowed.isNotNull()).select(F.col("node_id").alias("id"), F.lit("attribute").alias("rule"), F.explode(F.array_except(F.map_keys("attributes"), allowed)).alias("detail"))
+    wrong = links.where(F.col("edge_type").isNull() | ~F.col("edge_type").isin(*kinds)).select(F.concat_ws("->", "source_id", "target_id").alias("id"), F.lit("link type").alias("rule"), F.col("edge_type").alias("detail"))
+    return bad.unionByName(odd).unionByName(wrong)
+
+
+def node_schema(spark, schema=lexicon.NODE_TYPES) -> DataFrame:
+    """(type, at, attribute) of the property graph's node types."""
+    return spark.createDataFrame([(k, i, a) for k, v in schema.items() for i, a in enumerate(v)], "type string, at int, attribute string")
+
+
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count("*").alias("n_nodes")).withColumn("_k", F.lit(1))
     m = edges.agg(F.count("*").alias("n_edges")).withColumn("_k", F.lit(1))

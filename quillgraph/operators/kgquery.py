@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from ..sources import storage
 
 
-def alias_index(entities: DataFrame) -> DataFrame:
-    """(alias, entity_id): lower-cased names; of equal ones the last entity's, and its alias before its name."""
-    names = entities.select("entity_id", F.lower("canonical_name").alias("alias"), F.lit(0).alias("rank")).unionByName(entities.select("entity_id", F.explode(F.transform("aliases", lambda x: F.lower(x))).alias("alias"), F.lit(1).alias("rank")))
-    return names.where("alias != ''").groupBy("alias").agg(F.max(F.struct("entity_id", "rank"))["entity_id"].alias("entity_id"))
+def alias_index(entities: DataFrame, order: str = "entity_id") -> DataFrame:
+    """(alias, entity_id): lower-cased names; of equal ones that of the entity that comes last in ``order``."""
+    names = entities.select("entity_id", F.col(order).alias("_at"), F.explode(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda x: F.lower(x))).alias("alias"))
+    return names.where("alias != ''").groupBy("alias").agg(F.max(F.struct("_at", "entity_id"))["entity_id"].alias("entity_id"))
 
 
 def resolve_seeds(plans: DataFrame, index: DataFrame) -> DataFrame:
@@ -31,14 +32,15 @@ def wanted(targets, kind, empty_is_all: bool):
     return hit | (F.size(targets) == 0) if empty_is_all else hit
 
 
-def touching(seeded: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds with the events of their outgoing edges."""
-    return seeded.join(edges.select(F.col("source_id").alias("entity_id"), "event_id").distinct(), "entity_id")
+def touching(seeded: DataFrame, edges: DataFrame, once: bool = True) -> DataFrame:
+    """Seeds with the events of their outgoing edges; ``once`` unless the caller drops repeated pairs itself."""
+    links = edges.select(F.col("source_id").alias("entity_id"), "event_id")
+    return seeded.join(links.distinct() if once else links, "entity_id")
 
 
 def fact(seeded: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
     """Events of the seeds by type (no targets: any); with agent_required of two participants or more."""
-    found = touching(seeded, edges).join(events, "event_id")
+    found = touching(seeded, edges, once=False).join(events, "event_id")
     ok = wanted(F.col("targets"), F.col("type"), True) & (~F.col("agent_required") | (F.size("participants") >= 2))
     return found.where(ok).select("qid", *events.columns).dropDuplicates(["qid", "event_id"])
 
@@ -49,58 +51,108 @@ def seed_events(seeded: DataFrame, edges: DataFrame, events: DataFrame) -> DataF
     return found.where(wanted(F.col("targets"), F.col("type"), False)).select("qid", "entity_id", *events.columns)
 
 
-def temporal(seeded: DataFrame, edges: DataFrame, events: DataFrame, per_depth: int = 10) -> DataFrame:
+#: Numbers of events by block of an order index; a question looks into one block of each wanted type.
+BLOCK = 1 << 10
+
+
+def order_index(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(type, digits, block, rank, ordinal, event_id) and (type, digits, block, n): events of each type in the
+    order of their numbers, by how many digits those have. Numbers of equally many digits are in order as texts too."""
+    digits = F.length(F.col("ordinal").cast("string"))
+    keyed = events.where("ordinal is not null").select("type", digits.alias("digits"), F.floor(F.col("ordinal") / BLOCK).alias("block"), "ordinal", "event_id")
+    counts = keyed.groupBy("type", "digits", "block").agg(F.count("*").alias("n"))
+    # one row a block
+    before = F.sum("n").over(Window.partitionBy("type", "digits").orderBy("block")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("type", "digits", "block").orderBy("ordinal", "event_id"))
+    ranked = keyed.withColumn("_own", own).join(counts.select("type", "digits", "block", before.alias("_before")), ["type", "digits", "block"])
+    return ranked.select("type", "digits", "block", (F.col("_before") + F.col("_own")).alias("rank"), "ordinal", "event_id"), counts
+
+
+def temporal(seeded: DataFrame, edges: DataFrame, events: DataFrame, per_depth: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """AFTER and BEFORE: wanted events of the whole graph beyond the seeds' last (first) one, depth * per_depth of them.
 
-    The pivot and the order are those of the ids as text; beyond is meant by number. Wanted types
-    meet events by an equi-join, and ranks within a question keep no more rows than are returned.
+    The pivot and the order are those of the ids as text; beyond is meant by number. By the order index
+    a question takes, for each wanted type and length of number, the first ranks beyond its pivot: equi-joins
+    on ranks, as many rows as a result may have, whatever the number of events.
     """
+    ranked, counts = index or order_index(events)
     mine = seed_events(seeded, edges, events)
     pivots = mine.groupBy("qid").agg(F.max("event_id").alias("last"), F.min("event_id").alias("first"))
-    plans = seeded.select("qid", "targets", "temporal_order", "depth").dropDuplicates(["qid"]).join(pivots, "qid")
-    number = lambda c: F.substring(F.col(c), 2, 20).cast("long")
-    open_ = plans.where(F.col("temporal_order").isin("AFTER", "BEFORE")).select("qid", "temporal_order", "depth", number("last").alias("last_n"), number("first").alias("first_n"), F.explode(F.array_distinct("targets")).alias("type"))
-    found = events.join(open_, "type").where(F.when(F.col("temporal_order") == "AFTER", F.col("ordinal") > F.col("last_n")).otherwise(F.col("ordinal") < F.col("first_n")))
-    up = Window.partitionBy("qid").orderBy("event_id")
-    down = Window.partitionBy("qid").orderBy(F.desc("event_id"))
-    after = found.where("temporal_order = 'AFTER'").withColumn("rank", F.row_number().over(up))
-    before = found.where("temporal_order = 'BEFORE'").withColumn("rank", F.row_number().over(down))
-    return after.unionByName(before).where(F.col("rank") <= F.col("depth") * per_depth).select("qid", "rank", *events.columns)
-
-
-def causal(seeded: DataFrame, edges: DataFrame, events: DataFrame, max_depth: int) -> DataFrame:
+    plans = seeded.select("qid", "targets", "temporal_order", "depth").dropDuplicates(["qid"]).join(pivots, "qid").where(F.col("temporal_order").isin("AFTER", "BEFORE"))
+    up = F.col("temporal_order") == "AFTER"
+    pivot = F.substring(F.when(up, F.col("last")).otherwise(F.col("first")), 2, 20).try_cast("long")
+    open_ = plans.select("qid", up.alias("up"), (F.col("depth") * per_depth).cast("long").alias("most"), pivot.alias("pivot"), F.explode(F.array_distinct("targets")).alias("type")).where("pivot is not null")
+    open_ = open_.withColumn("digits", F.length(F.col("pivot").cast("string"))).withColumn("block", F.floor(F.col("pivot") / BLOCK))
+    # how many events of the type, among numbers of as many digits, lie up to the pivot (before it)
+    asked = open_.select("type", "digits", "block").distinct()
+    prefix = counts.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("type", "digits", "block").agg(F.sum("n").alias("n"))
+    prefix = prefix.withColumn("before", F.sum("n").over(Window.partitionBy("type", "digits").orderBy("block")) - F.col("n")).drop("n")
+    passed = F.when(F.col("up"), F.col("ordinal") <= F.col("pivot")).otherwise(F.col("ordinal") < F.col("pivot"))
+    inside = open_.join(ranked.drop("rank", "event_id"), ["type", "digits", "block"]).where(passed).groupBy("qid", "type").agg(F.count("*").alias("inside"))
+    at = open_.join(prefix, ["type", "digits", "block"]).join(inside, ["qid", "type"], "left").withColumn("at", F.col("before") + F.coalesce("inside", F.lit(0)))
+    lengths = counts.groupBy("type", "digits").agg(F.sum("n").alias("all")).withColumnRenamed("digits", "length")
+    met = at.join(lengths, "type").where(F.when(F.col("up"), F.col("length") >= F.col("digits")).otherwise(F.col("length") <= F.col("digits")))
+    same = F.col("length") == F.col("digits")
+    low = F.when(F.col("up"), F.when(same, F.col("at") + 1).otherwise(1)).otherwise(F.greatest(F.lit(1), F.when(same, F.col("at")).otherwise(F.col("all")) - F.col("most") + 1))
+    high = F.when(F.col("up"), F.least(F.col("all"), F.when(same, F.col("at")).otherwise(0) + F.col("most"))).otherwise(F.when(same, F.col("at")).otherwise(F.col("all")))
+    spans = met.select("qid", "up", "most", "type", F.col("length").alias("digits"), low.alias("low"), high.alias("high")).where("low <= high")
+    found = spans.select("qid", "up", "most", "type", "digits", F.explode(F.sequence("low", "high")).alias("rank")).join(ranked.drop("ordinal", "block"), ["type", "digits", "rank"]).drop("rank")
+    order = Window.partitionBy("qid")
+    placed = found.withColumn("rank", F.when(F.col("up"), F.row_number().over(order.orderBy("event_id"))).otherwise(F.row_number().over(order.orderBy(F.desc("event_id")))))
+    return placed.where(F.col("rank") <= F.col("most")).select("qid", "rank", "event_id").join(events, "event_id").select("qid", "rank", *events.columns)
+
+
+def typed_links(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """(entity_id, type, event_id): what an entity takes part in, by type; a written table, as hops read it again."""
+    found = edges.select(F.col("source_id").alias("entity_id"), "event_id").join(events.select("event_id", "type"), "event_id")
+    return storage.written(found.select("entity_id", "type", "event_id").distinct(), "links")[0]
+
+
+def reached(frontier: DataFrame, wanted_types: DataFrame, links: DataFrame) -> DataFrame:
+    """(qid, event_id): wanted events of the frontier's entities, each once. Type is part of the join's key, so no other event is met."""
+    return frontier.join(wanted_types, "qid").join(links, ["entity_id", "type"]).select("qid", "event_id").distinct()
+
+
+def causal(seeded: DataFrame, edges: DataFrame, events: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Breadth-first over entities and wanted events, each once: (qid, hop, event). ``depth`` of a plan bounds its hops.
 
-    A fixed number of joins, for the depth is a parameter; frontiers shrink by anti-joins.
+    Each hop's events are written, so that the next joins read a table; frontiers shrink by
+    anti-joins, and hops end where nothing is reached. ``max_depth`` defaults to the plans' largest depth.
     """
-    frontier = seeded.select("qid", "entity_id", "targets", "depth")
-    seen_entities = frontier.select("qid", "entity_id")
-    matched = None
-    slim = events.select("event_id", "type", "participants")
-    links = edges.select(F.col("source_id").alias("entity_id"), "event_id").distinct()
+    if max_depth is None:
+        max_depth = seeded.agg(F.max("depth")).first()[0]
+    none = events.select(F.lit(None).cast(dict(seeded.dtypes)["qid"]).alias("qid"), F.lit(0).alias("hop"), *events.columns).limit(0)
+    if max_depth is None:
+        return none
+    links = typed_links(edges, events)
+    bounds = seeded.select("qid", "targets", "depth").dropDuplicates(["qid"])
+    types = bounds.select("qid", "depth", F.explode(F.array_distinct("targets")).alias("type"))
+    people = events.select("event_id", F.explode(F.array_distinct("participants")).alias("entity_id"))
+    frontier, seen, matched = seeded.select("qid", "entity_id").distinct(), None, None
     for hop in range(max_depth + 1):
-        found = frontier.where(F.col("depth") >= hop).join(links, "entity_id").join(slim, "event_id").where(F.array_contains("targets", F.col("type")))
+        found = reached(frontier, types.where(F.col("depth") >= hop).select("qid", "type"), links)
         if matched is not None:
             found = found.join(matched.select("qid", "event_id"), ["qid", "event_id"], "left_anti")
-        new = found.dropDuplicates(["qid", "event_id"])
-        mine = new.select("qid", "event_id", F.lit(hop).alias("hop"))
-        matched = mine if matched is None else matched.unionByName(mine)
+        new, _ = storage.written(found.withColumn("hop", F.lit(hop)), "hop")
+        if new.isEmpty():
+            break
+        matched = new if matched is None else matched.unionByName(new)
         if hop < max_depth:
-            reached = new.where(F.col("depth") > hop).select("qid", F.explode("participants").alias("entity_id"), "targets", "depth").dropDuplicates(["qid", "entity_id"])
-            frontier = reached.join(seen_entities, ["qid", "entity_id"], "left_anti")
-            seen_entities = seen_entities.unionByName(frontier.select("qid", "entity_id"))
-    return matched.join(events, "event_id").select("qid", "hop", *events.columns)
+            seen = frontier if seen is None else seen.unionByName(frontier)
+            further = new.join(bounds.where(F.col("depth") > hop).select("qid"), "qid", "left_semi").join(people, "event_id").select("qid", "entity_id").distinct()
+            frontier, _ = storage.written(further.join(seen, ["qid", "entity_id"], "left_anti"), "frontier")
+    return none if matched is None else matched.join(events, "event_id").select("qid", "hop", *events.columns)
 
 
 def multi_hop(seeded: DataFrame, edges: DataFrame, events: DataFrame, triggers=lexicon.TRIGGER_TYPES) -> DataFrame:
     """Trigger events of the seeds, then wanted events of any of their participants: (qid, phase, event)."""
-    mine = seed_events(seeded, edges, events).where(F.col("type").isin(*triggers)).dropDuplicates(["qid", "event_id"])
-    first = mine.select("qid", F.lit("TRIGGER").alias("phase"), *events.columns)
-    plans = seeded.select("qid", "targets").dropDuplicates(["qid"])
-    people = mine.select("qid", F.explode("participants").alias("entity_id")).distinct()
-    near = touching(people, edges).select("qid", "event_id").distinct().join(mine.select("qid", "event_id"), ["qid", "event_id"], "left_anti")
-    second = near.join(plans, "qid").join(events, "event_id").where(F.array_contains("targets", F.col("type")))
-    return first.unionByName(second.select("qid", F.lit("CONSEQUENCE").alias("phase"), *events.columns))
+    links = typed_links(edges, events)
+    types = seeded.select("qid", "targets").dropDuplicates(["qid"]).select("qid", F.explode(F.array_distinct("targets")).alias("type"))
+    mine, _ = storage.written(reached(seeded.select("qid", "entity_id"), types.where(F.col("type").isin(*triggers)), links), "triggers")
+    people = mine.join(events.select("event_id", F.explode(F.array_distinct("participants")).alias("entity_id")), "event_id").select("qid", "entity_id").distinct()
+    second = reached(people, types, links).join(mine, ["qid", "event_id"], "left_anti")
+    both = mine.withColumn("phase", F.lit("TRIGGER")).unionByName(second.withColumn("phase", F.lit("CONSEQUENCE")))
+    return both.join(events, "event_id").select("qid", "phase", *events.columns)
 
 
 def matched_entities(matches: DataFrame, entities: DataFrame) -> DataFrame:
@@ -109,24 +161,38 @@ def matched_entities(matches: DataFrame, entities: DataFrame) -> DataFrame:
     return people.join(entities, "entity_id").select("qid", *entities.columns)
 
 
-def execute(plans: DataFrame, entities: DataFrame, edges: DataFrame, events: DataFrame, max_depth: int = 2) -> DataFrame:
+def execute(plans: DataFrame, entities: DataFrame, edges: DataFrame, events: DataFrame, order: str = "entity_id", index=None) -> DataFrame:
     """Matched events (qid, event_id, type) of mixed intents. Unknown intents match nothing."""
-    seeded = resolve_seeds(plans, alias_index(entities))
+    seeded, _ = storage.written(resolve_seeds(plans, alias_index(entities, order)), "seeded")
     by = lambda intent: seeded.where(F.col("intent") == intent)
     ordered = by("TEMPORAL").where(F.col("temporal_order").isin("AFTER", "BEFORE"))
     plain = by("TEMPORAL").where(~F.coalesce(F.col("temporal_order").isin("AFTER", "BEFORE"), F.lit(False)))
-    parts = [fact(by("FACT"), edges, events), temporal(ordered, edges, events), seed_events(plain, edges, events), causal(by("CAUSAL"), edges, events, max_depth), multi_hop(by("MULTI_HOP"), edges, events)]
+    parts = [fact(by("FACT"), edges, events), temporal(ordered, edges, events, index=index), seed_events(plain, edges, events), causal(by("CAUSAL"), edges, events), multi_hop(by("MULTI_HOP"), edges, events)]
     out = parts[0].select("qid", "event_id", "type")
     for p in parts[1:]:
         out = out.unionByName(p.select("qid", "event_id", "type"))
     return out
 
 
+def trace(plans: DataFrame, matched: DataFrame, entities: DataFrame, order: str = "entity_id") -> DataFrame:
+    """(qid, found, known_intent, n_seeds, n_resolved, n_events, n_entities, max_depth): what became of each question."""
+    known = F.col("intent").isin("FACT", "TEMPORAL", "CAUSAL", "MULTI_HOP")
+    asked = plans.select("qid", F.coalesce(known, F.lit(False)).alias("known_intent"), F.size("seeds").alias("n_seeds"), F.col("depth").alias("max_depth"))
+    resolved = resolve_seeds(plans, alias_index(entities, order)).groupBy("qid").agg(F.count("*").alias("n_resolved"))
+    events = matched.groupBy("qid").agg(F.count("*").alias("n_events"))
+    people = matched_entities(matched, entities).groupBy("qid").agg(F.count("*").alias("n_entities"))
+    out = asked.join(resolved, "qid", "left").join(events, "qid", "left").join(people, "qid", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_resolved", "n_events", "n_entities")]
+    return out.select("qid", (F.coalesce("n_events", F.lit(0)) > 0).alias("found"), "known_intent", "n_seeds", *zero, "max_depth")
+
+
 # older filters over a property graph: nodes(node_id, type, book, section), edges(source_id, target_id, edge_type)
 
 
-def units_by_entity(edges: DataFrame, entity: str) -> DataFrame:
-    return edges.where((F.col("edge_type") == "APPEARS_IN") & (F.col("source_id") == entity)).select(F.col("target_id").alias("unit_id")).distinct()
+def units_by_entity(edges: DataFrame, entity: str, units: DataFrame | None = None, phase: str | None = None) -> DataFrame:
+    """Units in which an entity's node appears; with ``phase`` those of that story phase (units: unit_id, story_phase)."""
+    out = edges.where((F.col("edge_type") == "APPEARS_IN") & (F.col("source_id") == entity)).select(F.col("target_id").alias("unit_id")).distinct()
+    return out if phase is None else out.join(units.where(F.col("story_phase") == phase).select("unit_id"), "unit_id", "left_semi")
 
 
 def units_by_phase(edges: DataFrame, phase: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import holds, words_pattern
+from ..functions.text import contains_any, unicode, words_pattern
 
 
-def intent(text, rules=lexicon.INTENT_WORDS) -> Column:
+def intent(text, rules=lexicon.INTENT_PATTERNS) -> Column:
     """The first rule in order of priority; FACT if none matches."""
     out = None
-    for name, words in rules:
-        hit = holds(text, F.lower(text), words)
+    for name, patterns in rules:
+        hit = text.rlike(unicode("|".join(patterns)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("FACT")
 
@@ -57,22 +57,30 @@ def type_rank(kind) -> Column:
     return out.otherwise(len(lexicon.TYPE_ORDER))
 
 
-def word_runs(text, most: int = 4) -> Column:
-    """Runs of up to ``most`` words, so that names in a text are found by an equi-join."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_']+"), lambda w: w != "")
-    of = lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    runs = [of(n) for n in range(1, most + 1)]
-    safe = [F.when(F.size(words) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
-    return F.array_distinct(F.concat(*safe))
+NOT_WORD = r"(?U)\W+"
+
+
+def words_of(text) -> Column:
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def seeds(questions: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, seeds): canonical names of aliases in the text, by type and name. ``aliases``: alias, canonical, type."""
-    usable = aliases.where(~F.col("alias").isin(*lexicon.SEED_PRONOUNS) & (F.col("alias") != "")).withColumn("_rank", type_rank(F.col("type")))
-    runs = questions.select(qid, F.explode(word_runs(F.col(text))).alias("alias"))
-    hits = runs.join(usable, "alias").groupBy(qid, "canonical").agg(F.min("_rank").alias("_rank"))
+    """(qid, seeds): canonical names of aliases that stand in the text as whole words, by type and name.
+
+    ``aliases``: alias (lower-cased), canonical, type. An alias is looked up by its first word, an
+    equi-join; those of several words or with other characters are then compared with the text as
+    they are. An alias without a letter or digit is never found.
+    """
+    first = F.get(words_of(F.col("alias")), 0)
+    usable = aliases.where(~F.col("alias").isin(*lexicon.SEED_PRONOUNS)).select("alias", "canonical", type_rank(F.col("type")).alias("_rank"), first.alias("_word")).where("_word is not null")
+    asked = questions.select(F.col(qid).alias("_q"), F.col(text).alias("_text"))
+    met = asked.select("_q", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("_word")).join(usable, "_word")
+    alone = met.where("alias = _word").select("_q", "canonical", "_rank")
+    quoted = F.regexp_replace("alias", r"([^\p{L}\p{N}_\s])", r"\\$1")
+    longer = met.where("alias != _word").join(asked, "_q").where(F.rlike(F.lower("_text"), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))))
+    hits = alone.unionByName(longer.select("_q", "canonical", "_rank")).groupBy("_q", "canonical").agg(F.min("_rank").alias("_rank"))
     ordered = F.array_sort(F.collect_list(F.struct("_rank", "canonical")))
-    return hits.groupBy(qid).agg(F.transform(ordered, lambda x: x["canonical"]).alias("seeds"))
+    return hits.groupBy("_q").agg(F.transform(ordered, lambda x: x["canonical"]).alias("seeds")).withColumnRenamed("_q", qid)
 
 
 def plans(questions: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -119,18 +127,39 @@ def agents(questions: DataFrame, table: DataFrame, entity: str = "entity") -> Da
     return questions.join(table.withColumnRenamed("entity", "_e"), F.lower(F.col(entity)) == F.col("_e"), "left").drop("_e")
 
 
-def legacy_entities(text, names) -> Column:
+def legacy_entities(text, names=lexicon.PARSER_NAMES) -> Column:
+    """Names that stand anywhere in the text, in the list's order."""
     low = F.lower(text)
-    return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, n))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in names]))
 
 
-def legacy_phases(text, keywords: dict[str, tuple[str, ...]]) -> Column:
+def legacy_phases(text, keywords=lexicon.PARSER_PHASES) -> Column:
     """Phases with a keyword inside the text, in the table's order."""
     low = F.lower(text)
-    flags = F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)), F.lit(p)) for p, words in keywords.items()])
-    return F.filter(flags, lambda x: x.isNotNull())
+    return F.array_compact(F.array(*[F.when(contains_any(low, words), F.lit(p)) for p, words in keywords.items()]))
+
+
+def legacy_intent(text, keywords=lexicon.PARSER_INTENTS) -> Column:
+    """The first kind with a keyword inside the text, else factual."""
+    low, out = F.lower(text), F
+    for name, words in keywords.items():
+        out = out.when(contains_any(low, words), name)
+    return out.otherwise("factual")
+
+
+def legacy_scope(text, scopes=lexicon.PARSER_SCOPES) -> Column:
+    """Where in time a question lies, by the first word of the table inside it; null without any."""
+    low, out = F.lower(text), F
+    for word, scope in scopes.items():
+        out = out.when(F.contains(low, F.lit(word)), scope)
+    return out
+
+
+def legacy_parse(text) -> Column:
+    return F.struct(text.alias("original_query"), legacy_entities(text).alias("entities"), legacy_phases(text).alias("story_phases"), legacy_intent(text).alias("intent"), legacy_scope(text).alias("temporal_scope"))
 
 
-def legacy_alias(text, table: DataFrame, df: DataFrame) -> DataFrame:
-    """``df`` with ``resolved``: the alias table's name for a text, else the text."""
-    return df.join(table.withColumnRenamed("alias", "_a"), F.lower(F.trim(text)) == F.col("_a"), "left").withColumn("resolved", F.coalesce("canonical", text)).drop("_a", "canonical")
+def legacy_alias(name, aliases=lexicon.PARSER_ALIASES) -> Column:
+    """The table's name for an alias, whatever its case; a name that it doesn't have stays as it is."""
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(name)), name)

@@ -79,6 +79,40 @@ def confidence(n_answers, inferred=None) -> Column:
     return F.when((n_answers == 1) & ~guess, "high").when(n_answers >= 1, "medium").otherwise("low")
 
 
+ANSWER = "qid, intent, answer_type, rank, entity_id, event_id, chain, frequency, confidence"
+
+
+def answers(plans: DataFrame, seeds: DataFrame, matches: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, intent, answer_type, rank, entity_id, event_id, chain, frequency, confidence) by each question's intent.
+
+    FACT and MULTI_HOP give entities, TEMPORAL events, CAUSAL a chain of entity, event, entity, event.
+    Questions without one, and those of unknown intent, are a NO_ANSWER row each. ``plans``: qid, intent,
+    targets, agent_required, temporal_order; ``seeds``: qid, entity_id; ``matches`` as for ``roles``.
+    """
+    once = matches.dropDuplicates(["qid", "event_id"])
+    with_roles = roles(once, entities)
+    of = lambda intent: seeds.join(plans.where(F.col("intent") == intent).select("qid", "temporal_order"), "qid").select("qid", "entity_id", "temporal_order")
+    mine = lambda intent: with_roles.join(plans.where(F.col("intent") == intent).select("qid"), "qid", "left_semi")
+    none = F.lit(None).cast("string")
+    no_chain = F.lit(None).cast("array<string>")
+    facts = plans.where("intent = 'FACT'").select("qid", F.explode("targets").alias("type"), "agent_required")
+    found = fact(mine("FACT"), facts).select("qid", F.lit("ENTITY").alias("answer_type"), "rank", "entity_id", none.alias("event_id"), no_chain.alias("chain"), "frequency")
+    gained = multi_hop(mine("MULTI_HOP"), of("MULTI_HOP").select("qid", "entity_id"))
+    found = found.unionByName(gained.select("qid", F.lit("ENTITY").alias("answer_type"), "rank", "entity_id", none.alias("event_id"), no_chain.alias("chain"), "frequency"))
+    listed = temporal(once.join(plans.where("intent = 'TEMPORAL'").select("qid"), "qid", "left_semi"), mine("TEMPORAL"), of("TEMPORAL"))
+    found = found.unionByName(listed.select("qid", F.lit("EVENT_LIST").alias("answer_type"), "rank", none.alias("entity_id"), "event_id", no_chain.alias("chain"), F.lit(None).cast("long").alias("frequency")))
+    why = causal(mine("CAUSAL"), of("CAUSAL").select("qid", "entity_id"))
+    patients = with_roles.where("role = 'PATIENT'").select("qid", F.col("event_id").alias("effect_event"), F.col("entity_id").alias("patient"))
+    chain = F.array_compact(F.array("agent", "cause_event", "patient", "effect_event"))
+    why = why.join(patients, ["qid", "effect_event"], "left").select("qid", F.lit("CHAIN").alias("answer_type"), F.lit(1).alias("rank"), none.alias("entity_id"), none.alias("event_id"), chain.alias("chain"), F.lit(None).cast("long").alias("frequency"))
+    found = found.unionByName(why)
+    n = found.groupBy("qid").agg(F.count("*").alias("_n"))
+    kind = plans.select("qid", "intent")
+    sure = found.join(n, "qid").join(kind, "qid").withColumn("confidence", confidence(F.col("_n"), F.col("intent") != "FACT")).drop("_n")
+    left = kind.join(n.select("qid"), "qid", "left_anti").select("qid", "intent", F.lit("NO_ANSWER").alias("answer_type"), F.lit(None).cast("int").alias("rank"), none.alias("entity_id"), none.alias("event_id"), no_chain.alias("chain"), F.lit(None).cast("long").alias("frequency"), F.lit("high").alias("confidence"))
+    return sure.unionByName(left).select(*ANSWER.split(", "))
+
+
 RESOLVERS = {"FACT": fact, "TEMPORAL": temporal, "MULTI_HOP": multi_hop, "CAUSAL": causal}
 
 

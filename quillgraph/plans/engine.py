@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import events, evidence, graph, kgquery, plan, resolve, vector
+from ..operators import events, evidence, graph, kgquery, plan, quality, resolve, vector
 from ..sources import io
 
 LEXICON = {"patterns": lexicon.EVENT_PATTERNS, "macro": lexicon.MACRO_TYPES, "micro": lexicon.MICRO_VERBS}
@@ -15,7 +15,7 @@ LEXICON = {"patterns": lexicon.EVENT_PATTERNS, "macro": lexicon.MACRO_TYPES, "mi
 def build_graph(chunks: DataFrame, aliases: DataFrame, places: tuple[str, ...] = (), **words) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, events, edges) from chunks (chunk_id, text); repaired: places recovered, rare entities pruned."""
     found = events.detect(events.sentence_table(chunks, ["chunk_id"]), **(LEXICON | words))
-    stored = events.admitted(events.meso_gate(events.extract(found), places))
+    stored = events.admitted(events.meso_gate(events.extract(found, by_role=True), places))
     numbered = graph.number_events(stored, "chunk_id", "sentence_index", "type_order")
     admitted = graph.admit(numbered, aliases)
     entities, edges = graph.build_entities(admitted), graph.build_edges(admitted)
@@ -23,48 +23,54 @@ def build_graph(chunks: DataFrame, aliases: DataFrame, places: tuple[str, ...] =
     nodes = nodes.withColumn("participants", F.coalesce("participants", F.array().cast("array<string>")))
     entities = graph.downgrade_concepts(entities, nodes, edges)
     recovered = graph.recover_places(graph.place_mentions(nodes), entities)
-    known = entities.select("entity_id")
-    made = recovered.join(known, "entity_id", "left_anti").groupBy("entity_id").agg(F.min(F.lower("place")).alias("canonical_name"), F.lit("PLACE").alias("type"), F.array_sort(F.collect_set("place")).alias("aliases"), F.countDistinct("event_id").alias("event_count"))
-    every = entities.unionByName(made.withColumn("evidence", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))))
-    kept, left = graph.prune(every, edges.unionByName(graph.occurred_edges(recovered, nodes)))
+    entities = graph.with_places(entities, edges, recovered)
+    kept, left = graph.prune(entities, edges.unionByName(graph.occurred_edges(recovered, nodes)))
     return kept, nodes, left
 
 
+def validation(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, violations) of the graph's checks."""
+    return quality.report(entity_types=graph.bad_types(entities), orphans=graph.orphans(entities, edges), evidence=graph.missing_evidence(edges), alias_collisions=graph.alias_collisions(entities), long_names=graph.long_names(entities))
+
+
 def save(path: str, entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
     io.write_graph(path, entities, nodes, edges)
+    stored = io.read_graph(entities.sparkSession, path)
+    io.write_json(validation(*stored).coalesce(1), f"{path}/validation_report")
 
 
-def name_table(entities: DataFrame) -> DataFrame:
-    """(alias, canonical, type) for the planner: lower-cased names; of equal ones the last entity's."""
-    names = entities.select("canonical_name", "type", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda x: F.lower(x)))).alias("alias"))
-    return names.groupBy("alias").agg(F.max(F.struct("canonical_name", "type")).alias("e")).select("alias", F.lower("e.canonical_name").alias("canonical"), "e.type")
+def name_table(entities: DataFrame, order: str = "first_seen") -> DataFrame:
+    """(alias, canonical, type) for the planner: lower-cased names; of equal ones those of the entity that comes last in ``order``."""
+    names = entities.select(F.col(order).alias("_at"), "entity_id", F.lower("canonical_name").alias("canonical"), "type", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda x: F.lower(x)))).alias("alias"))
+    return names.where("alias != ''").groupBy("alias").agg(F.max(F.struct("_at", "entity_id", "canonical", "type")).alias("e")).select("alias", "e.canonical", "e.type")
 
 
 def ask(questions: DataFrame, entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plans, matched events) of questions (qid, text), all at once."""
-    asked = plan.plans(questions.withColumn("text", F.regexp_replace("text", r"(?i)'s\b", " ")), name_table(entities))
-    matched = kgquery.execute(asked, entities, edges, nodes)
+    asked = plan.plans(questions, name_table(entities))
+    matched = kgquery.execute(asked, entities, edges, nodes, order="first_seen")
     return asked, matched.join(nodes.drop("type"), "event_id")
 
 
 def answers(asked: DataFrame, matched: DataFrame, entities: DataFrame) -> DataFrame:
-    """(qid, intent, entity_id, frequency, rank, confidence) of questions whose answer is an entity."""
-    with_roles = resolve.roles(matched.dropDuplicates(["qid", "event_id"]), entities)
-    seeds = kgquery.resolve_seeds(asked, kgquery.alias_index(entities))
-    facts = asked.where("intent = 'FACT'").select("qid", F.explode("targets").alias("type"), "agent_required")
-    hops = seeds.where("intent = 'MULTI_HOP'").select("qid", "entity_id")
-    found = resolve.fact(with_roles, facts).withColumn("intent", F.lit("FACT")).unionByName(resolve.multi_hop(with_roles, hops).withColumn("intent", F.lit("MULTI_HOP")))
-    n = found.groupBy("qid").agg(F.count("*").alias("n"))
-    return found.join(n, "qid").select("qid", "intent", "entity_id", "frequency", "rank", resolve.confidence(F.col("n"), F.col("intent") != "FACT").alias("confidence"))
-
-
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 30, most: int = 8, dim: int = 64, embed=vector.hashed_embedding) -> DataFrame:
-    """(qid, chunk_id, score, text): exact search over unit vectors, reranked by the death subject of a question."""
-    q = questions.select("qid", vector.unit(embed(F.col("text"), dim)).alias("q"), plan.death_subject(F.col("text")).alias("entity"))
-    v = chunks.select("chunk_id", "text", vector.unit(embed(F.col("text"), dim)).alias("embedding"))
-    found = vector.top_k(q, v, k, vid="chunk_id")
-    scored = found.withColumn("score", evidence.rerank_score(F.col("score"), F.col("text"), F.col("entity")))
-    return evidence.top_ranked(scored, most, key="qid").select("qid", "chunk_id", "score", "text")
+    """Answers of all questions by their intent; NO_ANSWER where there is none. See ``resolve.answers``."""
+    seeds = kgquery.resolve_seeds(asked.drop("targets", "agent_required"), kgquery.alias_index(entities, "first_seen")).select("qid", "entity_id")
+    return resolve.answers(asked, seeds, matched, entities)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 30, most: int = 8, dim: int = 64, embed=vector.hashed_embedding, book: str | None = None) -> DataFrame:
+    """(qid, chunk_id, score, text): exact search over unit vectors, a question about a death by all its wordings,
+    with boosts of books if ``book`` names their column; the best score of each chunk, reranked."""
+    entity = plan.death_subject(F.col("text"))
+    wordings = F.when(F.col("entity").isNotNull(), plan.expansions(F.col("entity"))).otherwise(F.array("text"))
+    asked = questions.select("qid", "text", entity.alias("entity"))
+    worded = asked.select("qid", "entity", F.posexplode(wordings).alias("w", "wording")).select(F.concat_ws("#", F.col("qid").cast("string"), F.col("w").cast("string")).alias("wid"), "qid", "entity", vector.unit(embed(F.col("wording"), dim)).alias("q"))
+    v = chunks.select("chunk_id", "text", (F.col(book) if book else F.lit(None).cast("string")).alias("book"), vector.unit(embed(F.col("text"), dim)).alias("embedding"))
+    found = vector.top_k(worded, v, k, qid="wid", vid="chunk_id")
+    boosted = found.withColumn("score", F.col("score") * plan.boost(F.col("entity"), F.col("book")))
+    best = boosted.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"), F.min("entity").alias("entity"), F.min("text").alias("text"))
+    scored = best.withColumn("score", evidence.rerank_score(F.col("score"), F.col("text"), F.col("entity")))
+    return evidence.top_ranked(scored, most, before="chunk_id", key="qid").select("qid", "chunk_id", "score", "text")
 
 
 def run_question(spark: SparkSession, path: str, text: str) -> tuple[DataFrame, DataFrame]:

@@ -1,93 +1,75 @@
-"""Queries over the entity-event graph. Orders are events, their customer and suppliers participants in
-line order, their priority the event's type; a question's seed is the first customer of each nation."""
+"""Queries over the entity-event graph of the tables (see ``store``). Questions come from the customers, one each."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import community, graph, kgquery
+from ..operators import community, events, graph, kgquery, quality
+from ..sources import io, storage
+from . import samples as S
 from .catalog import Catalog, table
+from .store import graph_of
 
 CATALOG = Catalog()
 query = CATALOG.add
 
-KINDS = {"1": "KILL", "2": "DEATH", "3": "BATTLE", "4": "SUPPORTED", "5": "VOW"}
-KG = """part AS (SELECT 'E' || o_orderkey AS event_id, 0 AS line, -1 AS supp, 'C' || o_custkey AS entity_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
- UNION ALL SELECT 'E' || l_orderkey, l_linenumber + 1, l_suppkey, 'S' || l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+KG = """arg AS (SELECT 'E' || o_orderkey AS event_id, 0 AS line, -1 AS pk, 'C' || o_custkey AS entity_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+ UNION ALL SELECT 'E' || l_orderkey, l_linenumber + 1, l_partkey, 'P' || l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
  ev AS (SELECT 'E' || o_orderkey AS event_id, o_orderkey AS ordinal, CASE left(o_orderpriority, 1) WHEN '1' THEN 'KILL' WHEN '2' THEN 'DEATH' WHEN '3' THEN 'BATTLE' WHEN '4' THEN 'SUPPORTED' ELSE 'VOW' END AS type,
- (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) + 1 AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
- edges AS (SELECT entity_id AS source_id, event_id, count(*) AS weight FROM part GROUP BY 1, 2),
- ent AS (SELECT 'C' || c_custkey AS entity_id, lower(c_name) AS name, 'PERSON' AS type FROM customer UNION ALL SELECT 'S' || s_suppkey, 'supplier ' || s_suppkey, 'GROUP' FROM supplier),
- plans AS (SELECT c_nationkey AS qid, 'C' || min(c_custkey) AS seed FROM customer GROUP BY 1)"""
-
-
-def arguments(spark, folder):
-    """(event_id, ordinal, type, line, supp, entity_id): one row an argument."""
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.substring("o_orderpriority", 1, 1))
-    head = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", kind.alias("type"), "o_custkey")
-    first = head.select("o_orderkey", "type", F.lit(0).alias("line"), F.lit(-1).cast("long").alias("supp"), F.concat(F.lit("C"), F.col("o_custkey")).alias("entity_id"))
-    others = lines.join(head.select("o_orderkey", "type"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "type", (F.col("l_linenumber") + 1).alias("line"), F.col("l_suppkey").alias("supp"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("entity_id"))
-    return first.unionByName(others).select(F.concat(F.lit("E"), F.col("o_orderkey")).alias("event_id"), F.col("o_orderkey").alias("ordinal"), "type", "line", "supp", "entity_id")
-
-
-def events_of(args):
-    ordered = F.array_sort(F.collect_list(F.struct("line", "supp", "entity_id")))
-    return args.groupBy("event_id", "ordinal", "type").agg(F.transform(ordered, lambda x: x["entity_id"]).alias("participants"))
-
-
-def edges_of(args):
-    rows = args.select("entity_id", "event_id", F.col("type").alias("event_type"), F.concat(F.lit("L"), F.col("line")).alias("chunk_id"))
-    return graph.build_edges(rows)
-
-
-def entities_of(spark, folder, args=None):
-    """Customers are persons, suppliers groups."""
-    people = table(spark, folder, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("entity_id"), F.lower("c_name").alias("canonical_name"), F.lit("PERSON").alias("type"))
-    groups = table(spark, folder, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("entity_id"), F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("canonical_name"), F.lit("GROUP").alias("type"))
-    named = people.unionByName(groups).withColumn("aliases", F.array("canonical_name"))
-    if args is None:
-        return named
-    counts = args.groupBy("entity_id").agg(F.countDistinct("event_id").alias("event_count"))
-    return named.join(counts, "entity_id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
+ strftime(o_orderdate, '%Y-%m') AS chunk_id, n FROM orders JOIN (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+ edges AS (SELECT entity_id AS source_id, event_id, count(*) AS weight FROM arg GROUP BY 1, 2),
+ ent AS (SELECT 'C' || c_custkey AS entity_id, lower(c_name) AS name, 'PERSON' AS type FROM customer UNION ALL SELECT 'P' || p_partkey, 'part ' || p_partkey, 'GROUP' FROM part UNION ALL SELECT 'S' || s_suppkey, lower(s_name), 'GROUP' FROM supplier),
+ plans AS (SELECT c_custkey AS qid, 'C' || c_custkey AS seed FROM customer)"""
 
 
 def plans(spark, folder, targets, intent="FACT", agent=False, order=None, depth=1):
-    seeds = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("qid")).agg(F.array(F.min_by("c_name", "c_custkey")).alias("seeds"))
-    return seeds.select("qid", F.lit(intent).alias("intent"), "seeds", F.array(*[F.lit(t) for t in targets]).cast("array<string>").alias("targets"), F.lit(agent).alias("agent_required"), F.lit(order).cast("string").alias("temporal_order"), F.lit(depth).alias("depth"))
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("qid"), F.lit(intent).alias("intent"), F.array("c_name").alias("seeds"), F.array(*[F.lit(t) for t in targets]).cast("array<string>").alias("targets"), F.lit(agent).alias("agent_required"), F.lit(order).cast("string").alias("temporal_order"), F.lit(depth).alias("depth"))
 
 
 def seeded(spark, folder, *a, **k):
-    return kgquery.resolve_seeds(plans(spark, folder, *a, **k), kgquery.alias_index(entities_of(spark, folder)))
-
+    return kgquery.resolve_seeds(plans(spark, folder, *a, **k), graph_of(spark, folder).aliases)
 
-def graph_of(spark, folder):
-    args = arguments(spark, folder)
-    return edges_of(args), events_of(args)
 
-
-@query(f"WITH {KG} SELECT event_id, ordinal, type, n::INT AS n_participants, (SELECT count(DISTINCT entity_id) FROM part p WHERE p.event_id = ev.event_id)::INT AS n_different FROM ev")
+@query(f"WITH {KG} SELECT event_id, ordinal, type, chunk_id, string_agg(entity_id, ',' ORDER BY line, pk) AS participants, count(DISTINCT entity_id)::INT AS n_different FROM ev JOIN arg USING (event_id) GROUP BY 1, 2, 3, 4")
 def kg_events(spark, folder):
-    e = events_of(arguments(spark, folder))
-    return e.select("event_id", "ordinal", "type", F.size("participants").alias("n_participants"), F.size(F.array_distinct("participants")).alias("n_different"))
+    e = graph_of(spark, folder).events
+    return e.select("event_id", "ordinal", "type", "chunk_id", F.array_join("participants", ",").alias("participants"), F.size(F.array_distinct("participants")).alias("n_different"))
 
 
-@query(f"WITH {KG} SELECT entity_id, count(DISTINCT event_id) AS event_count, count(DISTINCT line)::INT AS n_chunks, count(*) AS mentions FROM part GROUP BY 1")
+@query(f"""WITH {KG} SELECT entity_id, min(CASE WHEN entity_id[1] = 'C' THEN printf('customer#%09d', substring(entity_id, 2)::INT) ELSE 'part ' || substring(entity_id, 2) END) AS canonical_name, count(DISTINCT event_id) AS event_count,
+ count(DISTINCT chunk_id) AS n_chunks, count(*) AS mentions, min(ordinal) AS first_seen FROM arg JOIN ev USING (event_id) GROUP BY 1""")
 def entity_registry(spark, folder):
-    rows = arguments(spark, folder).select("event_id", "entity_id", F.concat(F.lit("L"), F.col("line")).alias("chunk_id"), F.col("entity_id").alias("canonical"), F.lit("PERSON").alias("type"), F.col("entity_id").alias("text"))
-    e = graph.build_entities(rows)
-    return e.select("entity_id", "event_count", F.size("evidence").alias("n_chunks"), F.aggregate(F.map_values("evidence"), F.lit(0).cast("long"), lambda s, x: s + x).alias("mentions"))
+    return graph.build_entities(graph_of(spark, folder).arguments).select("entity_id", "canonical_name", "event_count", "n_chunks", "mentions", "first_seen")
+
 
+@query(f"WITH {KG} SELECT entity_id, chunk_id, count(*) AS n FROM arg JOIN ev USING (event_id) GROUP BY 1, 2")
+def entity_evidence(spark, folder):
+    return graph.evidence_rows(graph_of(spark, folder).arguments)
 
-@query(f"WITH {KG} SELECT source_id, event_id AS target_id, weight, (SELECT count(DISTINCT line) FROM part p WHERE p.entity_id = edges.source_id AND p.event_id = edges.event_id)::INT AS n_evidence FROM edges")
+
+@query(f"WITH {KG} SELECT source_id, event_id AS target_id, 'PARTICIPATED_IN' AS edge_type, type AS event_type, weight, chunk_id AS evidence FROM edges JOIN ev USING (event_id)")
+def edge_build(spark, folder):
+    return graph.build_edges(graph_of(spark, folder).arguments).select("source_id", "target_id", "edge_type", "event_type", "weight", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query(f"WITH {KG} SELECT source_id, event_id AS target_id, weight, 'L' || (SELECT min(line % 2) FROM arg a WHERE a.entity_id = source_id AND a.event_id = edges.event_id) || CASE WHEN (SELECT count(DISTINCT line % 2) FROM arg a WHERE a.entity_id = source_id AND a.event_id = edges.event_id) > 1 THEN ',L1' ELSE '' END AS evidence FROM edges")
 def edge_merge(spark, folder):
-    return edges_of(arguments(spark, folder)).select("source_id", "target_id", "weight", F.size("evidence").alias("n_evidence"))
+    """Edges of two builds, of even and of odd lines, as one table."""
+    args = graph_of(spark, folder).arguments.withColumn("half", F.col("pos.line") % 2)
+    build = lambda k: graph.build_edges(args.where(F.col("half") == k).withColumn("chunk_id", F.lit(f"L{k}")))
+    return graph.merge_edges(build(0).unionByName(build(1))).select("source_id", "target_id", "weight", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query(f"WITH {KG} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM edges) AS edges")
 def graph_stats(spark, folder):
-    edges, events = graph_of(spark, folder)
-    return graph.stats(entities_of(spark, folder), events, edges)
+    kg = graph_of(spark, folder)
+    return graph.stats(kg.entities, kg.events, kg.edges)
+
+
+@query(f"WITH {KG} SELECT event_id, type AS event_type, chunk_id, n::INT AS participant_count FROM ev")
+def kg_relations(spark, folder):
+    kg = graph_of(spark, folder)
+    return graph.relations(kg.entities, kg.events, kg.edges)["events"].select("event_id", "event_type", "chunk_id", "participant_count")
 
 
 @query("SELECT lower(c_mktsegment) AS alias, count(DISTINCT c_custkey) AS n_entities FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1")
@@ -96,87 +78,273 @@ def alias_collisions(spark, folder):
     return graph.alias_collisions(people)
 
 
-@query(f"WITH {KG} SELECT entity_id FROM ent WHERE entity_id NOT IN (SELECT source_id FROM edges)")
+@query("SELECT lower(c_mktsegment) AS alias, arg_max(c_name, c_custkey) AS entity_id FROM customer GROUP BY 1 UNION ALL SELECT lower(c_name), c_name FROM customer")
+def kg_alias_index(spark, folder):
+    """Of equal names the last customer's."""
+    people = table(spark, folder, "customer").select(F.col("c_name").alias("entity_id"), F.col("c_custkey").alias("at"), F.col("c_name").alias("canonical_name"), F.array("c_mktsegment", F.lit("")).alias("aliases"))
+    return kgquery.alias_index(people, "at")
+
+
+@query("SELECT 'S' || s_suppkey AS entity_id FROM supplier")
 def orphan_check(spark, folder):
-    return graph.orphans(entities_of(spark, folder), edges_of(arguments(spark, folder))).select("entity_id")
+    kg = graph_of(spark, folder)
+    return graph.orphans(kg.entities, kg.edges).select("entity_id")
+
+
+BAD = """x AS (SELECT 'C' || c_custkey AS entity_id, CASE c_custkey % 5 WHEN 0 THEN 'ODD' WHEN 1 THEN 'GROUP' ELSE 'PERSON' END AS type, CASE c_custkey % 7 WHEN 0 THEN c_name || repeat('x', 40) ELSE c_name END AS name FROM customer),
+ ch AS (SELECT 'E' || o_orderkey AS event_id, CASE WHEN o_orderkey % 11 <> 0 THEN 'c' END AS chunk_id, CASE WHEN o_orderkey % 13 <> 0 THEN 'p' ELSE ' ' END AS parva FROM orders)"""
+
 
+def flawed(spark, folder):
+    """Entities, edges and events with planted flaws."""
+    c, o = table(spark, folder, "customer"), table(spark, folder, "orders")
+    k = F.col("c_custkey")
+    entities = c.select(F.concat(F.lit("C"), k).alias("entity_id"), F.when(k % 5 == 0, "ODD").when(k % 5 == 1, "GROUP").otherwise("PERSON").alias("type"), F.when(k % 7 == 0, F.concat("c_name", F.lit("x" * 40))).otherwise(F.col("c_name")).alias("canonical_name"), F.array(F.lower("c_mktsegment")).alias("aliases"))
+    n = F.col("o_orderkey")
+    edges = o.select(F.concat(F.lit("C"), "o_custkey").alias("source_id"), F.concat(F.lit("E"), n).alias("target_id"), F.when(n % 17 == 0, F.array().cast("array<string>")).when(n % 17 > 1, F.array(F.lit("c"))).alias("evidence"))
+    events_ = o.select(F.concat(F.lit("E"), n).alias("event_id"), F.when(n % 11 != 0, "c").alias("chunk_id"), F.when(n % 13 != 0, "p").otherwise(" ").alias("parva"))
+    return entities, edges, events_
 
-@query(f"""WITH {KG}, c AS (SELECT ent.entity_id, ent.type, count(DISTINCT event_id) AS n FROM ent LEFT JOIN part ON part.entity_id = ent.entity_id GROUP BY 1, 2),
- kept AS (SELECT * FROM c WHERE n >= CASE type WHEN 'PERSON' THEN 2 ELSE 1 END) SELECT source_id, count(*) AS n_edges FROM edges WHERE source_id IN (SELECT entity_id FROM kept) GROUP BY 1""")
+
+@query(f"""WITH {BAD} SELECT 'entity_types' AS name, count(*) AS violations FROM x WHERE type = 'ODD' UNION ALL SELECT 'orphans', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'evidence', count(*) FROM orders WHERE o_orderkey % 17 < 2
+ UNION ALL SELECT 'places', count(*) FILTER (chunk_id IS NULL) + count(*) FILTER (parva = ' ') FROM ch UNION ALL SELECT 'alias_collisions', count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'long_names', count(*) FROM x WHERE length(name) > 50""")
+def graph_report(spark, folder):
+    entities, edges, events_ = flawed(spark, folder)
+    return quality.report(entity_types=graph.bad_types(entities), orphans=graph.orphans(entities, edges), evidence=graph.missing_evidence(edges), places=graph.without_place(events_), alias_collisions=graph.alias_collisions(entities), long_names=graph.long_names(entities))
+
+
+@query(f"""WITH {KG}, c AS (SELECT ent.entity_id, ent.type, count(DISTINCT event_id) AS n FROM ent LEFT JOIN arg ON arg.entity_id = ent.entity_id GROUP BY 1, 2),
+ kept AS (SELECT * FROM c WHERE n >= CASE type WHEN 'PERSON' THEN 2 ELSE 1 END) SELECT source_id, count(*) AS n_edges, sum(ordinal)::BIGINT AS events FROM edges JOIN ev USING (event_id) WHERE source_id IN (SELECT entity_id FROM kept) GROUP BY 1""")
 def min_support_prune(spark, folder):
-    args = arguments(spark, folder)
-    _, edges = graph.prune(entities_of(spark, folder, args), edges_of(args))
-    return edges.groupBy("source_id").agg(F.count("*").alias("n_edges"))
+    kg = graph_of(spark, folder)
+    _, edges = graph.prune(kg.entities, kg.edges)
+    return edges.groupBy("source_id").agg(F.count("*").alias("n_edges"), F.sum(F.substring("event_id", 2, 20).cast("long")).alias("events"))
 
 
-@query("SELECT 'D' || doc_id AS source_id, 'D' || nxt AS target_id, 'NEXT' AS edge_type FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents) WHERE nxt IS NOT NULL")
-def next_links(spark, folder):
-    return next_edges(spark, folder)
+CONCEPTS = ["death", "duty", "fate", "karna", "Sin", "courage", "king"]
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS k, {S.picked(CONCEPTS, 'c_custkey')} AS name FROM customer) SELECT 'C' || k AS entity_id, CASE WHEN name IN ('death', 'duty', 'fate', 'courage') AND k % 3 = 0 AND k % 2 = 0 AND k % 5 <> 0 THEN 'LITERAL' ELSE 'PERSON' END AS type FROM n""")
+def concept_downgrade(spark, folder):
+    """Concept nouns that are objects (two of three customers), of abstract events only (even ones), without structural edges (not every fifth)."""
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("C"), "c_custkey").alias("entity_id"))
+    entities = c.select("entity_id", S.pick(CONCEPTS, F.col("k")).alias("canonical_name"), F.lit("PERSON").alias("type"))
+    ev = c.select(F.concat(F.lit("E"), "k").alias("event_id"), F.when(F.col("k") % 2 == 0, "DEATH").otherwise("BATTLE").alias("type"))
+    edge = lambda rows, source, target, kind: rows.select(source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("edge_type"), F.concat(F.lit("E"), "k").alias("event_id"))
+    me, event = F.col("entity_id"), F.concat(F.lit("E"), F.col("k"))
+    edges = edge(c.where("k % 3 = 0"), event, me, "PARTICIPATED_IN").unionByName(edge(c.where("k % 3 <> 0"), me, event, "PARTICIPATED_IN")).unionByName(edge(c.where("k % 5 = 0"), event, me, "RELATED_TO"))
+    return graph.downgrade_concepts(entities, ev, edges).select("entity_id", "type")
+
+
+PLACED = ["They met at Kurukshetra and in the Great Forest.", "near Dwarka Gate he fell in His tent", "in Karna he trusted", "on the field of Kuru Kshetra, at Xy", "At dawn in Panchala Land and in Panchala Land", "not within Magadha", "in Hastinapur at Videha"]
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, {S.picked(PLACED, 'o_orderkey')} AS s FROM orders), m AS (SELECT k, unnest(list_concat(list_concat(regexp_extract_all(s, '\\bat\\s+([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)', 1), regexp_extract_all(s, '\\bin\\s+([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)', 1)),
+ list_concat(regexp_extract_all(s, '\\bfield of\\s+([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)', 1), regexp_extract_all(s, '\\bnear\\s+([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)', 1)))) AS place FROM t)
+ SELECT DISTINCT 'E' || k AS source_id, CASE lower(place) WHEN 'videha' THEN 'place_old' ELSE 'place_' || replace(lower(place), ' ', '_') END AS target_id, 'OCCURRED_AT' AS edge_type, 'BATTLE' AS event_type, 'c' AS evidence FROM m
+ WHERE length(place) >= 3 AND lower(place) IN ('kurukshetra', 'dwarka gate', 'kuru kshetra', 'panchala land', 'magadha', 'hastinapur', 'videha')""")
+def place_recovery(spark, folder):
+    """Places in planted sentences: new ones, one that is known, and names of persons that are none."""
+    k = F.col("o_orderkey")
+    ev = table(spark, folder, "orders").select(F.concat(F.lit("E"), k).alias("event_id"), F.lit("BATTLE").alias("type"), S.pick(PLACED, k).alias("sentence"), F.lit("c").alias("chunk_id"))
+    known = spark.createDataFrame([("place_old", "videha", "PLACE"), ("person_karna", "karna", "PERSON")], "entity_id string, canonical_name string, type string")
+    found = graph.recover_places(graph.place_mentions(ev), known)
+    return graph.occurred_edges(found, ev).select("source_id", "target_id", "edge_type", "event_type", F.array_join("evidence", ",").alias("evidence"))
+
+
+# property graph: documents as context units, their source as a book, language as section
+
+UNITS = "u AS (SELECT doc_id, 'D' || doc_id AS unit_id, substring(source, 4)::INT AS number, source AS parva, lang AS section, CASE doc_id % 5 WHEN 0 THEN 'Exile' WHEN 1 THEN 'The War' WHEN 2 THEN 'After The War' END AS phase FROM documents)"
+
+
+def units(spark, folder):
+    d, k = table(spark, folder, "documents"), F.col("doc_id")
+    phase = F.when(k % 5 == 0, "Exile").when(k % 5 == 1, "The War").when(k % 5 == 2, "After The War")
+    return d.select(k.alias("at"), F.concat(F.lit("D"), k).alias("unit_id"), F.substring("source", 4, 9).cast("int").alias("parva_number"), F.col("source").alias("parva"), F.col("lang").alias("section"), phase.alias("story_phase"), "text")
+
+
+def appearances(spark, folder):
+    """Who appears in which unit: a planted name by document."""
+    return units(spark, folder).select(S.pick(S.NAMES, F.col("at")).alias("name"), "unit_id")
+
+
+def property_graph(spark, folder):
+    u, who = units(spark, folder), appearances(spark, folder)
+    people = who.join(u.select("unit_id", "parva", "at"), "unit_id").groupBy("name").agg(F.min_by("parva", "at").alias("first_appearance"))
+    return graph.property_nodes(u, people), graph.property_links(u, who)
+
 
+@query(f"""WITH {UNITS}, c AS (SELECT 'CHAR_' || replace(upper(name), ' ', '_') AS node_id, 'Character' AS type, 2 AS n, name || '|' || arg_min(parva, doc_id) AS about FROM (SELECT *, {S.picked(S.NAMES, 'doc_id')} AS name FROM u) GROUP BY name)
+ SELECT unit_id AS node_id, 'ContextUnit' AS type, (CASE WHEN phase IS NULL THEN 4 ELSE 5 END)::INT AS n, NULL AS about FROM u UNION ALL SELECT DISTINCT printf('PARVA_%02d', number), 'Parva', 2, parva FROM u UNION ALL SELECT DISTINCT 'SEC_' || parva || '_' || section, 'Section', 2, NULL FROM u
+ UNION ALL SELECT 'PHASE_' || replace(upper(phase), ' ', '_'), 'StoryPhase', 2, string_agg(DISTINCT number::VARCHAR, ',' ORDER BY number::VARCHAR) FROM u WHERE phase IS NOT NULL GROUP BY phase UNION ALL SELECT * FROM c
+ UNION ALL SELECT 'CONCEPT_' || upper(x), 'Concept', 1, NULL FROM (SELECT unnest(['Dharma', 'Karma', 'Exile', 'War', 'Kingship', 'Duty', 'Lineage', 'Curse', 'Fortune', 'Betrayal', 'Loyalty', 'Victory', 'Defeat', 'Death', 'Rebirth']) AS x)""")
+def property_nodes(spark, folder):
+    nodes, _ = property_graph(spark, folder)
+    a = F.col("attributes")
+    about = F.when(F.col("type") == "Parva", a["name"]).when(F.col("type") == "StoryPhase", a["parvas"]).when(F.col("type") == "Character", F.concat_ws("|", a["name"], a["parva_first_appearance"]))
+    return nodes.select("node_id", "type", F.size("attributes").alias("n"), about.alias("about"))
 
-def next_edges(spark, folder):
-    units = table(spark, folder, "documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("unit_id"), "doc_id", "source")
-    return graph.next_links(units, "unit_id", "source", "doc_id")
 
+@query(f"""WITH {UNITS} SELECT unit_id AS source_id, 'SEC_' || parva || '_' || section AS target_id, 'PART_OF' AS edge_type FROM u UNION ALL SELECT unit_id, 'PHASE_' || replace(upper(phase), ' ', '_'), 'DURING' FROM u WHERE phase IS NOT NULL
+ UNION ALL SELECT unit_id, nxt, 'NEXT' FROM (SELECT unit_id, lead(unit_id) OVER (PARTITION BY parva, section ORDER BY doc_id) AS nxt FROM u) WHERE nxt IS NOT NULL UNION ALL SELECT 'CHAR_' || replace(upper({S.picked(S.NAMES, 'doc_id')}), ' ', '_'), unit_id, 'APPEARS_IN' FROM u""")
+def property_links(spark, folder):
+    return property_graph(spark, folder)[1]
 
-@query(f"WITH {KG} SELECT 'PARTICIPATED_IN' AS edge_type, count(*)::INT AS n_targets FROM edges WHERE source_id = 'C1'")
+
+@query(f"""WITH {UNITS} SELECT unit_id AS id, 'node type' AS rule, 'Unit' AS detail FROM u WHERE doc_id % 10 = 0 UNION ALL SELECT unit_id, 'attribute', 'colour' FROM u WHERE doc_id % 10 = 1 UNION ALL SELECT unit_id || '->x', 'link type', 'LIKES' FROM u WHERE doc_id % 10 = 2""")
+def ontology_check(spark, folder):
+    u = units(spark, folder)
+    kind = F.when(F.col("at") % 10 == 0, "Unit").otherwise("ContextUnit")
+    nodes = u.select(F.col("unit_id").alias("node_id"), kind.alias("type"), F.when(F.col("at") % 10 == 1, F.create_map(F.lit("text"), F.lit("t"), F.lit("colour"), F.lit("red"))).otherwise(F.create_map(F.lit("text"), F.lit("t"))).alias("attributes"))
+    links = u.select(F.col("unit_id").alias("source_id"), F.lit("x").alias("target_id"), F.when(F.col("at") % 10 == 2, "LIKES").otherwise("NEXT").alias("edge_type"))
+    return graph.ontology_errors(nodes, links)
+
+
+@query("""SELECT type, k::INT AS "at", attribute FROM (VALUES ('ContextUnit', 0, 'unit_id'), ('ContextUnit', 1, 'parva'), ('ContextUnit', 2, 'section'), ('ContextUnit', 3, 'story_phase'), ('ContextUnit', 4, 'text'), ('Character', 0, 'name'), ('Character', 1, 'role'), ('Character', 2, 'parva_first_appearance'),
+ ('Alias', 0, 'alias_name'), ('Alias', 1, 'canonical_name'), ('Parva', 0, 'parva_number'), ('Parva', 1, 'name'), ('Section', 0, 'parva'), ('Section', 1, 'section_number'), ('StoryPhase', 0, 'phase_name'), ('StoryPhase', 1, 'parvas'), ('Concept', 0, 'concept_name')) AS t(type, k, attribute)""")
+def node_schema(spark, folder):
+    return graph.node_schema(spark)
+
+
+@query("""SELECT 1 AS part, 'S' || s_suppkey AS id, '<node id="S' || s_suppkey || '"><data key="type">Character</data><data key="name">' || s_name || ' &amp; &lt;sons&gt;</data></node>' AS line FROM supplier
+ UNION ALL SELECT 2, 'S' || s_suppkey || ' N' || s_nationkey, '<edge source="S' || s_suppkey || '" target="N' || s_nationkey || '"><data key="link">PART_OF</data></edge>' FROM supplier""")
+def graphml_lines(spark, folder):
+    s = table(spark, folder, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id"), F.concat(F.lit("N"), "s_nationkey").alias("target_id"), F.lit("Character").alias("type"), F.create_map(F.lit("name"), F.concat("s_name", F.lit(" & <sons>"))).alias("attributes"))
+    links = s.select(F.col("node_id").alias("source_id"), "target_id", F.lit("PART_OF").alias("edge_type"))
+    return io.graphml(s, links).where("part in (1, 2)")
+
+
+@query(f"WITH {UNITS} SELECT unit_id AS source_id, nxt AS target_id, 'NEXT' AS edge_type FROM (SELECT unit_id, lead(unit_id) OVER (PARTITION BY parva ORDER BY doc_id) AS nxt FROM u) WHERE nxt IS NOT NULL")
+def next_links(spark, folder):
+    return graph.next_links(units(spark, folder), "unit_id", "parva", "at")
+
+
+@query(f"WITH {KG} SELECT source_id AS entity_id, 'PARTICIPATED_IN' AS edge_type, count(*) AS n_targets, sum(ordinal)::BIGINT AS targets FROM edges JOIN ev USING (event_id) GROUP BY 1")
 def neighborhood(spark, folder):
-    edges = edges_of(arguments(spark, folder))
-    return graph.neighbourhood(edges, "C1").select("edge_type", F.size("targets").alias("n_targets"))
+    """Neighbours of every entity."""
+    kg = graph_of(spark, folder)
+    near = graph.neighbourhood(kg.edges, kg.entities)
+    return near.groupBy("entity_id", "edge_type").agg(F.count("*").alias("n_targets"), F.sum(F.substring("target_id", 2, 20).cast("long")).alias("targets"))
+
+
+@query(f"WITH {KG} SELECT source_id AS entity_id, event_id FROM edges JOIN ev USING (event_id) WHERE source_id[1] = 'C' AND type = 'DEATH'")
+def events_of_entity(spark, folder):
+    """Events of the customers that exist in a table of deaths only."""
+    kg = graph_of(spark, folder)
+    return graph.events_of_entities(kg.edges, kg.events.where("type = 'DEATH'"), graph.by_type(kg.entities, "PERSON"))
+
+
+@query(f"WITH {KG} SELECT event_id, entity_id, ent.type AS entity_type, name FROM edges JOIN ev USING (event_id) JOIN ent ON entity_id = source_id WHERE ev.type = 'VOW'")
+def registry_by_event(spark, folder):
+    kg = graph_of(spark, folder)
+    return graph.by_event(kg.entities, kg.edges, kg.events.where("type = 'VOW'")).select("event_id", "entity_id", F.col("type").alias("entity_type"), F.col("canonical_name").alias("name"))
+
+
+@query(f"WITH {KG} SELECT entity_id, type, name FROM ent WHERE entity_id IN (SELECT entity_id FROM ent WHERE type = 'PERSON' UNION ALL SELECT 'P' || l_partkey FROM lineitem WHERE l_linenumber = 1)")
+def registry_lookup(spark, folder):
+    """Entities by type, and by ids of first lines' parts."""
+    e = graph_of(spark, folder).entities
+    ids = table(spark, folder, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("P"), "l_partkey").alias("entity_id"))
+    return graph.by_type(e, "PERSON").unionByName(graph.by_id(e, ids)).select("entity_id", "type", F.col("canonical_name").alias("name"))
+
+
+@query(f"""WITH {KG} SELECT 'entities' AS relation, count(*) AS n, sum(length(name))::BIGINT AS size FROM ent UNION ALL SELECT 'events', count(*), sum(n)::BIGINT FROM ev UNION ALL SELECT 'edges', count(*), sum(weight)::BIGINT FROM edges
+ UNION ALL SELECT 'stats', (SELECT count(*) FROM ent) + (SELECT count(*) FROM ev) + (SELECT count(*) FROM edges), 1 UNION ALL SELECT 'registry', count(*), count(DISTINCT entity_id) FROM ent UNION ALL SELECT 'report orphans', count(*), 1 FROM supplier""")
+def kg_sink_scan(spark, folder):
+    """The graph written with its statistics, registry and report, and read again."""
+    kg, path = graph_of(spark, folder), storage.new_path(spark, "kg")
+    io.write_graph(path, kg.entities, kg.events, kg.edges, quality.report(orphans=graph.orphans(kg.entities, kg.edges)))
+    entities, ev, edges = io.read_graph(spark, path)
+    row = lambda df, name, size: df.agg(F.lit(name).alias("relation"), F.count("*").alias("n"), size.cast("long").alias("size"))
+    stats = io.read_json(spark, f"{path}/graph_stats", "entity_count long, event_count long, edge_count long")
+    report = io.read_json(spark, f"{path}/validation_report", "name string, violations long")
+    out = row(entities, "entities", F.sum(F.length("canonical_name"))).unionByName(row(ev, "events", F.sum(F.size("participants")))).unionByName(row(edges, "edges", F.sum("weight")))
+    out = out.unionByName(stats.select(F.lit("stats").alias("relation"), (F.col("entity_count") + F.col("event_count") + F.col("edge_count")).alias("n"), F.lit(1).cast("long").alias("size")))
+    out = out.unionByName(row(io.read_registry(spark, f"{path}/entity_registry"), "registry", F.countDistinct("entity_id")))
+    return out.unionByName(report.select(F.concat(F.lit("report "), "name").alias("relation"), F.col("violations").alias("n"), F.lit(1).cast("long").alias("size")))
+
+
+# older filters
+
 
+@query(f"WITH {UNITS} SELECT unit_id FROM u WHERE {S.picked(S.NAMES, 'doc_id')} = 'Karna' AND phase = 'Exile' UNION ALL SELECT unit_id FROM u WHERE {S.picked(S.NAMES, 'doc_id')} = 'Drona'")
+def legacy_by_entity(spark, folder):
+    """Units of one character in a phase, and of another in all."""
+    u, links = units(spark, folder), property_graph(spark, folder)[1]
+    return kgquery.units_by_entity(links, "CHAR_KARNA", u, "Exile").unionByName(kgquery.units_by_entity(links, "CHAR_DRONA"))
 
-@query("SELECT DISTINCT doc_id AS unit_id FROM documents WHERE source = 'src3' AND lang = 'en' AND length(text) > 1000")
+
+@query(f"WITH {UNITS} SELECT unit_id FROM u WHERE phase = 'After The War'")
+def legacy_by_phase(spark, folder):
+    return kgquery.units_by_phase(property_graph(spark, folder)[1], "PHASE_AFTER_THE_WAR")
+
+
+@query(f"WITH {UNITS} SELECT unit_id FROM u WHERE parva = 'src7' AND section = 'en' AND phase = 'After The War'")
 def legacy_intersection(spark, folder):
-    units = table(spark, folder, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("book"), F.col("lang").alias("section"), F.length("text").alias("n"))
-    return kgquery.units_by_all(kgquery.units_by_place(units, book="src3"), kgquery.units_by_place(units, section="en"), units.where("n > 1000").select("unit_id").distinct())
+    u, links = units(spark, folder), property_graph(spark, folder)[1]
+    places = u.withColumnsRenamed({"parva": "book"})
+    return kgquery.units_by_all(kgquery.units_by_place(places, book="src7"), kgquery.units_by_place(places, section="en"), kgquery.units_by_phase(links, "PHASE_AFTER_THE_WAR"))
 
 
-@query("""WITH n AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT 'D' || doc_id AS unit_id, (r - 1)::INT AS hop FROM n WHERE r <= 4""")
+@query(f"""WITH {UNITS}, n AS (SELECT unit_id, row_number() OVER (PARTITION BY parva ORDER BY doc_id) AS r FROM u) SELECT unit_id, (r - 1)::INT AS hop FROM n WHERE r <= 4""")
 def legacy_neighbourhood(spark, folder):
-    units = table(spark, folder, "documents")
-    start = units.groupBy("source").agg(F.min("doc_id").alias("d")).select(F.concat(F.lit("D"), F.col("d")).alias("unit_id"))
-    return kgquery.hops(next_edges(spark, folder), start, 3)
+    """From the first unit of each book, three steps on."""
+    u = units(spark, folder)
+    start = u.groupBy("parva").agg(F.min_by("unit_id", "at").alias("unit_id")).select("unit_id")
+    return kgquery.hops(next_links(spark, folder), start, 3)
 
 
 @query("SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1)), 9) AS density FROM (SELECT count(*) AS n, count(*) - count(DISTINCT source) AS m FROM documents)")
 def graph_density(spark, folder):
-    nodes = table(spark, folder, "documents")
-    return graph.density(nodes, next_edges(spark, folder)).withColumn("density", F.round("density", 9))
+    return graph.density(table(spark, folder, "documents"), next_links(spark, folder)).withColumn("density", F.round("density", 9))
 
 
 @query(f"WITH {KG} SELECT type AS event_type, count(*) AS n FROM ev GROUP BY 1")
 def kg_type_histogram(spark, folder):
-    from ..operators.events import type_histogram
+    return events.type_histogram(graph_of(spark, folder).events.withColumnRenamed("type", "event_type"))
 
-    return type_histogram(events_of(arguments(spark, folder)).withColumnRenamed("type", "event_type"))
 
-
-@query(f"WITH {KG}, c AS (SELECT entity_id, count(DISTINCT event_id) AS event_count FROM part GROUP BY 1) SELECT entity_id, event_count FROM c ORDER BY event_count DESC, entity_id LIMIT 15")
+@query(f"WITH {KG}, c AS (SELECT entity_id, count(DISTINCT event_id) AS event_count FROM arg GROUP BY 1) SELECT entity_id, event_count FROM c ORDER BY event_count DESC, entity_id LIMIT 15")
 def kg_profile(spark, folder):
-    args = arguments(spark, folder)
-    return graph.profile(entities_of(spark, folder, args)).select("entity_id", "event_count")
+    return graph.profile(graph_of(spark, folder).entities).select("entity_id", "event_count")
+
+
+PROFILED = ["Karna", "him", "Having gone", "the act of war", "it", "Being there", "Drona", "Thou"]
+
+
+@query(f"""WITH {KG}, e AS (SELECT {S.picked(PROFILED, 'c_custkey')} AS name, CASE c_custkey % 3 WHEN 0 THEN 'PERSON' ELSE 'GROUP' END AS type FROM customer), v AS (SELECT type, CASE type WHEN 'SUPPORTED' THEN 'MESO' ELSE 'MACRO' END AS tier FROM ev)
+ SELECT 'entity type' AS measure, type AS name, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM e), 6) AS share FROM e GROUP BY 2 UNION ALL SELECT 'event type', type, count(*), NULL FROM v GROUP BY 2 UNION ALL SELECT 'event tier', tier, count(*), NULL FROM v GROUP BY 2
+ UNION ALL SELECT 'quality', 'pronouns', count(*), NULL FROM e WHERE name IN ('him', 'it', 'Thou') UNION ALL SELECT 'quality', 'noise phrases', count(*), NULL FROM e WHERE name IN ('Having gone', 'the act of war', 'Being there')
+ UNION ALL SELECT 'total', 'entities', count(*), NULL FROM e UNION ALL SELECT 'total', 'events', count(*), NULL FROM v UNION ALL SELECT 'within target', 'entities', (count(*) BETWEEN 2000 AND 3500)::BIGINT, NULL FROM e UNION ALL SELECT 'within target', 'events', (count(*) BETWEEN 500 AND 1500)::BIGINT, NULL FROM v""")
+def output_profile(spark, folder):
+    k = F.col("c_custkey")
+    entities = table(spark, folder, "customer").select(S.pick(PROFILED, k).alias("canonical_name"), F.when(k % 3 == 0, "PERSON").otherwise("GROUP").alias("type"))
+    return graph.output_profile(entities, graph_of(spark, folder).events).withColumn("share", F.round("share", 6))
+
+
+ROUND = "SELECT node, label FROM (SELECT node, label, sum(w) AS w FROM (SELECT p.node, l.label, p.w FROM pairs p JOIN {0} l ON p.other = l.node UNION ALL SELECT node, label, 0.5 FROM {0}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1"
 
 
-@query()
+@query(f"""WITH {KG}, pairs AS (SELECT source_id AS node, event_id AS other, weight::DOUBLE AS w FROM edges UNION ALL SELECT event_id, source_id, weight::DOUBLE FROM edges), l0 AS (SELECT DISTINCT node, node AS label FROM pairs),
+ l1 AS ({ROUND.format('l0')}), l2 AS ({ROUND.format('l1')}), l3 AS ({ROUND.format('l2')}) SELECT node, label FROM l3""")
 def community_labels(spark, folder):
-    """Customers and orders in communities, by rounds of joins; tests hold it against a plain loop."""
-    edges = edges_of(arguments(spark, folder)).where("source_id like 'C%'")
-    return community.label_propagation(edges)
+    """Entities and events in communities, by rounds of joins."""
+    return community.label_propagation(graph_of(spark, folder).edges)
 
 
-@query(f"WITH {KG}, all_plans AS (SELECT c_custkey AS qid, 'C' || c_custkey AS seed FROM customer) SELECT qid, event_id, type FROM all_plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('KILL', 'DEATH')")
+# questions
+
+
+@query(f"WITH {KG} SELECT qid, event_id, type FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('KILL', 'DEATH')")
 def kg_fact(spark, folder):
-    """A question about every customer at once."""
-    edges, events = graph_of(spark, folder)
-    asked = table(spark, folder, "customer").select(F.col("c_custkey").alias("qid"), F.array("c_name").alias("seeds"), F.array(F.lit("KILL"), F.lit("DEATH")).alias("targets"), F.lit(False).alias("agent_required"))
-    s = kgquery.resolve_seeds(asked, kgquery.alias_index(entities_of(spark, folder)))
-    return kgquery.fact(s, edges, events).select("qid", "event_id", "type")
+    kg = graph_of(spark, folder)
+    return kgquery.fact(seeded(spark, folder, ["KILL", "DEATH"]), kg.edges, kg.events).select("qid", "event_id", "type")
 
 
 @query(f"WITH {KG} SELECT qid, event_id, n::INT AS n FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE n >= 2")
 def kg_fact_agent_required(spark, folder):
-    edges, events = graph_of(spark, folder)
-    return kgquery.fact(seeded(spark, folder, [], agent=True), edges, events).select("qid", "event_id", F.size("participants").alias("n"))
+    kg = graph_of(spark, folder)
+    return kgquery.fact(seeded(spark, folder, [], agent=True), kg.edges, kg.events).select("qid", "event_id", F.size("participants").alias("n"))
 
 
 BEYOND = """, mine AS (SELECT qid, event_id FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('DEATH', 'BATTLE')),
@@ -184,64 +352,97 @@ BEYOND = """, mine AS (SELECT qid, event_id FROM plans JOIN edges ON source_id =
  r AS (SELECT qid, event_id, row_number() OVER (PARTITION BY qid ORDER BY event_id {d})::INT AS rank FROM edge_of, ev WHERE type IN ('DEATH', 'BATTLE') AND ordinal {c} p) SELECT qid, event_id, rank FROM r WHERE rank <= 20"""
 
 
+def beyond(spark, folder, order):
+    kg = graph_of(spark, folder)
+    return kgquery.temporal(seeded(spark, folder, ["DEATH", "BATTLE"], "TEMPORAL", order=order, depth=2), kg.edges, kg.events, index=kg.index).select("qid", "event_id", "rank")
+
+
 @query(f"WITH {KG}" + BEYOND.format(f="max", d="", c=">"))
 def kg_temporal_after(spark, folder):
-    edges, events = graph_of(spark, folder)
-    s = seeded(spark, folder, ["DEATH", "BATTLE"], "TEMPORAL", order="AFTER", depth=2)
-    return kgquery.temporal(s, edges, events).select("qid", "event_id", "rank")
+    return beyond(spark, folder, "AFTER")
 
 
 @query(f"WITH {KG}" + BEYOND.format(f="min", d="DESC", c="<"))
 def kg_temporal_before(spark, folder):
-    edges, events = graph_of(spark, folder)
-    s = seeded(spark, folder, ["DEATH", "BATTLE"], "TEMPORAL", order="BEFORE", depth=2)
-    return kgquery.temporal(s, edges, events).select("qid", "event_id", "rank")
+    return beyond(spark, folder, "BEFORE")
 
 
 @query(f"WITH {KG} SELECT qid, seed AS entity_id, event_id FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('DEATH', 'BATTLE')")
 def kg_temporal_seed(spark, folder):
-    edges, events = graph_of(spark, folder)
-    return kgquery.seed_events(seeded(spark, folder, ["DEATH", "BATTLE"], "TEMPORAL", order="DURING", depth=2), edges, events).select("qid", "entity_id", "event_id")
+    kg = graph_of(spark, folder)
+    return kgquery.seed_events(seeded(spark, folder, ["DEATH", "BATTLE"], "TEMPORAL", order="DURING", depth=2), kg.edges, kg.events).select("qid", "entity_id", "event_id")
 
 
-CAUSAL = """, te AS (SELECT source_id, event_id FROM edges JOIN ev USING (event_id) WHERE type = 'VOW'), pt AS (SELECT DISTINCT event_id, entity_id FROM part),
+CAUSAL = """, te AS (SELECT source_id, event_id FROM edges JOIN ev USING (event_id) WHERE type = 'VOW'), pt AS (SELECT DISTINCT event_id, entity_id FROM arg),
  e0 AS (SELECT DISTINCT qid, event_id FROM plans JOIN te ON source_id = seed),
- p1 AS (SELECT DISTINCT qid, entity_id FROM e0 JOIN pt USING (event_id) WHERE (qid, entity_id) NOT IN (SELECT qid, seed FROM plans)),
- e1 AS (SELECT DISTINCT qid, event_id FROM p1 JOIN te ON source_id = entity_id WHERE (qid, event_id) NOT IN (SELECT qid, event_id FROM e0)),
- p2 AS (SELECT DISTINCT qid, entity_id FROM e1 JOIN pt USING (event_id) WHERE (qid, entity_id) NOT IN (SELECT qid, seed FROM plans UNION ALL SELECT qid, entity_id FROM p1)),
- e2 AS (SELECT DISTINCT qid, event_id FROM p2 JOIN te ON source_id = entity_id WHERE (qid, event_id) NOT IN (SELECT qid, event_id FROM e0 UNION ALL SELECT qid, event_id FROM e1))
- SELECT qid, 0 AS hop, event_id FROM e0 UNION ALL SELECT qid, 1, event_id FROM e1 UNION ALL SELECT qid, 2, event_id FROM e2"""
+ p1 AS (SELECT DISTINCT qid, entity_id FROM e0 JOIN pt USING (event_id) ANTI JOIN plans ON plans.qid = e0.qid AND seed = entity_id),
+ e1 AS (SELECT DISTINCT p1.qid, te.event_id FROM p1 JOIN te ON source_id = entity_id ANTI JOIN e0 ON e0.qid = p1.qid AND e0.event_id = te.event_id),
+ p2 AS (SELECT DISTINCT e1.qid, pt.entity_id FROM e1 JOIN pt USING (event_id) ANTI JOIN plans ON plans.qid = e1.qid AND seed = pt.entity_id ANTI JOIN p1 ON p1.qid = e1.qid AND p1.entity_id = pt.entity_id),
+ e2 AS (SELECT DISTINCT p2.qid, te.event_id FROM p2 JOIN te ON source_id = entity_id ANTI JOIN e0 ON e0.qid = p2.qid AND e0.event_id = te.event_id ANTI JOIN e1 ON e1.qid = p2.qid AND e1.event_id = te.event_id),
+ found AS (SELECT qid, 0 AS hop, event_id FROM e0 UNION ALL SELECT qid, 1, event_id FROM e1 UNION ALL SELECT qid, 2, event_id FROM e2)"""
 
 
-@query(f"WITH {KG}{CAUSAL}")
+@query(f"WITH {KG}{CAUSAL} SELECT qid, hop, count(*) AS n_events, sum(ordinal)::BIGINT AS events FROM found JOIN ev USING (event_id) GROUP BY 1, 2")
 def kg_causal_depth2(spark, folder):
-    edges, events = graph_of(spark, folder)
-    return kgquery.causal(seeded(spark, folder, ["VOW"], "CAUSAL", depth=2), edges, events, 2).select("qid", "hop", "event_id")
+    """All events that a question reaches, summed up by hop."""
+    kg = graph_of(spark, folder)
+    return kgquery.causal(seeded(spark, folder, ["VOW"], "CAUSAL", depth=2), kg.edges, kg.events).groupBy("qid", "hop").agg(F.count("*").alias("n_events"), F.sum("ordinal").alias("events"))
 
 
 MULTI = """, tr AS (SELECT DISTINCT qid, event_id FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('KILL')),
- pp AS (SELECT DISTINCT qid, entity_id FROM tr JOIN part USING (event_id)),
- cs AS (SELECT DISTINCT qid, event_id FROM pp JOIN edges ON source_id = entity_id JOIN ev USING (event_id) WHERE type IN ('KILL', 'SUPPORTED') AND (qid, event_id) NOT IN (SELECT qid, event_id FROM tr))"""
+ pp AS (SELECT DISTINCT qid, entity_id FROM tr JOIN arg USING (event_id)),
+ cs AS (SELECT DISTINCT pp.qid, edges.event_id FROM pp JOIN edges ON source_id = entity_id JOIN ev USING (event_id) ANTI JOIN tr ON tr.qid = pp.qid AND tr.event_id = edges.event_id WHERE type IN ('KILL', 'SUPPORTED')),
+ hop AS (SELECT qid, 'TRIGGER' AS phase, event_id FROM tr UNION ALL SELECT qid, 'CONSEQUENCE', event_id FROM cs)"""
 
 
-@query(f"WITH {KG}{MULTI} SELECT qid, 'TRIGGER' AS phase, event_id FROM tr UNION ALL SELECT qid, 'CONSEQUENCE', event_id FROM cs")
+@query(f"WITH {KG}{MULTI} SELECT qid, phase, count(*) AS n_events, sum(ordinal)::BIGINT AS events FROM hop JOIN ev USING (event_id) GROUP BY 1, 2")
 def kg_multi_hop(spark, folder):
-    edges, events = graph_of(spark, folder)
-    return kgquery.multi_hop(seeded(spark, folder, ["KILL", "SUPPORTED"], "MULTI_HOP", depth=2), edges, events).select("qid", "phase", "event_id")
+    """All events of a question, summed up by phase."""
+    kg = graph_of(spark, folder)
+    return kgquery.multi_hop(seeded(spark, folder, ["KILL", "SUPPORTED"], "MULTI_HOP", depth=2), kg.edges, kg.events).groupBy("qid", "phase").agg(F.count("*").alias("n_events"), F.sum("ordinal").alias("events"))
 
 
-@query(f"WITH {KG} SELECT DISTINCT qid, p.entity_id, ent.type FROM plans JOIN edges ON source_id = seed JOIN part p USING (event_id) JOIN ent ON ent.entity_id = p.entity_id JOIN ev USING (event_id) WHERE ev.type = 'KILL'")
+@query(f"WITH {KG} SELECT DISTINCT qid, arg.entity_id, ent.type FROM plans JOIN edges ON source_id = seed JOIN arg USING (event_id) JOIN ent ON ent.entity_id = arg.entity_id JOIN ev USING (event_id) WHERE ev.type = 'KILL'")
 def kg_matched_entities(spark, folder):
-    edges, events = graph_of(spark, folder)
-    found = kgquery.fact(seeded(spark, folder, ["KILL"]), edges, events)
-    return kgquery.matched_entities(found, entities_of(spark, folder)).select("qid", "entity_id", "type")
+    kg = graph_of(spark, folder)
+    found = kgquery.fact(seeded(spark, folder, ["KILL"]), kg.edges, kg.events)
+    return kgquery.matched_entities(found, kg.entities).select("qid", "entity_id", "type")
+
+
+MIXED = [("FACT", ["KILL", "DEATH"], None, 1), ("MULTI_HOP", ["KILL", "SUPPORTED"], None, 2), ("CAUSAL", ["VOW"], None, 1), ("TEMPORAL", ["DEATH", "BATTLE"], "DURING", 2), ("TEMPORAL", ["DEATH", "BATTLE"], "AFTER", 2), ("OTHER", ["KILL"], None, 1)]
+
+
+def mixed(spark, folder):
+    """A question a customer, of one of six kinds in turn."""
+    k = F.pmod(F.col("c_custkey"), F.lit(len(MIXED)))
+    kind = F
+    for i, (intent, targets, order, depth) in enumerate(MIXED):
+        one = F.struct(F.lit(intent).alias("intent"), F.array(*[F.lit(t) for t in targets]).alias("targets"), F.lit(order).cast("string").alias("temporal_order"), F.lit(depth).alias("depth"))
+        kind = kind.when(k == i, one)
+    seeds = F.when(F.col("c_custkey") % 31 == 0, F.array(F.lit("nobody"))).otherwise(F.array("c_name", F.lit("nobody")))
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("qid"), seeds.alias("seeds"), F.lit(False).alias("agent_required"), kind.alias("k")).select("qid", "seeds", "agent_required", "k.*")
+
+
+EXECUTED = (
+    BEYOND.format(f="max", d="", c=">").replace(" SELECT qid, event_id, rank FROM r WHERE rank <= 20", "")
+    + """, causal AS (SELECT qid, event_id FROM e0 UNION ALL SELECT qid, event_id FROM e1), asked AS (SELECT qid FROM plans WHERE qid % 31 <> 0),
+ done AS (SELECT qid, event_id, type FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('KILL', 'DEATH') AND qid % 6 = 0 UNION ALL SELECT qid, event_id, type FROM hop JOIN ev USING (event_id) WHERE qid % 6 = 1
+ UNION ALL SELECT qid, event_id, type FROM causal JOIN ev USING (event_id) WHERE qid % 6 = 2 UNION ALL SELECT qid, event_id, type FROM mine JOIN ev USING (event_id) WHERE qid % 6 = 3 UNION ALL SELECT qid, event_id, type FROM r JOIN ev USING (event_id) WHERE rank <= 20 AND qid % 6 = 4)"""
+)
 
 
-@query(f"""WITH {KG}{MULTI} SELECT qid, event_id, type FROM plans JOIN edges ON source_id = seed JOIN ev USING (event_id) WHERE type IN ('KILL', 'DEATH')
- UNION ALL SELECT 100 + qid, event_id, type FROM (SELECT * FROM tr UNION ALL SELECT * FROM cs) JOIN ev USING (event_id)""")
+@query(f"WITH {KG}{MULTI}{CAUSAL}{EXECUTED} SELECT done.* FROM done JOIN asked USING (qid)")
 def kg_execute_batch(spark, folder):
-    """Questions of several intents in one plan."""
-    edges, events = graph_of(spark, folder)
-    facts = plans(spark, folder, ["KILL", "DEATH"])
-    hops = plans(spark, folder, ["KILL", "SUPPORTED"], "MULTI_HOP", depth=2).withColumn("qid", F.col("qid") + 100)
-    return kgquery.execute(facts.unionByName(hops), entities_of(spark, folder), edges, events)
+    """Questions of all intents, and of an unknown one, in one plan."""
+    kg = graph_of(spark, folder)
+    return kgquery.execute(mixed(spark, folder), kg.entities, kg.edges, kg.events, index=kg.index)
+
+
+@query(f"""WITH {KG}{MULTI}{CAUSAL}{EXECUTED}, d AS (SELECT done.* FROM done JOIN asked USING (qid)), n AS (SELECT qid, count(*) AS n_events FROM d GROUP BY 1), p AS (SELECT qid, count(DISTINCT entity_id) AS n_entities FROM d JOIN arg USING (event_id) GROUP BY 1)
+ SELECT qid, n_events IS NOT NULL AS found, qid % 6 <> 5 AS known_intent, CASE WHEN qid % 31 = 0 THEN 1 ELSE 2 END::INT AS n_seeds, CASE WHEN qid % 31 = 0 THEN 0 ELSE 1 END::BIGINT AS n_resolved, coalesce(n_events, 0) AS n_events, coalesce(n_entities, 0) AS n_entities,
+ (CASE WHEN qid % 6 IN (1, 3, 4) THEN 2 ELSE 1 END)::INT AS max_depth FROM plans LEFT JOIN n USING (qid) LEFT JOIN p USING (qid)""")
+def kg_trace(spark, folder):
+    kg = graph_of(spark, folder)
+    asked = mixed(spark, folder)
+    matched = kgquery.execute(asked, kg.entities, kg.edges, kg.events, index=kg.index).drop("type").join(kg.events, "event_id")
+    return kgquery.trace(asked, matched, kg.entities)

@@ -75,6 +75,16 @@ def test_executors_equal_the_model(spark, seed):
     assert got == {("TRIGGER", x) for x in trig} | {("CONSEQUENCE", x) for x in cons}
 
 
+def test_depth_follows_the_plans(spark):
+    """A plan of depth 3 is followed to its end, beside one of depth 1."""
+    ev = {f"E{i}": ("VOW", [f"P{i}", f"P{i + 1}"]) for i in range(6)}
+    edges = sorted({(p, e) for e, (_, ps) in ev.items() for p in ps})
+    n, d, e = frames(spark, [f"P{i}" for i in range(7)], ev, edges)
+    deep = asked(spark, ["p0"], ["VOW"], "CAUSAL", depth=3).unionByName(asked(spark, ["p0"], ["VOW"], "CAUSAL", depth=1).withColumn("qid", F.lit(2)))
+    got = {(r.qid, r.event_id) for r in kgquery.execute(deep, n, d, e).collect()}
+    assert got == {(1, f"E{i}") for i in range(4)} | {(2, "E0"), (2, "E1")}
+
+
 def test_unknown_seed_and_empty_targets(spark):
     n, d, e = frames(spark, *random_graph(5))
     s = kgquery.resolve_seeds(asked(spark, ["nobody"], ["KILL"]), kgquery.alias_index(n))
@@ -85,7 +95,7 @@ def test_unknown_seed_and_empty_targets(spark):
 
 def test_plans_of_the_four_questions(spark):
     names = spark.createDataFrame([("karna", "karna", "PERSON"), ("radheya", "karna", "PERSON"), ("bhishma", "bhishma", "PERSON"), ("duryodhana", "duryodhana", "PERSON"), ("abhimanyu", "abhimanyu", "PERSON"), ("drona", "drona", "PERSON")], "alias string, canonical string, type string")
-    q = spark.createDataFrame([(1, "Who killed Karna?"), (2, "Why did Bhishma support Duryodhana?"), (3, "What happened after Abhimanyu s death?"), (4, "Who benefited from Drona s death?")], "qid int, text string")
+    q = spark.createDataFrame([(1, "Who killed Karna?"), (2, "Why did Bhishma support Duryodhana?"), (3, "What happened after Abhimanyu's death?"), (4, "Who benefited from Drona's death?")], "qid int, text string")
     got = {r.qid: r for r in plan.plans(q, names).collect()}
     assert [got[i].intent for i in (1, 2, 3, 4)] == ["FACT", "CAUSAL", "TEMPORAL", "MULTI_HOP"]
     assert [got[i].seeds for i in (1, 2, 3, 4)] == [["karna"], ["bhishma", "duryodhana"], ["abhimanyu"], ["drona"]]
@@ -93,6 +103,21 @@ def test_plans_of_the_four_questions(spark):
     assert got[2].causal_chain and got[3].temporal_order == "AFTER" and got[4].depth == 2
 
 
+def test_seeds_are_whole_words_as_they_stand(spark):
+    names = spark.createDataFrame([("abhimanyu", "abhimanyu", "PERSON"), ("dharma-raja", "yudhishthira", "PERSON"), ("the old king of the west", "varuna", "GROUP"), ("him", "somebody", "PERSON"), ("drona", "drona", "PERSON"), ("drona", "teacher", "GROUP")], "alias string, canonical string, type string")
+    texts = ["What of Abhimanyu's death?", "Where is Dharma-Raja?", "Where is Dharma Raja?", "tell him of THE OLD KING OF THE WEST now", "Dronas army, adrona", "(drona)"]
+    q = spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
+    got = {r.qid: r.seeds for r in plan.seeds(q, names).collect()}
+    assert got == {0: ["abhimanyu"], 1: ["yudhishthira"], 3: ["varuna"], 5: ["drona", "teacher"]}
+
+
+def test_boundaries_of_the_default_lexicon(spark):
+    texts = ["They appointed general Karna.", "appointed as leader", "appointed.", "awarded wars", "the warrior's war-horse", "Schwarze war"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, sentence string")
+    got = {(r.doc_id, r.event_type) for r in events.detect(df).collect()}
+    assert got == {(0, "APPOINTED_AS"), (1, "APPOINTED_AS"), (4, "BATTLE"), (5, "BATTLE")}
+
+
 SENTENCES = [(1, "Arjuna killed Karna in battle. Then Drona said nothing of war."), (2, "Bhishma vowed an oath. Krishna spoke."), (3, "Satyaki attacked Drona and fell upon the army near Kurukshetra with force.")]
 
 
@@ -105,10 +130,10 @@ def test_events_by_the_default_lexicon(spark):
 
 def test_arguments_gate_and_graph(spark):
     df = spark.createDataFrame(SENTENCES, "doc_id int, text string")
-    found = events.extract(events.detect(events.sentence_table(df, ["doc_id"])))
+    found = events.extract(events.detect(events.sentence_table(df, ["doc_id"])), by_role=True)
     gated = events.admitted(events.meso_gate(found, places=("kurukshetra",)))
     rows = {(r.doc_id, r.event_type): [a.text for a in r.arguments] for r in gated.collect()}
-    assert rows[1, "KILL"] == ["Arjuna", "Karna"] and rows[3, "ATTACKED"][:2] == ["Satyaki", "Drona"]
+    assert rows[1, "KILL"] == ["Arjuna", "Karna", "Karna"] and rows[3, "ATTACKED"][:2] == ["Satyaki", "Drona"]
     numbered = graph.number_events(gated, "doc_id", "sentence_index", "type_order").withColumn("chunk_id", F.col("doc_id").cast("string"))
     adm = graph.admit(numbered, graph.alias_table(spark))
     ents, edges = graph.build_entities(adm), graph.build_edges(adm)
@@ -141,17 +166,18 @@ def test_evidence_guard_pair(spark):
 def test_citations_and_fallback(spark):
     df = spark.createDataFrame([("x P01-S002-C003 y P01-S002-C003 [E1] [E9]", ["E1"])], "t string, ok array<string>")
     row = df.select(evidence.cited_ids(F.col("t")).alias("a"), evidence.bracketed_ids(F.col("t"), F.col("ok")).alias("b"), evidence.fallback(F.lit("One. Two."), F.lit("Ev"), F.lit(1), F.lit(0)).alias("c")).first()
-    assert row.a == ["P01-S002-C003"] and row.b == ["E1"] and row.c.answer == "One." and row.c.confidence == "low"
+    assert row.a == ["P01-S002-C003"] and row.b == ["E1"] and row.c.answer == "One." and row.c.confidence == "medium"
     assert resolve.resolver("FACT") is resolve.fact and resolve.resolver("OTHER") is None
     assert [r[0] for r in spark.range(4).select(resolve.confidence(F.col("id"))).collect()] == ["low", "high", "medium", "medium"]
 
 
 def test_graph_round_trip_and_resume(spark, tmp_path):
-    n = spark.createDataFrame([("p", "p", "PERSON", ["p"], 1, {"c": 1})], io.ENTITIES)
+    n = spark.createDataFrame([("p", "p", "PERSON", ["p"], 1, 1, 1, 0)], io.ENTITIES)
     e = spark.createDataFrame([("E0", 0, "KILL", "MACRO", "s", "c", ["p"])], io.EVENTS)
     d = spark.createDataFrame([("p", "E0", "PARTICIPATED_IN", "E0", "KILL", 1, ["c"])], io.EDGES)
     io.write_graph(str(tmp_path / "kg"), n, e, d)
     assert [x.count() for x in io.read_graph(spark, str(tmp_path / "kg"))] == [1, 1, 1]
+    assert io.read_registry(spark, str(tmp_path / "kg" / "entity_registry")).first().evidence_chunks == 1
     with pytest.raises(RuntimeError):
         io.read_graph(spark, str(tmp_path / "none"))
     assert io.read_registry(spark, str(tmp_path / "none")).isEmpty()

@@ -11,10 +11,10 @@ def one(spark, **columns):
 
 
 def test_books_sections_and_fallback(spark):
-    text = "front\nSECTION I\nfirst body\nSECTION II\nsecond\nSECTION I\nagain"
+    text = "front\nSECTION I\nfirst body, in section V too\nSECTION II\nsecond\nSECTION I\nagain"
     docs = spark.createDataFrame([(1, text), (2, "no header at all")], "book int, text string")
     found = structure.spans(docs, structure.SECTION_HEADER, ["book"])
-    assert [(r.number, r.body) for r in found.orderBy("at").collect()] == [("I", "first body"), ("II", "second")]
+    assert [(r.number, r.body) for r in found.orderBy("at").collect()] == [("I", "first body, in section V too"), ("II", "second\nSECTION I\nagain")]
     every = structure.whole_text_sections(docs, found, ["book"])
     assert {(r.book, r.number) for r in every.collect()} == {(1, "I"), (1, "II"), (2, "FULL_TEXT")}
 
@@ -28,8 +28,8 @@ def test_front_matter(spark):
 def test_book_names(spark):
     books = spark.createDataFrame([("ADI-PARVA continued",), ("bhisma parva",), ("Other",)], "name string")
     names = spark.createDataFrame([("Adi Parva",), ("Bhishma Parva",)], "book_name string")
-    got = {r.name: r.canonical for r in structure.canonical_books(books, names, spellings=(("Bhisma", "Bhishma"),)).collect()}
-    assert got == {"ADI-PARVA continued": "Adi Parva", "bhisma parva": "Bhishma Parva", "Other": "Other"}
+    got = {r.name: r.canonical for r in structure.canonical_books(books, names, spellings={"Bhisma Parva": "Bhishma Parva"}).collect()}
+    assert got == {"ADI-PARVA continued": "Adi Parva", "bhisma parva": "Bhishma Parva", "Other": "Other Parva"}
 
 
 def test_text_functions(spark):
@@ -48,9 +48,8 @@ def test_planner_lookups(spark):
     assert {r.entity: r.agent for r in plan.agents(q, table).collect()} == {"Karna": "Arjuna", "Nobody": None}
     row = one(spark, a=plan.legacy_entities(F.lit("Where is KARNA?"), ["karna", "drona"]), b=plan.legacy_phases(F.lit("the dice game"), {"exile": ("forest",), "dice": ("dice", "game")}))
     assert row.a == ["karna"] and row.b == ["dice"]
-    aliases = spark.createDataFrame([("partha", "arjuna")], "alias string, canonical string")
-    df = spark.createDataFrame([("Partha ",), ("x",)], "t string")
-    assert [r.resolved for r in plan.legacy_alias(F.col("t"), aliases, df).collect()] == ["arjuna", "x"]
+    df = spark.createDataFrame([("Partha",), ("x",)], "t string")
+    assert [r[0] for r in df.select(plan.legacy_alias(F.col("t"))).collect()] == ["Arjuna", "x"]
 
 
 def test_names_types_and_roles(spark):
@@ -60,8 +59,10 @@ def test_names_types_and_roles(spark):
 
 def test_answers_and_bundles(spark):
     ranked = spark.createDataFrame([(1, i, f"c{i}", f"First {i}. Second.", 1.0 / i) for i in range(1, 12)], "qid int, rank int, chunk_id string, text string, score double")
-    shown = evidence.display(ranked, "chunk_id", "rank").first()
-    assert shown.summary == "First 1. Second." and shown.supporting[:2] == ["c1", "c2"]
+    units = ranked.select("qid", "rank", F.col("chunk_id").alias("unit_id"), F.lit("p").alias("parva"), F.lit("s").alias("section"), F.lit(None).cast("string").alias("story_phase"), "text", F.array("text").alias("paragraphs"))
+    shown = {r.qid: r for r in evidence.formatted(spark.createDataFrame([(1, "q", None), (2, "r", "given")], "qid int, text string, answer string"), units).collect()}
+    assert shown[1].answer == "First 1. Second...." and shown[1].supporting[:2] == ["c1", "c2"] and shown[1].valid and "Story Phase: Unknown" in shown[1].display
+    assert shown[2].answer == evidence.NO_UNITS and not shown[2].valid and shown[2].supporting == []
     ev = spark.createDataFrame([(1, "E1"), (1, "E1"), (1, "E2")], "qid int, event_id string")
     events, chunks = evidence.bundle(ev, ranked)
     assert events.count() == 2 and chunks.count() == 8
