@@ -1,55 +1,16 @@
-"""Shared plumbing: tables, the cluster's shared folder, written intermediate tables."""
+"""Shared plumbing: tables, written intermediate tables (see ``sources.storage``), sizes and names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import clean, delete, new_path, plan_bytes, shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) is a folder of our own set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+__all__ = ["bounded_batches", "clean", "delete", "fresh", "new_path", "power_of_two", "release_shuffles", "rough_bytes", "shared_dir", "table", "text_bytes", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def delete(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Removes all tables that operators left in the shared folder; results that still read them must be written before."""
-    delete(spark, f"{shared_dir(spark)}/quillgraph")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -87,7 +48,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def rough_bytes(docs: DataFrame) -> int:
     """Size of a table as Spark's statistics have it (files as they lie), without a scan; counted where they have none."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = plan_bytes(docs)
     return size if size < 1 << 50 else text_bytes(docs)
 
 
@@ -97,6 +58,7 @@ def power_of_two(n: float) -> int:
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
-    while name.lower() in {c.lower() for c in df.columns}:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = f"_{name}"
     return name

@@ -283,9 +283,10 @@ def marked(docs: DataFrame, out: str, text: str = "text", **options) -> DataFram
     """
     spans = repeated_spans(docs, text, **options)
     size = spans.select(F.sum(64 + 16 * F.size("starts").cast("long"))).first()[0] or 0
-    other = spans.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), F.struct("starts", "ends").alias(out))
+    d, t = fresh(docs, "__d"), fresh(docs, "__t")
+    other = spans.select(F.col("doc_id").alias(d), F.col("tag").alias(t), F.struct("starts", "ends").alias(out))
     other = F.broadcast(other) if size <= BROADCAST_BYTES else other.hint("shuffle_hash")
-    return docs.join(other, (F.col("doc_id") == F.col("__d")) & (tag_of(F.col(text)) == F.col("__t")), "left").drop("__d", "__t")
+    return docs.join(other, (F.col("doc_id") == F.col(d)) & (tag_of(F.col(text)) == F.col(t)), "left").drop(d, t)
 
 
 def kept_words(text: str | None, span: dict | None) -> tuple[int, int, bytes]:
