@@ -163,34 +163,35 @@ def fences(sketches: DataFrame) -> DataFrame:
 
 
 MAX_BROADCAST_ROWS = 100_000
+SALTS = 64
 
 
 def judged(counted: DataFrame, f: str, limits: DataFrame, lang: str, source: str, out: str) -> DataFrame:
     """``counted`` with a boolean column ``out``: the verdict of the base rules and the group's fences.
 
-    ``limits`` is a written table. It is broadcast if it has at most MAX_BROADCAST_ROWS rows; else
-    it is dealt out with salts, as one source may hold a third of the documents.
+    ``limits`` is a written table. Its one row for all texts becomes literals; the levels below are
+    broadcast if they have at most MAX_BROADCAST_ROWS rows, else they are dealt out with salts, as one
+    source may hold a third of the documents. Names that ``counted`` has are not used.
     """
     n = limits.count()
     edges = [c for c in limits.columns if c.endswith(("_low", "_high"))]
-    packed = F.struct(*edges).alias("__edges")
-    levels = [limits.where(f"level = {k}").select(F.col("lang").alias("__l"), F.col("source").alias("__s"), packed) for k in (0, 1, 2)]
+    whole = limits.where("level = 0").select(*edges).first()
+    found = [F.struct(*[F.lit(whole[e] if whole else None).cast("double").alias(e) for e in edges])]
     joined = counted
-    for k, level in enumerate(levels):
-        mine = level.withColumnRenamed("__l", f"__l{k}").withColumnRenamed("__s", f"__s{k}").withColumnRenamed("__edges", f"__e{k}")
-        on = F.lit(True)
-        if k >= 1:
-            on = on & F.col(lang).eqNullSafe(F.col(f"__l{k}"))
+    for k in (1, 2):
+        name = {c: fresh(joined, f"__{c}{k}") for c in ("lang", "source", "edges", "salt")}
+        mine = limits.where(f"level = {k}").select(F.col("lang").alias(name["lang"]), F.col("source").alias(name["source"]), F.struct(*edges).alias(name["edges"]))
+        on = F.col(f"`{lang}`").eqNullSafe(F.col(name["lang"]))
         if k == 2:
-            on = on & F.col(source).eqNullSafe(F.col(f"__s{k}"))
-        if k == 0 or n <= MAX_BROADCAST_ROWS:
+            on = on & F.col(f"`{source}`").eqNullSafe(F.col(name["source"]))
+        if n <= MAX_BROADCAST_ROWS:
             mine = F.broadcast(mine)
         else:
-            salts = 64
-            mine = mine.withColumn(f"__t{k}", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            on = on & (F.pmod(F.xxhash64(F.col(f)), F.lit(salts)) == F.col(f"__t{k}"))
+            mine = mine.withColumn(name["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            on = on & (F.pmod(F.xxhash64(F.col(f)), F.lit(SALTS)) == F.col(name["salt"]))
         joined = joined.join(mine, on, "left")
-    edge = F.coalesce("__e2", "__e1", "__e0")
+        found.insert(0, F.col(name["edges"]))
+    edge = F.coalesce(*found)
     ok = ~base_failed(F.col(f))
     for r, (_, _, sides) in RATES.items():
         ok = ok & F.coalesce(_rate(F.col(f), r, -1) <= edge[f"{r}_high"], F.lit(True))
