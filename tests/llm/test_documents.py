@@ -206,7 +206,11 @@ def test_decontamination(spark, docs, rows):
             assert LETTERS.findall(lower(texts[r.doc_id][s:e]))
     assert sum(len(LETTERS.findall(lower(texts[r.doc_id][s:e]))) for r in report for s, e in zip(r.span_starts, r.span_ends)) == sum(r.n_hit for r in report)
     kept = {r.doc_id for r in decontaminate.decontaminate(df, items).select("doc_id").collect()}
-    assert kept == {r.doc_id for r in report if not r.contaminated}
+    assert kept == {r.doc_id for r in report if r.n_hit == 0}
+    cut = decontaminate.decontaminate(df, items, cut=True)
+    assert {r.doc_id for r in cut.select("doc_id").collect()} == {r.doc_id for r in report if not r.contaminated}
+    for left in (decontaminate.decontaminate(df, items), cut):  # nothing of the benchmark is left
+        assert decontaminate.decontamination_report(left, items).where("n_hit > 0").count() == 0
 
 
 def test_kept_documents_lose_benchmark_passages(spark):
@@ -215,16 +219,76 @@ def test_kept_documents_lose_benchmark_passages(spark):
     a, b = "Ünder 𝄞 pad, " * 200, " and, more pad" * 200 + " "
     rows = [(1, f"{a}{item}{b}{item.upper()}!", "en", "s", 1), (2, a, "en", "s", 7), (3, item, "en", "s", 1), (4, None, None, None, None)]
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminate(spark.createDataFrame(rows, SCHEMA), items).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminate(spark.createDataFrame(rows, SCHEMA), items, cut=True).collect()}
     assert got == {1: (f"{a}{b}!", len(f"{a}{b}!")), 2: (a, 7), 4: (None, None)}
 
 
 def test_decontamination_in_shards(spark, docs, monkeypatch):
-    items = spark.createDataFrame([*ITEMS, (7, "alpha Beta"), (8, "kappa")], "item_id long, text string")
-    pick = lambda: sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontamination_report(docs, items).collect())
-    want = pick()
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 20)
-    assert pick() == want
+    """Three and more shards find what one automaton finds, and no more than one shard's items go to the driver at a time."""
+    items = spark.createDataFrame([*ITEMS, (7, "alpha Beta"), (8, "kappa"), (9, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15")], "item_id long, text string")
+    df = docs.withColumn("__key", F.lit(1)).withColumn("__found", F.lit(2)).withColumn("key", F.lit(3)).withColumn("t", F.lit(4))
+    df = df.unionByName(df.where("doc_id < 40"))
+    pick = lambda: sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, tuple(r.span_starts), tuple(r.span_ends)) for r in decontaminate.decontamination_report(df, items).collect())
+    want, sizes = pick(), []
+    build = decontaminate.scan_column
+
+    def watched(rows, *rest):
+        sizes.append(sum(len(t) for _, t in rows))
+        return build(rows, *rest)
+
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "scan_column", watched)
+    assert pick() == want and len(sizes) >= 3 and sum(sizes) == sum(len((r.text or "").encode()) for r in items.collect())
+    left = decontaminate.decontaminate(df, items)
+    assert left.columns == df.columns and left.count() == sum(r[3] == 0 for r in want)
+
+
+CLASHES = ["__l1", "__e0", "__e1", "__lang1", "__edges2", "__salt1", "__d", "__t", "__span", "__scan", "__counts", "__kept", "root", "rep", "class", "hashes", "map", "bucket", "block", "kind", "f", "r", "starts", "tag", "key", "level"]
+
+
+@pytest.mark.parametrize("operator", ["quality", "salted quality", "jaccard", "substring", "substring join", "decontaminate"])
+def test_clashing_names_pass_through(spark, docs, operator, monkeypatch):
+    """Columns with the names that operators use themselves are neither used nor lost."""
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = base.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    if operator == "salted quality":
+        monkeypatch.setattr(quality, "MAX_BROADCAST_ROWS", 0)
+    if operator == "substring join":
+        monkeypatch.setattr(substring, "BROADCAST_BYTES", 0)
+    run = {"quality": quality.quality_filter, "jaccard": jaccard.drop_near_duplicates, "substring": substring.drop_repeated_passages, "decontaminate": lambda d: decontaminate.decontaminate(d, items)}[operator.split()[-1] if operator.startswith("salted") else operator.split()[0]]
+    plain, kept = run(base), run(wide)
+    assert kept.columns == wide.columns
+    rows = kept.collect()
+    assert all(r[c] == c for r in rows for c in CLASHES)
+    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in plain.collect())
+
+
+def test_very_long_texts_go_piece_by_piece(spark):
+    """Texts of several MiB, beyond what is hashed or tokenized at once, give what their words say."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(420_000)]
+    long = " ".join(words) + " Ünder " + "z" * 3000
+    near = " ".join(words[:200] + ["changed"] + words[201:]) + " Ünder " + "z" * 3000
+    rows = [(1, long, "en", "s", 0), (2, near, "en", "s", 0), (3, " ".join(words[100_000:100_050]) + " own words here", "en", "s", 0), (4, None, "en", "s", 0)]
+    assert len(long) > 4 * (1 << 19)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {1: (len(sets[1]), 1), 2: (len(sets[2]), 1), 3: (len(sets[3]), 3), 4: (0, 4)}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_report(df).collect()} == brute_substring(rows)
+    n = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    counts = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    assert counts[1].n_words == len(words) + 2 and counts[1].word_chars == sum(map(len, SPACED.findall(long))) and counts[1].n_repeat_words >= sum(v > 1 for v in n.values())
+    ids = whole_ids(rows)
+    for r in packing.pack_documents(df).where("start = 0").collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) + 1
+    at = 0
+    for i in sorted(ids):
+        x = np.append(ids[i], np.uint32(1)).astype("<u4")
+        ids[i] = (at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in idfiles.written_and_read(df).collect()} == ids
 
 
 def whole_ids(rows):

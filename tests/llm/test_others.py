@@ -1,5 +1,6 @@
 """URLs, conversations, toxicity and the pipeline."""
 
+import collections
 import random
 import zlib
 
@@ -44,6 +45,60 @@ def test_urls(spark):
     assert np.mean([r.score > r.threshold for r in kept]) < 0.05
 
 
+def brute_model(urls_):
+    """log p of each byte of a URL, by counting strings: Witten-Bell from order 0 to order 4."""
+    pairs, after = collections.Counter(), collections.defaultdict(set)
+    for u in urls_:
+        b = u.encode()
+        for i, c in enumerate(b):
+            for k in range(5):
+                context = (k, b[max(0, i - k) : i] if k <= i else b"^" * (k - i) + b[:i])
+                pairs[context, c] += 1
+                after[context].add(c)
+    total = collections.Counter()
+    for (context, _), n in pairs.items():
+        total[context] += n
+
+    def log_p(u):
+        b, out = u.encode(), 0.0
+        for i, c in enumerate(b):
+            p = 1 / 256
+            for k in range(5):
+                context = (k, b[max(0, i - k) : i] if k <= i else b"^" * (k - i) + b[:i])
+                if total[context]:
+                    p = (pairs[context, c] + len(after[context]) * p) / (total[context] + len(after[context]))
+            out += np.log(p)
+        return out
+
+    return log_p
+
+
+def test_url_scores_equal_a_counted_model(spark):
+    rng = random.Random(12)
+    made = [f"http{rng.choice(['', 's'])}://s{rng.randrange(12)}.{rng.choice(['example.net/en', 'example.com/de', 'example.org/fr', 'net', 'é.io'])}/{rng.randrange(999)}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").withColumn("score", F.lit("clash"))
+    fold = {r.page_id: r.f for r in df.select("page_id", (F.pmod(F.xxhash64("url"), F.lit(urls.FOLD)) == 0).alias("f")).collect()}
+    kind = {i: brute_url(u)[3] for i, u in enumerate(made)}
+    good, bad = (brute_model([u for i, u in enumerate(made) if kind[i] == v and not fold[i]]) for v in ("allow", "block"))
+    want = {i: (bad(u) - good(u)) / len(u.encode()) for i, u in enumerate(made)}
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert all(abs(got[i].score - want[i]) < 1e-9 for i in want)
+    limit = max(0.0, np.sort([want[i] for i in want if fold[i] and kind[i] == "allow"])[-1])
+    for i in want:
+        if kind[i] is None:
+            assert got[i].verdict == ("block" if want[i] > got[i].threshold else "allow")
+    assert 0 <= got[0].threshold <= limit + 1e-9
+
+
+def test_urls_without_held_out_accepted_ones_are_allowed(spark):
+    """No accepted URL outside the counts: the threshold is infinite, and all that no rule judges is allowed."""
+    made = [f"http://a{i}.example.org/fr/{i}" for i in range(40)] + [f"http://b{i}.net/x" for i in range(40)] + [f"http://c{i}.io/net/net" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    kept = df.where((F.pmod(F.xxhash64("url"), F.lit(urls.FOLD)) != 0) | ~F.col("url").contains("example.org"))
+    got = urls.judge(kept).collect()
+    assert {r.threshold for r in got} == {float("inf")} and all(r.verdict == "allow" for r in got if r.rule is None)
+
+
 def test_urls_without_labels(spark):
     df = spark.createDataFrame([(1, "http://a.io/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judge(df).collect()} == {"allow"}
@@ -156,6 +211,45 @@ def test_toxicity(spark):
     assert got[900].score == got[901].score
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    """The scorer of many texts at a time against loops over words, filters and positions, very long texts among them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["", "one", "a b", " ".join(f"w{rng.integers(40)}" for _ in range(60)), "Longerword longerwords longest", "x " * 700_000 + "w1 w2 w3"] + [" ".join(f"w{rng.integers(40)}" for _ in range(rng.integers(1, 9))) for _ in range(30)]
+    hashes = [toxicity.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1] for t in texts]
+    model = toxicity.Convolution(toxicity.Words(hashes, min_docs=2))
+    model.embedding[1:] = rng.normal(0, 1, model.embedding[1:].shape)
+    for b in (*model.banks, *model.bias):
+        b[:] = rng.normal(0, 1, b.shape)
+    model.out, model.base, model.shift, model.scale = rng.normal(0, 1, model.out.shape).astype(np.float32), np.float32(0.3), 0.1, 0.7
+
+    def plain(rows):
+        x = [sum(model.embedding[r].astype(float) for r in word) for word in rows]
+        best = []
+        for w, bank, bias in zip(toxicity.WIDTHS, model.banks, model.bias):
+            for f in range(toxicity.FILTERS):
+                values = [float(bias[f]) + sum(float(x[at + k] @ bank[k, :, f]) for k in range(w) if at + k < len(x)) for at in range(max(1, len(x)))]
+                best.append(max(0.0, max(values)))
+        z = float(np.dot(best, model.out)) + float(model.base)
+        return 1 / (1 + np.exp(-(z - model.shift) * model.scale))
+
+    got = toxicity.Scorer(model).scores(pa.array(texts)).to_pylist()
+    short = [i for i, t in enumerate(texts) if len(t) < 10_000]
+    assert all(abs(got[i] - plain(model.words(hashes[i]))) < 1e-5 for i in short)
+    # of the very long one the middle repeats, so a shorter one has the same windows
+    assert abs(got[5] - plain(model.words(toxicity.word_hashes(*(lambda b: (b, np.array([0, len(b)])))(np.frombuffer(b"x x x x x w1 w2 w3", np.uint8)))[1]))) < 1e-5
+
+
+def test_toxicity_trains_alike_with_repeated_ids_and_clashing_names(spark):
+    rows, labels = toxic_corpus(300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    twice = [*rows, *[(i, t and t + " zz", *rest) for i, t, *rest in rows]]
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n_chars long").withColumn("toxic", F.lit(1)).withColumn("hashes", F.lit("x"))
+    a, b = ({(r.doc_id, r.score) for r in toxicity.score_documents(df(r), lab).collect()} for r in (twice, list(reversed(twice))))
+    assert a == b
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_toxicity_without_both_labels(spark, labels):
     docs = spark.createDataFrame([(i, "a b", "en", "s", 0) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
