@@ -1,9 +1,9 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
 Quality rules drop documents; of each group of near duplicates the smallest doc_id stays; repeated
-passages are cut out of the later documents (documents of which nothing is left go); contaminated
-documents go, and benchmark passages are cut out of those that stay; what remains is tokenized
-and packed. All stages but the last return the columns of
+passages are cut out of the later documents (documents of which nothing is left go); documents
+with a passage of the benchmark go, however short its share, as what is trained on is measured on it;
+what remains is tokenized and packed. All stages but the last return the columns of
 ``documents``. Null, empty and very long texts, ties, repeated rows, empty tables and extra columns
 are handled as each operator's docstring states.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, jaccard, packing, quality, substring
-from quillgraph.llm.base import table, written
+from quillgraph.llm.base import delete, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
