@@ -32,7 +32,8 @@ from .tokens import default_path, encoder
 
 END_ID = 1
 CHUNK = 8_000_000
-RANGE_BYTES = 13 << 20  # of compressed text
+RANGE_BYTES = 20 << 20  # of compressed text
+MOST_RANGES = 1 << 16  # beyond that many, ranges grow and hold more chunks
 
 DDL = "part int, chunk int, n_ids long, doc_ids array<long>, doc_tokens array<long>, blocks array<binary>"
 SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.binary()))])
@@ -77,7 +78,7 @@ def file_writer(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID) -> None:
     bounded_batches(docs.sparkSession)
-    parts = max(1, -(-rough_bytes(docs) // RANGE_BYTES))
+    parts = min(MOST_RANGES, max(1, -(-rough_bytes(docs) // RANGE_BYTES)))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(file_writer(path or default_path(), end_id), DDL).write.option("compression", "none").parquet(to)

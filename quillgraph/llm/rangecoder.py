@@ -1,16 +1,17 @@
 """Adaptive context-mixing range coder for token ids, in numpy.
 
 Ids below 65,536 are coded in blocks of ``BLOCK``, each reset to nothing learned and with its own
-checksum, so that any block can be read alone. Within a block three predictions are mixed: the id
-that last followed the two ids before (order 2), the one before (order 1), and the block's id
-frequencies so far (order 0), with an escape to plain 16 bits for ids not seen. How much each is
-trusted is counted by kind of context and adapts with the block. Predictions are renewed at the
-positions ``RENEW``, from all ids of the block before them.
+checksum, so that any block can be read alone. Within a block an id's interval is a mixture of three
+predictions, whose weights depend on the kind of context and are counted as the block goes on: the id that last
+followed the two ids before gets the weight of order 2, the one that last followed the id before that of order 1
+(if it is another), and all ids share that of order 0 by their frequencies so far, with an escape to plain 16
+bits for ids not seen. Predictions and weights are renewed at the positions ``RENEW``, from all ids of the
+block before them.
 
 Many blocks are coded in step, one lane each: every numpy operation handles one id of each block.
 
-A block: ``<4sIIII`` magic, ids, coded length, words, crc32 of the payload; then its 32-bit words,
-little-endian.
+A block: ``<4sIIII`` magic, ids, coded length, words, crc32 of the three numbers and the payload; then its
+32-bit words, little-endian.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-RENEW = (128, 1024)
+BLOCK = 8192
+RENEW = (256, 1024, 3072)
 LANES = 2048
 #: Lanes whose intervals are made at a time: their table of known ids stays in the processor's cache.
 STEP_LANES = 16
-MAGIC = b"QRC1"
+MAGIC = b"QRC2"
 HEAD = struct.Struct("<4sIIII")
 
 NONE = 0xFFFF  # no prediction; also the one id that is never predicted
@@ -290,6 +291,10 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
     return ids
 
 
+def checksum(size: int, length: int, payload: bytes) -> int:
+    return zlib.crc32(payload, zlib.crc32(struct.pack("<III", size, length, len(payload) // 4)))
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """Blocks of the ids, in order; the last may be shorter, and is padded while it is coded."""
     ids = np.asarray(ids)
@@ -305,7 +310,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         sizes = np.diff(np.append(np.arange(0, len(part), length), len(part)))
         for size, words in zip(sizes, _encode(np.ascontiguousarray(laid.reshape(lanes, length).T))):
             payload = words.astype("<u4").tobytes()
-            out.append(HEAD.pack(MAGIC, int(size), length, len(words), zlib.crc32(payload)) + payload)
+            out.append(HEAD.pack(MAGIC, int(size), length, len(words), checksum(int(size), length, payload)) + payload)
     return out
 
 
@@ -314,7 +319,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     heads = []
     for b in blocks:
         magic, size, length, words, crc = HEAD.unpack_from(b)
-        if magic != MAGIC or len(b) != HEAD.size + 4 * words or zlib.crc32(b[HEAD.size :]) != crc:
+        if magic != MAGIC or len(b) != HEAD.size + 4 * words or checksum(size, length, b[HEAD.size :]) != crc:
             raise ValueError("a block is damaged")
         heads.append((size, length))
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
