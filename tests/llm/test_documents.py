@@ -494,3 +494,24 @@ def test_null_ids_and_repeated_rows(spark):
     assert packing.pack_documents(df).select("doc_id").distinct().count() == 3
     assert idfiles.written_and_read(df).count() == 6
     assert quality.quality_report(df).count() == 6
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and both at once, with hubs dealt out by salts, against union-find."""
+    from quillgraph.llm import components
+
+    monkeypatch.setattr(components, "HUB", 3)
+    rng = random.Random(7)
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 1030)] + [(5000 + k, 5000) for k in range(1, 90)] + [(rng.randrange(7000, 7100), rng.randrange(7000, 7100)) for _ in range(70)] + [(3, 3), (0, 1), (1, 0)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long"))[0].collect()}
+    assert got == {x: top(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
