@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application: the folder made on a master of one machine.
+_OWN: dict[str, str] = {}
 #: Tables up to this size are dealt out to all cores: files of one row group would else be one task.
 SPREAD_BYTES = 256 << 20
 
@@ -21,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
