@@ -5,7 +5,8 @@ of documents send each distinct window once, with the smallest document that has
 of the hash space. Later documents of the same block are known to repeat it. A bucket merge-joins
 its sorted fingerprints with the sorted immutable runs of earlier batches, verifies matches by
 further hash bits, answers the blocks, and writes the batch's new fingerprints as a run.
-When an index has ``FANOUT`` runs, they are compacted into one.
+When an index has ``FANOUT`` runs, they are compacted into one. An index has a manifest of its runs,
+so that a later session opens it and dedups new documents against all that came before.
 
 A fingerprint is the bucket's bits and 48 more of a window's hash; eight check bits come from an
 independent hash. Buckets grow with the data, so the odds of a false match don't.
@@ -19,6 +20,8 @@ other. Long documents are hashed part by part. Extra columns pass through
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import bounded_batches, delete, fresh, power_of_two, release_shuffles, text_bytes, written
+from ..sources.storage import exists, file_system
+from .base import bounded_batches, delete, fresh, new_path, power_of_two, release_shuffles, text_bytes, written
 from .jaccard import PACKED, PACKED_SCHEMA, batch_of, by_bucket
 
 WIDTH = 13
@@ -197,66 +201,116 @@ def spans_of(width: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the shared folder. ``bits``: of the bucket; fixed for an index's life."""
+    """Sorted immutable runs in a shared folder, with a manifest of them. ``bits``: of the bucket; fixed for an index's life.
 
-    def __init__(self, spark: SparkSession, bits: int, width: int = WIDTH, fanout: int = FANOUT):
+    An index at a ``path`` outlives its session: whoever opens it there goes on with its runs. Each change of the
+    runs is a new manifest, written before what it replaces is deleted, so an index is never without whole runs;
+    what a failed batch has written is not in the manifest and adds nothing. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, bits: int, width: int = WIDTH, fanout: int = FANOUT, path: str | None = None):
         self.spark, self.bits, self.width, self.fanout = spark, bits, width, fanout
-        self.runs: list[tuple[DataFrame, list[str]]] = []
-        self.batches = 0
+        self.path = path or new_path(spark, "index")
+        self.paths: list[str] = []
+        self.batches = self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fanout: int = FANOUT) -> FingerprintIndex:
+        """The index that lies at ``path``. Raises FileNotFoundError where there is none."""
+        found = spark.read.text(f"{path}/manifests/*.json", wholetext=True) if exists(spark, f"{path}/manifests") else None
+        manifest = max((json.loads(r.value) for r in found.collect()), key=lambda m: m["version"], default=None) if found is not None else None
+        if manifest is None:
+            raise FileNotFoundError(f"no index in {path}")
+        index = cls(spark, manifest["bits"], manifest["width"], fanout, path)
+        index.paths, index.batches, index.version = manifest["runs"], manifest["batches"], manifest["version"]
+        return index
+
+    def _commit(self, runs: list[str]) -> None:
+        """The runs from now on: a manifest of its own name, then the one before goes."""
+        fs, _ = file_system(self.spark, self.path)
+        name = lambda v: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{v}.json")
+        text = json.dumps({"version": self.version + 1, "bits": self.bits, "width": self.width, "batches": self.batches, "runs": runs})
+        out = fs.create(name(self.version + 1), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.delete(name(self.version), False)
+        self.paths, self.version = runs, self.version + 1
+
+    def _run(self, path: str) -> DataFrame:
+        return self.spark.read.schema("bucket long, a binary").parquet(f"{self.path}/{path}")
+
+    def history(self) -> DataFrame | None:
+        out = None
+        for path in self.paths:
+            out = self._run(path) if out is None else out.unionByName(self._run(path))
+        return out
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Spans of ``docs`` (doc_id, tag, text) that repeat earlier documents; then indexes them.
 
-        All documents of earlier calls count as earlier than those of this one.
+        All documents of earlier calls count as earlier than those of this one. The spans are read from a
+        table in the shared folder.
         """
         sent = docs.mapInArrow(sender(self.bits, self.width, self.batches), PACKED).groupBy("bucket")
-        if self.runs:
-            history = self.runs[0][0]
-            for run, _ in self.runs[1:]:
-                history = history.unionByName(run)
+        history = self.history()
+        if history is not None:
             answered = sent.cogroup(history.groupBy("bucket")).applyInArrow(joined_with_runs, PACKED)
         else:
             answered = sent.applyInArrow(joined_with_none, PACKED)
-        table, path = written(answered, "batch", by=["kind"])
+        batch = f"runs/batch-{self.batches}-{uuid.uuid4().hex}"
+        answered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{batch}")
         self.batches += 1
-        self.runs.append((table.where(F.col("kind") == RUN).select("bucket", "a"), [path]))
+        run = f"{batch}/kind={RUN}"
+        self._commit([*self.paths, run] if exists(self.spark, f"{self.path}/{run}") else self.paths)
         release_shuffles(self.spark)
-        return table.where(F.col("kind") != RUN).groupBy("block").applyInArrow(spans_of(self.width), SPANS)
+        answers = self.spark.read.schema(PACKED).parquet(f"{self.path}/{batch}").where(F.col("kind") != RUN)
+        return answers.groupBy("block").applyInArrow(spans_of(self.width), SPANS)
 
     def compact(self) -> None:
         """All runs as one, if there are ``fanout`` of them."""
-        if len(self.runs) < self.fanout:
+        if len(self.paths) < self.fanout:
             return
-        every = self.runs[0][0]
-        for run, _ in self.runs[1:]:
-            every = every.unionByName(run)
-        merged, path = written(every.groupBy("bucket").applyInArrow(compacted, PACKED).select("bucket", "a"), "run")
-        old = [p for _, paths in self.runs for p in paths]
-        self.runs = [(merged, [path])]
-        for p in old:  # answers to blocks stay beside them
-            delete(self.spark, p if "/run-" in p else f"{p}/kind={RUN}")
+        merged = f"runs/run-{self.batches}-{uuid.uuid4().hex}"
+        self.history().groupBy("bucket").applyInArrow(compacted, PACKED).select("bucket", "a").write.option("compression", "zstd").parquet(f"{self.path}/{merged}")
+        old = self.paths
+        self._commit([merged])
+        delete(self.spark, *[f"{self.path}/{p}" for p in old])  # answers to blocks stay beside them
         release_shuffles(self.spark)
 
     def drop(self) -> None:
-        for _, paths in self.runs:
-            for p in paths:
-                delete(self.spark, p if "/run-" in p else f"{p}/kind={RUN}")
-        self.runs = []
+        delete(self.spark, self.path)
+        self.paths = []
 
 
 def tag_of(text) -> F.Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, tag, starts, ends): for documents with repeated windows, spans of words to remove. A written table."""
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, tag, text) of documents that have an id: what an index takes."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col(text)).alias("tag"), F.col(text).alias("text"))
+
+
+def bucket_bits(size: int) -> int:
+    """Bits of the bucket for so many bytes of text, in all that an index is to hold."""
+    return power_of_two(size / BUCKET_BYTES).bit_length() - 1
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT, path: str | None = None) -> DataFrame:
+    """(doc_id, tag, starts, ends): for documents with repeated windows, spans of words to remove. A written table.
+
+    With ``path``, an index is kept there, or the one that is there is gone on with: documents of earlier calls,
+    in this session or another, then count as earlier than all of these.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    bits = power_of_two(text_bytes(docs, text) / BUCKET_BYTES).bit_length() - 1
-    narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col(text)).alias("tag"), F.col(text).alias("text"))
+    narrow = keyed(docs, text)
     inner = [k / batches for k in range(1, batches)]
     cuts = sorted(set(narrow.select(F.percentile_approx("doc_id", inner, 10_000)).first()[0] or [])) if inner else []
-    index = FingerprintIndex(spark, bits, width, fanout)
+    if path is not None and exists(spark, f"{path}/manifests"):
+        index = FingerprintIndex.open(spark, path, fanout)
+    else:
+        index = FingerprintIndex(spark, bucket_bits(text_bytes(docs, text)), width, fanout, path)
     found = []
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = narrow
@@ -265,9 +319,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, batc
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         found.append(written(index.add(part).distinct(), "spans")[0])
-        if high is not None:
+        if high is not None or path is not None:
             index.compact()
-    index.drop()
+    if path is None:
+        index.drop()
     release_shuffles(spark)
     out = found[0]
     for f in found[1:]:

@@ -154,10 +154,28 @@ def test_incremental_index_equals_one_batch(spark, rows):
         df = spark.createDataFrame([(r[0], 0, r[1]) for r in keyed[k : k + 60]], "doc_id long, tag long, text string")
         found |= {r.doc_id: sum(e - s for s, e in zip(r.starts, r.ends)) for r in index.add(df).collect()}
         index.compact()
-        assert len(index.runs) <= 1
+        assert len(index.paths) <= 1
     assert found == {i: v[1] for i, v in brute_substring(rows).items() if v[1]}
 
 
+def test_index_is_opened_again_by_another_session(spark, rows, tmp_path):
+    """Batches in sessions of their own, each from the path alone, find what one batch finds; a batch that failed adds nothing."""
+    path = "file://" + str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        substring.FingerprintIndex.open(spark, path)
+    ordered = sorted(rows, key=lambda r: r[0])
+    found, sizes = {}, []
+    for k in range(0, len(ordered), 50):
+        session = spark.newSession()
+        spans = substring.repeated_spans(session.createDataFrame(ordered[k : k + 50], SCHEMA), batches=1, path=path)
+        found |= {r.doc_id: sum(e - s for s, e in zip(r.starts, r.ends)) for r in spans.collect()}
+        sizes.append(substring.FingerprintIndex.open(session, path).batches)
+        # what a lost driver leaves behind: a run that no manifest names
+        session.createDataFrame([(0, b"junk")], "bucket long, a binary").write.parquet(f"{path}/runs/batch-{k}-lost")
+    assert found == {i: v[1] for i, v in brute_substring(rows).items() if v[1]}
+    assert sizes == list(range(1, len(sizes) + 1)) and len(list((tmp_path / "index" / "manifests").glob("*.json"))) == 1
+
+
 def test_dropping_passages_rewrites_texts(docs, rows):
     out = substring.drop_repeated_passages(docs)
     assert out.columns == docs.columns
