@@ -15,8 +15,10 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "kg_fact", "kg_temporal_after", "kg_causal_depth2", "kg_multi_hop", "kg_execute_batch", "resolve_fact_rank",
     "knn_topk", "knn_boosted", "rerank_score", "evidence_window", "sentence_support", "query_plan_batch", "seed_entities",
-    "sentence_split", "key_terms", "event_detect", "chunk_fold", "chunk_stats_rollup", "edge_merge", "entity_registry",
+    "sentence_split", "key_terms", "event_detect", "event_arguments", "chunk_fold", "chunk_stats_rollup", "edge_merge", "entity_registry",
 )
+#: Queries that answer a question of each customer.
+ASKED = ("kg_fact", "kg_temporal_after", "kg_causal_depth2", "kg_multi_hop")
 
 
 def main() -> None:
@@ -46,7 +48,8 @@ def main() -> None:
         took[name] = round(best, 3)
     customers = spark.read.parquet(f"{folder}/customer.parquet").count()
     spark.stop()
-    print(json.dumps({"metric": "headline queries, seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rstrip("/").rpartition("sf")[2], "fact_questions_per_second": round(customers / took["kg_fact"], 1)}))
+    each = {name: round(1000 * took[name] / customers, 3) for name in ASKED}
+    print(json.dumps({"metric": "headline queries, seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rstrip("/").rpartition("sf")[2], "questions": customers, "ms_a_question": each}))
 
 
 if __name__ == "__main__":
