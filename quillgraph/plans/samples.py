@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,14 @@ def picked(values: list[str], key: str) -> str:
 
 def rows_of(values) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in values) + ")"
+
+
+def pdf_of(pages: list[str]) -> bytes:
+    """A small PDF file with a line of text on each page."""
+    kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode()}
+    for k, text in enumerate(pages):
+        shown = zlib.compress(f"BT /F1 12 Tf 20 700 Td ({text}) Tj ET".encode("latin-1"))
+        objects[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>".encode()
+        objects[11 + 2 * k] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(shown), shown)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, events, quality, structure, vector
-from ..sources import io, storage
+from ..sources import io, pdf, storage
 from . import samples as S
 from .catalog import Catalog, table
 
@@ -220,6 +220,15 @@ def page_sink_scan(spark, folder):
     return io.read_pages(spark, path).select("page_number", F.char_length("text").cast("long").alias("size"), "word_count", "has_section_marker", "has_parva_marker")
 
 
+@query("SELECT 'f' || p_partkey AS path, 1 AS page_number, 'Section of ' || p_name AS text, len(string_split(p_name, ' '))::INT + 2 AS word_count, true AS has_section_marker FROM part UNION ALL SELECT 'f' || p_partkey, 3, p_brand, 1, false FROM part WHERE p_partkey % 3 <> 0")
+def pdf_scan(spark, folder):
+    """A file of each part: a page of its name, one with a page number only, which goes, and one of its brand, for some empty."""
+    make = F.udf(lambda name, brand: bytearray(S.pdf_of([f"Section of {name}", "12", brand])), "binary")
+    brand = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand"))
+    files = table(spark, folder, "part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), make("p_name", brand).alias("content"))
+    return pdf.pages_of(files).select("path", "page_number", "text", "word_count", "has_section_marker")
+
+
 def tree_of(spark, folder):
     tree = structure.assemble(paras(spark, folder).withColumn("para", F.struct("doc_id", "para")), "source", "lang")
     return tree.select(F.substring("source", 4, 9).cast("int").alias("number"), F.col("source").alias("name"), "section_count", "sections")
