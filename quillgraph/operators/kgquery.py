@@ -103,14 +103,15 @@ def temporal(seeded: DataFrame, edges: DataFrame, events: DataFrame, per_depth:
 
 
 def typed_links(edges: DataFrame, events: DataFrame) -> DataFrame:
-    """(entity_id, type, event_id): what an entity takes part in, by type; a written table, as hops read it again."""
-    found = edges.select(F.col("source_id").alias("entity_id"), "event_id").join(events.select("event_id", "type"), "event_id")
-    return storage.written(found.select("entity_id", "type", "event_id").distinct(), "links")[0]
+    """(entity_id, type, ordinal): what an entity takes part in, by type; a written table, as hops read it again.
+    An event's number stands for its id, which is made of it: numbers are what hops sort and compare."""
+    found = edges.select(F.col("source_id").alias("entity_id"), "event_id").join(events.select("event_id", "type", "ordinal"), "event_id")
+    return storage.written(found.select("entity_id", "type", "ordinal").distinct(), "links")[0]
 
 
 def reached(frontier: DataFrame, wanted_types: DataFrame, links: DataFrame) -> DataFrame:
-    """(qid, event_id): wanted events of the frontier's entities, each once. Type is part of the join's key, so no other event is met."""
-    return frontier.join(wanted_types, "qid").join(links, ["entity_id", "type"]).select("qid", "event_id").distinct()
+    """(qid, ordinal): wanted events of the frontier's entities, each once. Type is part of the join's key, so no other event is met."""
+    return frontier.join(wanted_types, "qid").join(links, ["entity_id", "type"]).select("qid", "ordinal").distinct()
 
 
 def causal(seeded: DataFrame, edges: DataFrame, events: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -127,21 +128,21 @@ def causal(seeded: DataFrame, edges: DataFrame, events: DataFrame, max_depth: in
     links = typed_links(edges, events)
     bounds = seeded.select("qid", "targets", "depth").dropDuplicates(["qid"])
     types = bounds.select("qid", "depth", F.explode(F.array_distinct("targets")).alias("type"))
-    people = events.select("event_id", F.explode(F.array_distinct("participants")).alias("entity_id"))
+    people = events.select("ordinal", F.explode(F.array_distinct("participants")).alias("entity_id"))
     frontier, seen, matched = seeded.select("qid", "entity_id").distinct(), None, None
     for hop in range(max_depth + 1):
         found = reached(frontier, types.where(F.col("depth") >= hop).select("qid", "type"), links)
         if matched is not None:
-            found = found.join(matched.select("qid", "event_id"), ["qid", "event_id"], "left_anti")
+            found = found.join(matched.select("qid", "ordinal"), ["qid", "ordinal"], "left_anti")
         new, _ = storage.written(found.withColumn("hop", F.lit(hop)), "hop")
         if new.isEmpty():
             break
         matched = new if matched is None else matched.unionByName(new)
         if hop < max_depth:
             seen = frontier if seen is None else seen.unionByName(frontier)
-            further = new.join(bounds.where(F.col("depth") > hop).select("qid"), "qid", "left_semi").join(people, "event_id").select("qid", "entity_id").distinct()
+            further = new.join(bounds.where(F.col("depth") > hop).select("qid"), "qid", "left_semi").join(people, "ordinal").select("qid", "entity_id").distinct()
             frontier, _ = storage.written(further.join(seen, ["qid", "entity_id"], "left_anti"), "frontier")
-    return none if matched is None else matched.join(events, "event_id").select("qid", "hop", *events.columns)
+    return none if matched is None else matched.join(events, "ordinal").select("qid", "hop", *events.columns)
 
 
 def multi_hop(seeded: DataFrame, edges: DataFrame, events: DataFrame, triggers=lexicon.TRIGGER_TYPES) -> DataFrame:
@@ -149,10 +150,10 @@ def multi_hop(seeded: DataFrame, edges: DataFrame, events: DataFrame, triggers=l
     links = typed_links(edges, events)
     types = seeded.select("qid", "targets").dropDuplicates(["qid"]).select("qid", F.explode(F.array_distinct("targets")).alias("type"))
     mine, _ = storage.written(reached(seeded.select("qid", "entity_id"), types.where(F.col("type").isin(*triggers)), links), "triggers")
-    people = mine.join(events.select("event_id", F.explode(F.array_distinct("participants")).alias("entity_id")), "event_id").select("qid", "entity_id").distinct()
-    second = reached(people, types, links).join(mine, ["qid", "event_id"], "left_anti")
+    people = mine.join(events.select("ordinal", F.explode(F.array_distinct("participants")).alias("entity_id")), "ordinal").select("qid", "entity_id").distinct()
+    second = reached(people, types, links).join(mine, ["qid", "ordinal"], "left_anti")
     both = mine.withColumn("phase", F.lit("TRIGGER")).unionByName(second.withColumn("phase", F.lit("CONSEQUENCE")))
-    return both.join(events, "event_id").select("qid", "phase", *events.columns)
+    return both.join(events, "ordinal").select("qid", "phase", *events.columns)
 
 
 def matched_entities(matches: DataFrame, entities: DataFrame) -> DataFrame:
