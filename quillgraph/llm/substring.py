@@ -120,8 +120,8 @@ def sender(bits: int, width: int, batch_no: int):
     return send
 
 
-def merge_join(bucket: int, rows: pa.Table, runs: list[np.ndarray]) -> pa.Table:
-    """One bucket of a batch against its runs: answers to blocks, and the bucket's part of the new run."""
+def merge_join(bucket: int, rows: pa.Table, runs: list[np.ndarray], keep: bool) -> pa.Table:
+    """One bucket of a batch against its runs: answers to blocks, and with ``keep`` the bucket's part of the new run."""
     kinds, blocks = rows["kind"].to_pylist(), rows["block"].to_pylist()
     a, b, c, d = (rows[x].to_pylist() for x in "abcd")
     out, keys, ids, who = [], [], [], []
@@ -149,17 +149,18 @@ def merge_join(bucket: int, rows: pa.Table, runs: list[np.ndarray]) -> pa.Table:
             begin += len(own)
             if mine.any():
                 out.append((bucket, blocks[i], HITS, pack_sorted(np.sort(unpack_planes(d[i])[mine])), None, None, None))
-        out.append((bucket, 0, RUN, pack_sorted(distinct[~old]), None, None, None))
+        if keep:
+            out.append((bucket, 0, RUN, pack_sorted(distinct[~old]), None, None, None))
     K.settle()
     return pa.Table.from_batches([batch_of(out, PACKED_SCHEMA)])
 
 
-def joined_with_runs(key: tuple, rows: pa.Table, runs: pa.Table) -> pa.Table:
-    return merge_join(key[0].as_py(), rows, [unpack_sorted(x) for x in runs["a"].to_pylist()])
+def joined_with_runs(keep: bool):
+    return lambda key, rows, runs: merge_join(key[0].as_py(), rows, [unpack_sorted(x) for x in runs["a"].to_pylist()], keep)
 
 
-def joined_with_none(key: tuple, rows: pa.Table) -> pa.Table:
-    return merge_join(key[0].as_py(), rows, [])
+def joined_with_none(keep: bool):
+    return lambda key, rows: merge_join(key[0].as_py(), rows, [], keep)
 
 
 def compacted(key: tuple, rows: pa.Table) -> pa.Table:
@@ -245,8 +246,8 @@ class FingerprintIndex:
             out = self._run(path) if out is None else out.unionByName(self._run(path))
         return out
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Spans of ``docs`` (doc_id, tag, text) that repeat earlier documents; then indexes them.
+    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """Spans of ``docs`` (doc_id, tag, text) that repeat earlier documents; then, with ``keep``, indexes them.
 
         All documents of earlier calls count as earlier than those of this one. The spans are read from a
         table in the shared folder.
@@ -254,9 +255,9 @@ class FingerprintIndex:
         sent = docs.mapInArrow(sender(self.bits, self.width, self.batches), PACKED).groupBy("bucket")
         history = self.history()
         if history is not None:
-            answered = sent.cogroup(history.groupBy("bucket")).applyInArrow(joined_with_runs, PACKED)
+            answered = sent.cogroup(history.groupBy("bucket")).applyInArrow(joined_with_runs(keep), PACKED)
         else:
-            answered = sent.applyInArrow(joined_with_none, PACKED)
+            answered = sent.applyInArrow(joined_with_none(keep), PACKED)
         batch = f"runs/batch-{self.batches}-{uuid.uuid4().hex}"
         answered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{batch}")
         self.batches += 1
@@ -318,8 +319,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, batc
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        found.append(written(index.add(part).distinct(), "spans")[0])
-        if high is not None or path is not None:
+        # nothing comes after the last batch of an index that isn't kept
+        more = high is not None or path is not None
+        found.append(written(index.add(part, keep=more).distinct(), "spans")[0])
+        if more:
             index.compact()
     if path is None:
         index.drop()
