@@ -156,10 +156,6 @@ def snippet(text, size: int = 600) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(cut, F.lit("...")))
 
 
-def title_name(name) -> Column:
-    return F.initcap(F.trim(F.regexp_replace(name, "-", " ")))
-
-
 def contains_any(text, words) -> Column:
     out = F.lit(False)
     for w in words:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-SPACE = b"\x00\t\n\x0c\r "
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*|\(|<[0-9A-Fa-f\s]*>|[-+.\d]+|[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
 OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
