@@ -284,3 +284,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == before
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_equals_its_stages_in_sql_and_loops(spark):
+    """All of run()'s rows against SQL for the first four stages, and a tokenizer and a loop for the last."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm import oracles, tokens
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE TABLE {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    keep = lambda sql: con.execute(f"CREATE OR REPLACE TABLE documents AS {sql}")
+    sizes = [con.execute("SELECT count(*) FROM documents").fetchone()[0]]
+    texts = oracles.OP7.replace("sha256(coalesce(kept, ''))", "coalesce(kept, '')")
+    assert texts != oracles.OP7
+    for sql in (
+        f"SELECT d.* FROM documents d JOIN ({oracles.OP9}) q USING (doc_id) WHERE q.kept",
+        f"SELECT d.* FROM documents d JOIN ({oracles.OP10}) q USING (doc_id) WHERE component_id = doc_id",
+        f"SELECT d.* REPLACE (CASE WHEN n_removed > 0 THEN kept_sha256 ELSE text END AS text) FROM documents d JOIN ({texts}) q USING (doc_id) WHERE n_removed = 0 OR kept_sha256 <> ''",
+        f"SELECT d.* FROM documents d JOIN ({oracles.OP4}) q USING (doc_id) WHERE n_hit = 0",
+    ):
+        keep(sql)
+        sizes.append(con.execute("SELECT count(*) FROM documents").fetchone()[0])
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4] > 0
+    rows = con.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    tokenizer, want = Tokenizer.from_file(tokens.default_path()), set()
+    for (doc_id, _), e in zip(rows, tokenizer.encode_batch([t for _, t in rows], add_special_tokens=False)):
+        ids, at = [*e.ids, 2], 0
+        while at < len(ids):
+            left = len(ids) - at
+            length = 4096 if left >= 4096 else 1 << left.bit_length() - 1
+            want.add((doc_id, at, length, zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()), len(ids)))
+            at += length
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
+
+
+def test_buckets_of_sequences_are_folders(spark, tmp_path):
+    from quillgraph.llm import packing
+
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, None)], "doc_id long, text string")
+    packing.write_buckets(packing.pack_documents(docs), str(tmp_path / "s"))
+    lengths = {int(p.name.split("=")[1]) for p in (tmp_path / "s").glob("length=*")}
+    read = spark.read.parquet(str(tmp_path / "s"))
+    assert 1 in lengths and read.count() == packing.pack_documents(docs).count() and all(len(r.ids) == r.length for r in read.collect())
