@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE = threading.local()
+
+
+def made() -> list[str]:
+    """Paths that this thread has given out, in order."""
+    if not hasattr(_MADE, "paths"):
+        _MADE.paths = []
+    return _MADE.paths
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    made().append(path)
+    return path
+
+
+def sweep(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes what was written to paths given out from the since-th on, but for ``keep``: for callers that have
+    written all results that still read it."""
+    delete(spark, *[p for p in made()[since:] if p not in keep])
+    made()[since:] = [p for p in made()[since:] if p in keep]
 
 
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> tuple[DataFrame, str]:

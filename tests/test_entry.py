@@ -44,6 +44,15 @@ def test_graphml_files_are_one_document(spark, tmp_path):
     assert any(d.text == 'a < b & "c"' for d in tree.iter(f"{space}data"))
 
 
+def test_sweeping_keeps_what_is_named(spark):
+    from quillgraph.sources import storage
+
+    since = len(storage.made())
+    (a, kept), (b, gone) = (storage.written(spark.range(n), "swept") for n in (3, 4))
+    storage.sweep(spark, since, kept)
+    assert storage.exists(spark, kept) and not storage.exists(spark, gone) and a.count() == 3 and storage.made()[since:] == [kept]
+
+
 def test_every_query_has_sql():
     assert sorted(registry.queries()) == sorted(registry.oracle_sql())
 
