@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, jaccard, packing, quality, substring
 from quillgraph.llm.base import delete, table, written
+from quillgraph.sources.storage import made, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences. When a stage's table is written, what its operator wrote on the way and the table before go."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        since = len(made())
         docs, path = written(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, path)
         if before is not None:
             delete(spark, before)
         before = path
