@@ -260,7 +260,8 @@ def test_toxicity_without_both_labels(spark, labels):
 def test_registered_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    for t in ("benchmark", "conversations", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, folder)
         result = con.execute(sql)
