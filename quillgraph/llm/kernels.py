@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(lane)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * GROUP)
+        size = max(n, GROUP + 1)
         base = _BASES[lane]
         inverse = pow(base, -1, 1 << 64)
         with np.errstate(over="ignore"):

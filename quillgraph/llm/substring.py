@@ -86,7 +86,7 @@ def sender(bits: int, width: int, batch_no: int):
         known[order[~send]] = True
         rows = [(block % (1 << bits), block, SELF, doc_id.astype("<i8").tobytes(), np.concatenate(tags).astype("<i8").tobytes(), n.astype("<i8").tobytes(), np.packbits(known).tobytes())]
         h, check, owner, place = h[send], check[send], owner[send], order[send]
-        key = (h & LOW48) << np.uint64(8) | check
+        key = (h & LOW48) << np.uint64(8) | check.astype(np.uint64)
         for bucket, s in by_bucket(h, bits):
             # a bucket's keys are sorted by its own low bits
             o = np.argsort(key[s], kind="stable")
@@ -106,7 +106,7 @@ def sender(bits: int, width: int, batch_no: int):
             for i, j, buf, offsets in K.groups(batch.column(2)):
                 counts, (one, two) = K.word_hashes(buf, offsets, K.SPACED, lanes=2)
                 _, start = K.whole_windows(counts, width)
-                own = (doc_ids[i:j], tags[i:j], np.maximum(counts - width + 1, 0), K.window_hashes(one, width, 0)[start], K.window_hashes(two, width, 1)[start] & np.uint64(255))
+                own = (doc_ids[i:j], tags[i:j], np.maximum(counts - width + 1, 0), K.window_hashes(one, width, 0)[start], (K.window_hashes(two, width, 1)[start] & np.uint64(255)).astype(np.uint8))
                 if n and n + len(start) > BLOCK_ENTRIES:
                     yield from flush(batch_no << 48 | part << 24 | k, *held)
                     held, n, k = ([], [], [], [], []), 0, k + 1

@@ -106,11 +106,15 @@ class WordEncoder:
         if self.letters:
             self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        # each word is encoded once, so the model's own cache would only take memory
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.table = WordTable()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
@@ -148,7 +152,7 @@ class WordEncoder:
         lengths = self.length[at].astype(np.int64)
         until = np.cumsum(lengths)
         source = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.begin[at] - (until - lengths), lengths)
-        return self.flat[source], until
+        return self.flat[source].astype(np.uint32), until
 
     def _add(self, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Learns distinct words. One that ends in a stop or comma after an ASCII letter is put together of two."""
