@@ -54,7 +54,8 @@ def entities_of(spark: SparkSession, folder: str, args: DataFrame) -> DataFrame:
     return names.join(counts, "entity_id", "left").select("entity_id", "canonical_name", "type", F.coalesce("aliases", F.array("canonical_name")).alias("aliases"), *zero, F.col("first_seen").cast("long").alias("first_seen"))
 
 
-_BUILT: dict[tuple, tuple[Graph, str]] = {}
+#: By application, folder and stamp: schema and path of each table.
+_BUILT: dict[tuple, dict[str, tuple]] = {}
 
 
 def stamp(spark: SparkSession, folder: str) -> tuple:
@@ -67,16 +68,28 @@ def stamp(spark: SparkSession, folder: str) -> tuple:
     return tuple(out)
 
 
+def built(spark: SparkSession, folder: str) -> dict[str, tuple]:
+    tables: dict[str, tuple] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        found, path = storage.written(df, name)
+        tables[name] = (found.schema, path)
+        return found
+
+    args = keep("arguments", arguments(spark, folder))
+    events = keep("events", events_of(args).sortWithinPartitions("event_id"))
+    keep("edges", graph.build_edges(args).repartitionByRange("source_id").sortWithinPartitions("source_id", "event_id"))
+    entities = keep("entities", entities_of(spark, folder, args))
+    keep("aliases", kgquery.alias_index(entities))
+    for name, df in zip(("ranks", "counts"), kgquery.order_index(events)):
+        keep(name, df)
+    return tables
+
+
 def graph_of(spark: SparkSession, folder: str) -> Graph:
+    """The graph of a folder's tables, read from where it was written; built where it wasn't, or where that is gone."""
     key = (spark.sparkContext.applicationId, folder, stamp(spark, folder))
-    if key in _BUILT and storage.exists(spark, _BUILT[key][1]):
-        return _BUILT[key][0]
-    args, path = storage.written(arguments(spark, folder), "arguments")
-    events, _ = storage.written(events_of(args).sortWithinPartitions("event_id"), "events")
-    edges, _ = storage.written(graph.build_edges(args).repartitionByRange("source_id").sortWithinPartitions("source_id", "event_id"), "edges")
-    entities, _ = storage.written(entities_of(spark, folder, args), "entities")
-    aliases, _ = storage.written(kgquery.alias_index(entities), "aliases")
-    ranked, counts = kgquery.order_index(events)
-    index = storage.written(ranked, "ranks")[0], storage.written(counts, "counts")[0]
-    _BUILT[key] = Graph(entities, events, edges, args, index, aliases), path
-    return _BUILT[key][0]
+    if key not in _BUILT or not all(storage.exists(spark, path) for _, path in _BUILT[key].values()):
+        _BUILT[key] = built(spark, folder)
+    read = {name: spark.read.schema(schema).parquet(path) for name, (schema, path) in _BUILT[key].items()}
+    return Graph(read["entities"], read["events"], read["edges"], read["arguments"], (read["ranks"], read["counts"]), read["aliases"])
