@@ -35,10 +35,10 @@ MIX, FREQ = 1 << MIX_BITS, 1 << FREQ_BITS
 SIZE_1, SIZE_2 = 1 << 11, 1 << 13
 #: Starting counts of (order-2 hit, order-1 hit, neither) by kind of context.
 PRIOR = np.array([[0, 0, 8], [1, 1, 6], [4, 1, 4], [2, 1, 5]], np.int64)
-U32, ONE = np.uint64(32), np.uint64(1)
+U16, U32, ONE = np.uint64(16), np.uint64(32), np.uint64(1)
 #: Bits of a plain id's interval, and of a mixed prediction's.
 RAW, MIXED = np.uint64(16), np.uint64(MIX_BITS + FREQ_BITS)
-LOW32 = np.uint64(0xFFFFFFFF)
+LOW16, LOW32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
 
 
 class Model:
@@ -47,6 +47,7 @@ class Model:
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
         self.counts = np.zeros((lanes, 4, 3), np.int64)
+        self.one, self.two = np.empty(lanes * SIZE_1, np.uint16), np.empty(lanes * SIZE_2, np.uint16)
 
     def learn(self, seen: np.ndarray) -> None:
         """seen: (t, L) ids, in order of time."""
@@ -63,15 +64,18 @@ class Model:
         begin = np.cumsum(kinds) - kinds
         total = np.cumsum(freq)
         used = np.add.reduceat(freq, begin)
-        #: entries by lane: the escape first, then the ids with their frequencies; one more at the end
+        #: entries by lane: the escape first, then the ids with their frequencies
         self.begin = begin + self.lanes
         own = np.arange(len(keys)) + lane + 1
-        self.ids, self.cum, self.freq = (np.zeros(len(keys) + lanes + 1, np.uint32) for _ in range(3))
-        self.freq[-1] = 1  # an entry that changes nothing, for events that need none
+        self.ids, self.freq = (np.zeros(len(keys) + lanes, np.uint16) for _ in range(2))
         self.ids[own] = keys & np.uint32(0xFFFF)
-        self.cum[own], self.freq[own] = total - freq - (total - freq)[begin][lane], freq
-        self.cum[self.begin], self.freq[self.begin] = used, FREQ - used
-        self.one, self.two = np.full(lanes * SIZE_1, NONE, np.uint16), np.full(lanes * SIZE_2, NONE, np.uint16)
+        self.freq[own], self.freq[self.begin] = freq, FREQ - used
+        #: cum, freq and id of an entry in one number, so that one look-up finds the three
+        cum = np.empty(len(self.ids), np.uint64)
+        cum[own], cum[self.begin] = total - freq - (total - freq)[begin][lane], used
+        self.packed = (cum << U32) | (self.freq.astype(np.uint64) << U16) | self.ids
+        self.one.fill(NONE)
+        self.two.fill(NONE)
         # of equal places the last one stays: assignment goes in order of time
         wide = seen.astype(np.uint32)
         self.one[self.lanes * SIZE_1 + hash_1(wide[:-1])] = seen[1:]
@@ -80,8 +84,8 @@ class Model:
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         """Entries of each lane, and each entry's place in its lane."""
-        size = np.append(self.begin[1:], len(self.ids) - 1) - self.begin
-        return size, np.arange(len(self.ids) - 1) - np.repeat(self.begin, size)
+        size = np.append(self.begin[1:], len(self.ids)) - self.begin
+        return size, np.arange(len(self.ids)) - np.repeat(self.begin, size)
 
     def slots(self) -> np.ndarray:
         """(L * FREQ) entry within its lane, 0 for the escape, of each frequency slot."""
@@ -129,14 +133,24 @@ def segments(n: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
+def narrowed(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Widths of intervals of 32 bits or less, cut where one goes across a border of 32-bit words."""
+    cross = ((low & LOW32) + wide > LOW32 + ONE).nonzero()[0]
+    if len(cross):
+        wide[cross] = (~low[cross] + ONE) & LOW32
+    return wide
+
+
 class Writer:
     """Range coders in step. The interval is [low, low + range) of 64 bits; whole 32-bit words leave it."""
 
     def __init__(self, lanes: int, n: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, n // 2 + 4), np.uint32)  # 16 bits an id at first; see reserve
-        self.used = np.zeros(lanes, np.int64)
+        self.room = n // 2 + 4  # words a lane, 16 bits an id at first; see reserve
+        self.out = np.zeros(lanes * self.room, np.uint32)
+        self.begin = np.arange(lanes) * self.room
+        self.at = self.begin.copy()
 
     def put(self, cum, freq, bits: np.uint64, lanes=None) -> None:
         low, wide = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
@@ -146,11 +160,11 @@ class Writer:
         small = (wide <= LOW32).nonzero()[0]
         if len(small):
             l, w = low[small], wide[small]
-            cross = ((l ^ (l + (w - np.uint64(1)))) >> U32) != 0
-            w = np.where(cross, (~l + np.uint64(1)) & LOW32, w)
+            w = narrowed(l, w)
             who = small if lanes is None else lanes[small]
-            self.out[who, self.used[who]] = (l >> U32).astype(np.uint32)
-            self.used[who] += 1
+            at = self.at[who]
+            self.out[at] = l >> U32
+            self.at[who] = at + 1
             low[small], wide[small] = l << U32, w << U32
         if lanes is None:
             self.low, self.range = low, wide
@@ -158,25 +172,31 @@ class Writer:
             self.low[lanes], self.range[lanes] = low, wide
 
     def reserve(self, words: int) -> None:
-        if int(self.used.max(initial=0)) + words > self.out.shape[1]:
-            self.out = np.concatenate((self.out, np.zeros((len(self.out), max(words, self.out.shape[1] // 2)), np.uint32)), axis=1)
+        used = self.at - self.begin
+        if int(used.max(initial=0)) + words > self.room:
+            lanes, room = len(used), self.room
+            self.room += max(words, room // 2)
+            out = np.zeros((lanes, self.room), np.uint32)
+            out[:, :room] = self.out.reshape(lanes, room)
+            self.out, self.begin = out.ravel(), np.arange(lanes) * self.room
+            self.at = self.begin + used
 
     def finish(self) -> list[np.ndarray]:
         self.reserve(2)
         for shift in (U32, np.uint64(0)):
-            self.out[np.arange(len(self.used)), self.used] = ((self.low >> shift) & LOW32).astype(np.uint32)
-            self.used += 1
-        return [row[:k] for row, k in zip(self.out, self.used)]
+            self.out[self.at] = (self.low >> shift) & LOW32
+            self.at += 1
+        return [self.out[a:b] for a, b in zip(self.begin, self.at)]
 
 
 class Reader:
     def __init__(self, words: list[np.ndarray]):
         lanes = len(words)
         self.begin = np.cumsum([0] + [len(w) for w in words])[:-1]
-        self.words = np.concatenate([*words, np.zeros(2, np.uint32)]).astype(np.uint64)
+        self.words = np.concatenate([*words, np.zeros(2, np.uint32)])
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.code = self.words[self.begin] << U32 | self.words[self.begin + 1]
+        self.code = self.words[self.begin].astype(np.uint64) << U32 | self.words[self.begin + 1]
         self.at = self.begin + 2
 
     def value(self, bits: np.uint64, lanes=None) -> np.ndarray:
@@ -192,11 +212,11 @@ class Reader:
         small = (wide <= LOW32).nonzero()[0]
         if len(small):
             l, w = low[small], wide[small]
-            cross = ((l ^ (l + (w - np.uint64(1)))) >> U32) != 0
-            w = np.where(cross, (~l + np.uint64(1)) & LOW32, w)
+            w = narrowed(l, w)
             who = small if lanes is None else lanes[small]
-            self.code[who] = self.code[who] << U32 | self.words[np.minimum(self.at[who], len(self.words) - 1)]
-            self.at[who] += 1
+            at = self.at[who]
+            self.code[who] = self.code[who] << U32 | self.words.take(at, mode="clip")
+            self.at[who] = at + 1
             low[small], wide[small] = l << U32, w << U32
         if lanes is None:
             self.low, self.range = low, wide
@@ -207,20 +227,22 @@ class Reader:
 def _intervals(model: Model, lanes: np.ndarray, local: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray):
     """Of (s, l) ids after two others: start and width of their interval, whether the plain id follows, and (lane, kind, event)."""
     two, one, kind = model.predict(lanes * SIZE_2, lanes * SIZE_1, before, last)
-    event = np.where((own == two) & (two != NONE), 0, np.where((own == one) & (one != NONE), 1, 2))
-    at = (lanes * 4 + kind) * 3 + event
-    place = local[lanes - lanes[0], own]
-    other = event == 2
-    entry = np.where(other, model.begin[lanes] + place, len(model.ids) - 1)
+    other = ((own != two) | (two == NONE)) & ((own != one) | (one == NONE))
+    at = (lanes * 4 + kind) * 3 + np.where(other, np.int64(2), (own != two) | (two == NONE))
+    place = local.take(own + ((lanes - lanes[0]) << 16))
+    entry = model.packed.take(model.begin[lanes] + place)
     width = model.width.take(at)
-    return model.start.take(at) + width * model.cum.take(entry), width * model.freq.take(entry), other & (place == 0), at
+    start = model.start.take(at)
+    start += width * np.where(other, (entry >> U32).astype(np.uint32), np.uint32(0))
+    width *= np.where(other, (entry >> U16).astype(np.uint16), np.uint16(1))
+    return start, width, other & (place == 0), at
 
 
 def _encode(ids: np.ndarray) -> list[np.ndarray]:
     """ids: (n, L). Words of each lane."""
     n, lanes = ids.shape
     out, model = Writer(lanes, n), Model(lanes)
-    local = np.zeros((STEP_LANES, 1 << 16), np.uint16)
+    local = np.zeros(STEP_LANES << 16, np.uint16)
     for a, b in segments(n):
         if a == 0:
             out.reserve(2 * b + 2)
@@ -235,12 +257,14 @@ def _encode(ids: np.ndarray) -> list[np.ndarray]:
             own = model.lanes[g : g + STEP_LANES]
             at = np.arange(model.begin[g], model.begin[own[-1]] + size[own[-1]])
             at = at[place[at] > 0]  # the escape has no id
-            local[lane_of[at] - g, model.ids[at]] = place[at]
+            known = ((lane_of[at] - g) << 16) + model.ids[at]
+            local[known] = place[at]
             s = slice(g, g + len(own))
             near = ids[a - 2 : b, s].astype(np.uint32)
             cum[:, s], width[:, s], raw[:, s], events = _intervals(model, own, local, near[2:], near[1:-1], near[:-2])
-            model.note(events, own)
-            local[lane_of[at] - g, model.ids[at]] = 0
+            if b < n:  # nothing is weighed after the last segment
+                model.note(events, own)
+            local[known] = 0
         for t in range(b - a):
             if t % 64 == 0:
                 out.reserve(64 * 2 + 2)  # an id gives two words at most
@@ -265,32 +289,44 @@ def _decode(words: list[np.ndarray], n: int) -> np.ndarray:
                 ids[t] = v
             continue
         model.learn(ids[:a])
-        slots, start_2, start_3 = model.slots(), model.start[1::3].copy(), model.start[2::3].copy()
-        events = np.zeros((b - a, lanes), np.int32)
+        slots, start_2, start_3, factor = model.slots(), model.start[1::3].copy(), model.start[2::3].copy(), model.width[2::3].copy()
+        events = np.zeros((b - a if b < n else 0, lanes), np.int32)
         before, last = ids[a - 2].astype(np.uint32), ids[a - 1].astype(np.uint32)
         for t in range(a, b):
             two, one, kind = model.predict(base_2, base_1, before, last)
             context = lane_4 + kind
             v = code.value(MIXED).astype(np.uint32)
-            other = v >= start_3.take(context)
-            event = (v >= start_2.take(context)).astype(np.int64) + other
-            at = context * 3 + event
-            start, width = model.start.take(at), model.width.take(at)
-            place = slots.take(slot_base + np.minimum((v - start) // width, FREQ - 1))
-            entry = np.where(other, model.begin + place, len(model.ids) - 1)
-            code.take(start + width * model.cum.take(entry), width * model.freq.take(entry))
-            now = np.where(other, model.ids.take(entry), np.where(event == 0, two, one))
+            from_2, from_3, width = start_2.take(context), start_3.take(context), factor.take(context)
+            other, second = v >= from_3, v >= from_2
+            # lanes whose event is a hit look up some entry too, and leave it
+            place = slots.take(slot_base + np.minimum((v - from_3) // width, np.uint32(FREQ - 1)))
+            entry = model.packed.take(model.begin + place)
+            start = np.where(other, from_3 + width * (entry >> U32).astype(np.uint32), from_2 * second)
+            width *= ((entry >> U16) & LOW16).astype(np.uint32)
+            code.take(start, np.where(other, width, np.where(second, from_3 - from_2, from_2)))
+            now = np.where(other, entry.astype(np.uint16), np.where(second, one, two)).astype(np.uint32)
             who = (other & (place == 0)).nonzero()[0]
             if len(who):
                 v = code.value(RAW, who)
                 code.take(v, ONE, who)
                 now[who] = v
-            ids[t], events[t - a] = now, at
+            ids[t] = now
+            if b < n:  # nothing is weighed after the last segment
+                events[t - a] = context * 3 + second + other
             before, last = last, now
-        model.note(events, model.lanes)
+        if b < n:
+            model.note(events, model.lanes)
     return ids
 
 
+def turned(table: np.ndarray) -> np.ndarray:
+    """A transposed copy, in strips: column by column, each number would take a cache line of its own."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for k in range(0, len(table), 32):
+        out[:, k : k + 32] = table[k : k + 32].T
+    return out
+
+
 def checksum(size: int, length: int, payload: bytes) -> int:
     return zlib.crc32(payload, zlib.crc32(struct.pack("<III", size, length, len(payload) // 4)))
 
@@ -308,7 +344,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         laid = np.zeros(lanes * length, np.uint16)
         laid[: len(part)] = part
         sizes = np.diff(np.append(np.arange(0, len(part), length), len(part)))
-        for size, words in zip(sizes, _encode(np.ascontiguousarray(laid.reshape(lanes, length).T))):
+        for size, words in zip(sizes, _encode(turned(laid.reshape(lanes, length)))):
             payload = words.astype("<u4").tobytes()
             out.append(HEAD.pack(MAGIC, int(size), length, len(words), checksum(int(size), length, payload)) + payload)
     return out
@@ -327,7 +363,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         own = [i for i, h in enumerate(heads) if h[1] == length]
         for k in range(0, len(own), LANES):
             part = own[k : k + LANES]
-            ids = _decode([np.frombuffer(blocks[i], "<u4", offset=HEAD.size) for i in part], length)
+            ids = turned(_decode([np.frombuffer(blocks[i], "<u4", offset=HEAD.size) for i in part], length))
             for lane, i in enumerate(part):
-                out[i] = ids[: heads[i][0], lane]
+                out[i] = ids[lane, : heads[i][0]]
     return np.concatenate(out) if out else np.zeros(0, np.uint16)

@@ -30,18 +30,37 @@ def default_path(name: str = TOKENIZER) -> str:
 #: The splitter's characters for bytes: printable Latin-1 stands for itself, the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+BYTE_CODES = np.array([ord(BYTE_CHARS[b]) for b in range(256)], "<u4")
+
+#: Bytes after 0xC3 that make a lower-case letter of Latin-1 with it, and those that make a letter.
+_LOWER_C3, _LETTER_C3 = np.zeros(256, bool), np.zeros(256, bool)
+_LOWER_C3[0x9F:0xC0] = _LETTER_C3[0x80:0xC0] = True
+_LOWER_C3[0xB7] = _LETTER_C3[0xB7] = _LETTER_C3[0x97] = False
+_SMALL = np.zeros(256, bool)
+_SMALL[0x61:0x7B] = True
+#: Marks that may be split off a word's end; special tokens begin with ``<|`` and end with ``|>``.
+MARKS = np.zeros(256, bool)
+MARKS[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in "<|>"]] = True
+MOST_MARKS = 8
+
+
+def plain_bytes(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a-z or a lower-case letter of Latin-1, which are pieces as they stand."""
+    out = _SMALL[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[_LOWER_C3[buf[lead + 1]]]
+    out[lead] = out[lead + 1] = True
+    return out
 
 
 def _piece(word: bytes) -> str | None:
-    """What the model gets for a word that is one piece and that nothing normalises: lower-case Latin letters only."""
-    if word.isalpha():
-        return word.decode() if word.islower() else None
+    """What the model gets for a word that is one piece and that only lower-casing normalises: Latin letters."""
     try:
         text = word.decode()
     except UnicodeDecodeError:
         return None
-    if text.isalpha() and max(text) < "\u0250" and text == text.lower():
-        return word.decode("latin-1").translate(BYTE_CHARS)
+    if text.isalpha() and (max(text) < "\u0100" or (max(text) < "\u0250" and text == text.lower())):
+        return text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
     return None
 
 
@@ -130,21 +149,32 @@ class WordEncoder:
         self.used += len(ids)
         self.table.add(hashes)
 
-    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Encodes new words: plain ones by the model, others many as one text, where ids go to words by their offsets."""
-        pieces = [_piece(w) for w in words] if self.letters else [None] * len(words)
-        plain = np.array([p is not None for p in pieces], bool)
-        model = self.tokenizer.model
-        # one flat list: a word's last id is one that ends words
-        ids = np.array([t.id for p in pieces if p is not None for t in model.tokenize(p)], np.uint32)
-        self._keep(ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), hashes[plain])
+        plain = np.zeros(len(hashes), bool)
+        if self.letters:
+            other = np.concatenate(([0], np.cumsum(~plain_bytes(buf), dtype=np.int32)))
+            # a text that is no UTF-8 may cut a letter in two, whose halves then stand in two words
+            plain = (other[starts] == other[ends]) & (buf[starts] & 0xC0 != 0x80) & (buf[ends - 1] != 0xC3)
+            shown = BYTE_CODES[buf].tobytes().decode("utf-32-le")
+            pieces = [shown[a:b] for a, b in zip(starts[plain].tolist(), ends[plain].tolist())]
+            left = np.flatnonzero(~plain)
+            more = [_piece(raw[a:b]) for a, b in zip(starts[left].tolist(), ends[left].tolist())]
+            found = left[[p is not None for p in more]] if len(left) else left
+            pieces += [p for p in more if p is not None]
+            order = np.concatenate((np.flatnonzero(plain), found))
+            tokenize = self.tokenizer.model.tokenize
+            # one flat list: a word's last id is one that ends words
+            ids = np.array([t.id for p in pieces for t in tokenize(p)], np.uint32)
+            self._keep(ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), hashes[order])
+            plain[found] = True
         rest = np.flatnonzero(~plain)
         for at in range(0, len(rest), AT_ONCE):
             own = rest[at : at + AT_ONCE]
-            part = [words[i].decode("utf-8", "replace") for i in own]
+            part = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[own].tolist(), ends[own].tolist())]
             whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            owner = np.searchsorted(ends, np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids)), "right")
+            until = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            owner = np.searchsorted(until, np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids)), "right")
             self._keep(np.array(whole.ids, np.uint32), np.bincount(owner, minlength=len(part)), hashes[own])
 
     def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,26 +184,38 @@ class WordEncoder:
         source = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.begin[at] - (until - lengths), lengths)
         return self.flat[source].astype(np.uint32), until
 
-    def _add(self, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        """Learns distinct words. One that ends in a stop or comma after an ASCII letter is put together of two."""
-        last = buf[ends - 1]
-        before = buf[np.maximum(ends - 2, 0)]
-        tail = (ends - starts > 1) & ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122) & self.letters
-        marks = np.frombuffer(b",.", np.uint8)
-        mark_hash = np.maximum(K.hash_spans(marks, np.array([0, 1]), np.array([1, 2]), 0), np.uint64(1))
-        stem_hash = np.maximum(K.hash_spans(buf, starts[tail], ends[tail] - 1, 0), np.uint64(1))
-        every = np.concatenate((hashes[~tail], stem_hash, mark_hash))
-        begin = np.concatenate((starts[~tail], starts[tail], [0, 0]))
-        end = np.concatenate((ends[~tail], ends[tail] - 1, [0, 0]))
+    def _stems(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each word's marks at its end begin, if a Latin letter stands before them, with which no piece goes on; else its end."""
+        stem = ends.copy()
+        if not self.letters:
+            return stem
+        on = np.arange(len(ends))
+        for _ in range(MOST_MARKS):
+            on = on[(stem[on] - starts[on] > 1) & MARKS[buf[stem[on] - 1]]]
+            if not len(on):
+                break
+            stem[on] -= 1
+        cut = np.flatnonzero(stem < ends)
+        last, before = buf[stem[cut] - 1], buf[np.maximum(stem[cut] - 2, 0)]
+        letter = _SMALL[last] | ((stem[cut] - starts[cut] > 1) & (before == 0xC3) & _LETTER_C3[last])
+        stem[cut[~letter]] = ends[cut[~letter]]
+        return stem
+
+    def _add(self, buf: np.ndarray, raw: bytes, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Learns distinct words. One that ends in marks after a Latin letter is put together of two."""
+        stem = self._stems(buf, starts, ends)
+        two = stem < ends
+        begin = np.concatenate((starts[~two], starts[two], stem[two]))
+        end = np.concatenate((ends[~two], stem[two], ends[two]))
+        halves = np.maximum(K.hash_spans(buf, begin[len(hashes) - two.sum() :], end[len(hashes) - two.sum() :], 0, sums), np.uint64(1))
+        every = np.concatenate((hashes[~two], halves))
         distinct, first = np.unique(every, return_index=True)
         new = self.table.find(distinct) < 0
-        distinct, first = distinct[new], first[new]
-        marked = {len(every) - 2: b",", len(every) - 1: b"."}
-        self._learn([marked.get(i) or raw[a:b] for i, a, b in zip(first.tolist(), begin[first].tolist(), end[first].tolist())], distinct)
-        if len(stem_hash):
-            two = np.stack((self.table.find(stem_hash), self.table.find(mark_hash[(last[tail] == 46).astype(np.int64)])), axis=1).ravel()
-            ids, until = self._gathered(two)
-            self._keep(ids, np.diff(until[1::2], prepend=0), hashes[tail])
+        first = first[new]
+        self._learn(buf, raw, begin[first], end[first], distinct[new])
+        if len(halves):
+            ids, until = self._gathered(self.table.find(halves).reshape(2, -1).T.ravel())
+            self._keep(ids, np.diff(until[1::2], prepend=0), hashes[two])
 
     def _group(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = buf.tobytes()
@@ -181,18 +223,19 @@ class WordEncoder:
             buf = K.LOWER[buf]
             raw = buf.tobytes()
         starts, ends = K.spans(buf, offsets, K.SPACED)
-        hashes = np.maximum(K.hash_spans(buf, starts, ends, 0), np.uint64(1))
+        sums = K.running_sums(buf, 0)
+        hashes = np.maximum(K.hash_spans(buf, starts, ends, 0, sums), np.uint64(1))
         at = self.table.find(hashes)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             fresh, first = np.unique(hashes[missing], return_index=True)
-            if self.table.used + 2 * len(fresh) + 2 > CACHE_WORDS:  # with their stems
+            if self.table.used + 3 * len(fresh) > CACHE_WORDS:  # with their stems and marks
                 self._clear()
                 missing = np.arange(len(hashes))
                 fresh, first = np.unique(hashes, return_index=True)
             first = missing[first]
-            self._add(buf, raw, starts[first], ends[first], fresh)
-            at = self.table.find(hashes)
+            self._add(buf, raw, sums, starts[first], ends[first], fresh)
+            at[missing] = self.table.find(hashes[missing])
         ids, until = self._gathered(at)
         cuts = np.concatenate(([0], until))[np.searchsorted(starts, offsets)]
         return ids, np.diff(cuts)
