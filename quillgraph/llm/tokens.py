@@ -220,8 +220,11 @@ class WordEncoder:
     def _group(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = buf.tobytes()
         if self.lower and b"<|" not in raw:  # special tokens are found before the normaliser lower-cases
-            buf = K.LOWER[buf]
-            raw = buf.tobytes()
+            # a mark from U+0300 on may compose with a small letter only, as in J and a caron: those are left to the normaliser
+            marked = np.flatnonzero(buf[1:] >= 0xCC)
+            low = K.LOWER[buf]
+            low[marked] = buf[marked]
+            buf, raw = low, low.tobytes()
         starts, ends = K.spans(buf, offsets, K.SPACED)
         sums = K.running_sums(buf, 0)
         hashes = np.maximum(K.hash_spans(buf, starts, ends, 0, sums), np.uint64(1))

@@ -54,3 +54,10 @@ def test_halves_of_a_letter_are_no_letter():
     raw = [b"word\xc3", b"\xa9word", b"caf\xc3\xa9"]
     ids, sizes = encoder.encode_group(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in raw]
+
+
+def test_capitals_with_marks_are_composed_before_they_are_lowered():
+    """J and a caron stay two characters, a small j and a caron become one: the normaliser composes first."""
+    encoder, whole = tokens.WordEncoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    texts = ["J̌", "aJ̌b, H̱ T̈! W̊ Y̊", "ǰ J̣̌ İ É.", "J", "̌x"]
+    assert coded(encoder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
