@@ -149,8 +149,13 @@ class WordEncoder:
         self.used += len(ids)
         self.table.add(hashes)
 
-    def _learn(self, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Encodes new words: plain ones by the model, others many as one text, where ids go to words by their offsets."""
+        # the words' own bytes, one after the other: most of a group is known
+        sizes = ends - starts
+        until = np.cumsum(sizes)
+        buf = buf[np.arange(int(until[-1]) if len(until) else 0) + np.repeat(starts - (until - sizes), sizes)]
+        starts, ends, raw = until - sizes, until, buf.tobytes()
         plain = np.zeros(len(hashes), bool)
         if self.letters:
             other = np.concatenate(([0], np.cumsum(~plain_bytes(buf), dtype=np.int32)))
@@ -173,8 +178,8 @@ class WordEncoder:
             own = rest[at : at + AT_ONCE]
             part = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[own].tolist(), ends[own].tolist())]
             whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            until = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            owner = np.searchsorted(until, np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids)), "right")
+            cuts = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            owner = np.searchsorted(cuts, np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids)), "right")
             self._keep(np.array(whole.ids, np.uint32), np.bincount(owner, minlength=len(part)), hashes[own])
 
     def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +206,7 @@ class WordEncoder:
         stem[cut[~letter]] = ends[cut[~letter]]
         return stem
 
-    def _add(self, buf: np.ndarray, raw: bytes, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _add(self, buf: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Learns distinct words. One that ends in marks after a Latin letter is put together of two."""
         stem = self._stems(buf, starts, ends)
         two = stem < ends
@@ -212,19 +217,18 @@ class WordEncoder:
         distinct, first = np.unique(every, return_index=True)
         new = self.table.find(distinct) < 0
         first = first[new]
-        self._learn(buf, raw, begin[first], end[first], distinct[new])
+        self._learn(buf, begin[first], end[first], distinct[new])
         if len(halves):
             ids, until = self._gathered(self.table.find(halves).reshape(2, -1).T.ravel())
             self._keep(ids, np.diff(until[1::2], prepend=0), hashes[two])
 
     def _group(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = buf.tobytes()
-        if self.lower and b"<|" not in raw:  # special tokens are found before the normaliser lower-cases
+        if self.lower and b"<|" not in buf.tobytes():  # special tokens are found before the normaliser lower-cases
             # a mark from U+0300 on may compose with a small letter only, as in J and a caron: those are left to the normaliser
             marked = np.flatnonzero(buf[1:] >= 0xCC)
             low = K.LOWER[buf]
             low[marked] = buf[marked]
-            buf, raw = low, low.tobytes()
+            buf = low
         starts, ends = K.spans(buf, offsets, K.SPACED)
         sums = K.running_sums(buf, 0)
         hashes = np.maximum(K.hash_spans(buf, starts, ends, 0, sums), np.uint64(1))
@@ -237,7 +241,7 @@ class WordEncoder:
                 missing = np.arange(len(hashes))
                 fresh, first = np.unique(hashes, return_index=True)
             first = missing[first]
-            self._add(buf, raw, sums, starts[first], ends[first], fresh)
+            self._add(buf, sums, starts[first], ends[first], fresh)
             at[missing] = self.table.find(hashes[missing])
         ids, until = self._gathered(at)
         cuts = np.concatenate(([0], until))[np.searchsorted(starts, offsets)]

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from tokenizers import Tokenizer
 
+from quillgraph.llm import kernels as K
 from quillgraph.llm import tokens
 
 
@@ -61,3 +62,16 @@ def test_capitals_with_marks_are_composed_before_they_are_lowered():
     encoder, whole = tokens.WordEncoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
     texts = ["J̌", "aJ̌b, H̱ T̈! W̊ Y̊", "ǰ J̣̌ İ É.", "J", "̌x"]
     assert coded(encoder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_hashes_do_not_depend_on_strips(monkeypatch):
+    """Hashes are kept in indexes of earlier sessions: where sums are cut changes none."""
+    buf = np.random.default_rng(4).integers(0, 256, 5000).astype(np.uint8)
+    starts, ends = K.spans(buf, np.array([0, 5000]), K.SPACED)
+    want = [K.hash_spans(buf, starts, ends, lane) for lane in (0, 1)]
+    for strip in (1, 7, 4999, 5000):
+        monkeypatch.setattr(K, "STRIP", strip)
+        assert all(np.array_equal(w, K.hash_spans(buf, starts, ends, lane)) for lane, w in enumerate(want))
+    power = np.array([pow(K._BASES[0], k, 1 << 64) for k in range(50)], object)
+    sums = [sum((int(b) + 1) * p for b, p in zip(buf[:n], power)) % (1 << 64) for n in range(51)]
+    assert K.running_sums(buf[:50], 0).tolist() == sums
