@@ -564,6 +564,6 @@ def answer_dispatch(spark, folder):
     kg = graph_of(spark, folder)
     asked = mixed(spark, folder)
     seeds, _ = storage.written(kgquery.resolve_seeds(asked, kg.aliases).select("qid", "entity_id"), "seeds")
-    matches, _ = storage.written(kgquery.touching(seeds, kg.edges).select("qid", "event_id").distinct().join(kg.events, "event_id"), "matches")
+    matches, _ = storage.written(kgquery.touching(seeds, kg.edges).select("qid", "event_id").distinct().join(kg.events.select("event_id", "ordinal", "type", "participants"), "event_id"), "matches")
     out = resolve.answers(asked.drop("seeds"), seeds, matches, people(kg))
     return out.select("qid", "intent", "answer_type", "rank", "entity_id", "event_id", F.array_join("chain", ",").alias("chain"), "confidence")
