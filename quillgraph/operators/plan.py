@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import contains_any, unicode, words_pattern
+from ..sources import storage
 
 
 def intent(text, rules=lexicon.INTENT_PATTERNS) -> Column:
@@ -58,6 +59,8 @@ def type_rank(kind) -> Column:
 
 
 NOT_WORD = r"(?U)\W+"
+#: Bytes of a table of names, as it lies, up to which it is broadcast.
+SMALL = 4 << 20
 
 
 def words_of(text) -> Column:
@@ -73,12 +76,20 @@ def seeds(questions: DataFrame, aliases: DataFrame, qid: str = "qid", text: str
     """
     first = F.get(words_of(F.col("alias")), 0)
     usable = aliases.where(~F.col("alias").isin(*lexicon.SEED_PRONOUNS)).select("alias", "canonical", type_rank(F.col("type")).alias("_rank"), first.alias("_word")).where("_word is not null")
+    # written, so that its size is known: questions, whose size Spark guesses far too low, must not be what is broadcast
+    usable, _ = storage.written(usable, "names")
     asked = questions.select(F.col(qid).alias("_q"), F.col(text).alias("_text"))
-    met = asked.select("_q", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("_word")).join(usable, "_word")
-    alone = met.where("alias = _word").select("_q", "canonical", "_rank")
+    word = F.explode(F.array_distinct(words_of(F.col("_text")))).alias("_word")
     quoted = F.regexp_replace("alias", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    longer = met.where("alias != _word").join(asked, "_q").where(F.rlike(F.lower("_text"), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))))
-    hits = alone.unionByName(longer.select("_q", "canonical", "_rank")).groupBy("_q", "canonical").agg(F.min("_rank").alias("_rank"))
+    stands = F.rlike(F.lower("_text"), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
+    if storage.plan_bytes(usable) <= SMALL:
+        met = asked.select("_q", "_text", word).join(F.broadcast(usable), "_word")
+        every = met.where((F.col("alias") == F.col("_word")) | stands).select("_q", "canonical", "_rank")
+    else:
+        met = asked.select("_q", word).join(usable.hint("merge"), "_word")
+        longer = met.where("alias != _word").join(asked.hint("merge"), "_q").where(stands)
+        every = met.where("alias = _word").select("_q", "canonical", "_rank").unionByName(longer.select("_q", "canonical", "_rank"))
+    hits = every.groupBy("_q", "canonical").agg(F.min("_rank").alias("_rank"))
     ordered = F.array_sort(F.collect_list(F.struct("_rank", "canonical")))
     return hits.groupBy("_q").agg(F.transform(ordered, lambda x: x["canonical"]).alias("seeds")).withColumnRenamed("_q", qid)
 
@@ -89,7 +100,7 @@ def plans(questions: DataFrame, aliases: DataFrame, qid: str = "qid", text: str
     kind = F.col("intent")
     base = questions.withColumn("intent", intent(q)).select(qid, "intent", target_types(q, kind).alias("targets"), agent_required(q).alias("agent_required"), temporal_order(q).alias("temporal_order"), causal_chain(q).alias("causal_chain"), depth(kind).alias("depth"))
     found = seeds(questions, aliases, qid, text)
-    return base.join(found, qid, "left").withColumn("seeds", F.coalesce("seeds", F.array().cast("array<string>")))
+    return base.join(found.hint("merge"), qid, "left").withColumn("seeds", F.coalesce("seeds", F.array().cast("array<string>")))
 
 
 def death_subject(text) -> Column:

@@ -50,3 +50,49 @@ def test_only_what_is_asked_for_is_built(spark):
     assert [set(t) for t in store._BUILT.values()] == [{"events"}]
     assert sum(r.n for r in links) == sum(len(r.participants) for r in events) == kg.arguments.count()
     assert {(r.entity_id, r.event_id) for r in links} == {(p, r.event_id) for r in events for p in r.participants} and len(links) == len({(r.entity_id, r.event_id) for r in links})
+
+
+def test_questions_are_not_broadcast(spark, monkeypatch):
+    """However small Spark takes the questions for: names are what is broadcast, or nothing where they are many."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import plan
+
+    names = spark.createDataFrame([("karna", "karna", "PERSON"), ("old king", "king", "GROUP"), ("king", "king", "GROUP")], "alias string, canonical string, type string")
+    q = spark.range(50).select(F.col("id").alias("qid"), F.concat(F.lit("Karna and the old king "), F.col("id")).alias("text"))
+    rows = []
+    for small, most in ((plan.SMALL, 1), (0, 0)):
+        monkeypatch.setattr(plan, "SMALL", small)
+        p = plan.plans(q, names)
+        text = p._jdf.queryExecution().executedPlan().toString()
+        assert text.count("BroadcastExchange") == most
+        rows.append(sorted((r.qid, tuple(r.seeds)) for r in p.collect()))
+    assert rows[0] == rows[1] == [(i, ("karna", "king")) for i in range(50)]
+
+
+def test_files_of_a_small_table_are_dealt_out(spark):
+    from quillgraph import registry
+
+    assert registry.queries()["pdf_scan"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_orphans_of_the_queries_are_suppliers(spark, tmp_path):
+    """A customer without an order is an orphan to ``graph.orphans``; the SQL of orphan_check lists suppliers."""
+    import shutil
+
+    from quillgraph import registry
+    from quillgraph.operators import graph
+    from quillgraph.plans import store
+
+    source = "/root/testdata/sf0.001"
+    for t in ("supplier", "part", "orders", "lineitem"):
+        shutil.copy(f"{source}/{t}.parquet", tmp_path / f"{t}.parquet")
+    c = spark.read.parquet(f"{source}/customer.parquet")
+    c.unionByName(c.limit(1).selectExpr("cast(900000 as bigint) c_custkey", "'Customer#000900000' c_name", "c_nationkey", "c_acctbal", "c_mktsegment")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    folder = str(tmp_path)
+    want = sorted(f"S{r.s_suppkey}" for r in spark.read.parquet(f"{source}/supplier.parquet").collect())
+    assert sorted(r.entity_id for r in registry.queries()["orphan_check"](spark, folder).collect()) == want
+    kg = store.graph_of(spark, folder)
+    assert sorted(r.entity_id for r in graph.orphans(kg.entities, kg.edges).collect()) == sorted([*want, "C900000"])
+    report = {r.relation: r.n for r in registry.queries()["kg_sink_scan"](spark, folder).collect()}
+    assert report["report orphans"] == len(want) and report["entities"] == kg.names.count()
