@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from ..sources import storage
 
 PATIENT_ONLY = ("DEATH", "RETREATED")
 
@@ -16,8 +17,9 @@ PATIENT_ONLY = ("DEATH", "RETREATED")
 def roles(matches: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, event_id, ordinal, type, entity_id, role): first person AGENT, second PATIENT; a lone one of a death or retreat is PATIENT."""
     people = entities.where("type = 'PERSON'").select("entity_id", "event_count")
-    each = matches.select("qid", "event_id", "ordinal", "type", F.posexplode("participants").alias("pos", "entity_id")).join(people, "entity_id")
-    once = each.groupBy("qid", "event_id", "ordinal", "type", "entity_id", "event_count").agg(F.min("pos").alias("pos"))
+    each = matches.select("qid", "event_id", "ordinal", "type", F.posexplode(F.array_distinct("participants")).alias("pos", "entity_id")).join(people, "entity_id")
+    # one exchange for both the repeated matches and the ranks
+    once = each.repartition("qid", "event_id").groupBy("qid", "event_id", "ordinal", "type", "entity_id", "event_count").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("qid", "event_id")
     ranked = once.withColumn("r", F.row_number().over(w.orderBy("pos"))).withColumn("n", F.count("*").over(w))
     lone = (F.col("n") == 1) & F.col("type").isin(*PATIENT_ONLY)
@@ -90,7 +92,8 @@ def answers(plans: DataFrame, seeds: DataFrame, matches: DataFrame, entities: Da
     targets, agent_required, temporal_order; ``seeds``: qid, entity_id; ``matches`` as for ``roles``.
     """
     once = matches.dropDuplicates(["qid", "event_id"])
-    with_roles = roles(once, entities)
+    # written: four kinds of answers read it
+    with_roles, _ = storage.written(roles(once, entities), "roles")
     of = lambda intent: seeds.join(plans.where(F.col("intent") == intent).select("qid", "temporal_order"), "qid").select("qid", "entity_id", "temporal_order")
     mine = lambda intent: with_roles.join(plans.where(F.col("intent") == intent).select("qid"), "qid", "left_semi")
     none = F.lit(None).cast("string")

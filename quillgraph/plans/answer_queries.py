@@ -484,8 +484,8 @@ def people(kg):
 def with_roles(spark, folder):
     """Roles in all events of the seeds."""
     kg = graph_of(spark, folder)
-    matches, _ = storage.written(kgquery.fact(seeded(spark, folder, []), kg.edges, kg.events), "matches")
-    return matches, resolve.roles(matches, people(kg))
+    matches, _ = storage.written(kgquery.fact(seeded(spark, folder, []), kg.edges, kg.events).select("qid", "event_id", "ordinal", "type", "participants"), "matches")
+    return matches, storage.written(resolve.roles(matches, people(kg)), "roles")[0]
 
 
 def seeds_of(spark, folder, order=None):
