@@ -62,16 +62,31 @@ def citations(evidence: DataFrame, key: str, rank: str, most: int = 6) -> DataFr
     return found.orderBy("tier", rank, key).limit(most)
 
 
-def sentence_supported(sentence, chunk, actions=lexicon.ACTION_KEYWORDS) -> Column:
-    """One chunk holds all names of a sentence, one of its actions if it has any, and enough of its terms."""
-    low = F.lower(chunk)
+def claims(sentence, actions=lexicon.ACTION_KEYWORDS) -> Column:
+    """(names, actions, terms, need) of a sentence: what a chunk has to hold, and how many of its terms."""
     names = F.transform(F.regexp_extract_all(sentence, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]+)(?![A-Za-z0-9_])"), 1), lambda x: F.lower(x))
     used = F.filter(F.array(*[F.lit(a) for a in actions]), lambda a: F.contains(F.lower(sentence), a))
     found = F.regexp_extract_all(F.lower(sentence), F.lit("([a-zA-Z']+)"), 1)
     n = F.size(F.filter(found, lambda x: (F.length(x) > 3) & ~x.isin(*lexicon.STOPWORDS)))
     need = F.when(n > 0, F.greatest(F.lit(2), F.least(F.lit(4), n))).otherwise(0)
-    overlap = F.size(F.array_intersect(T.key_terms(sentence), T.key_terms(chunk)))
-    return F.forall(names, lambda x: F.contains(low, x)) & ((F.size(used) == 0) | F.exists(used, lambda a: F.contains(low, a))) & (overlap >= need)
+    return F.struct(names.alias("names"), used.alias("actions"), T.key_terms(sentence).alias("terms"), need.alias("need"))
+
+
+def held(chunk) -> Column:
+    """(low, terms) of a chunk, which claims are held against."""
+    return F.struct(F.lower(chunk).alias("low"), T.key_terms(chunk).alias("terms"))
+
+
+def holds(claim, chunk) -> Column:
+    """A chunk (of ``held``) holds all names of a sentence (of ``claims``), one of its actions if it has any, and enough of its terms."""
+    low, used = chunk["low"], claim["actions"]
+    overlap = F.size(F.array_intersect(claim["terms"], chunk["terms"]))
+    return F.forall(claim["names"], lambda x: F.contains(low, x)) & ((F.size(used) == 0) | F.exists(used, lambda a: F.contains(low, a))) & (overlap >= claim["need"])
+
+
+def sentence_supported(sentence, chunk, actions=lexicon.ACTION_KEYWORDS) -> Column:
+    """``holds`` for one sentence and one chunk; of many pairs, ``claims`` and ``held`` are better made once each."""
+    return holds(claims(sentence, actions), held(chunk))
 
 
 def answers_supported(answers: DataFrame, cited: DataFrame, chunks: DataFrame) -> DataFrame:
