@@ -70,13 +70,12 @@ def embed_batches(df: DataFrame, key: str, text: str, connect: Callable[[], Call
 
 
 #: Queries of one scan: what is broadcast, and scored against a batch of vectors at a time.
-QUERY_BYTES, SCORES = 32 << 20, 4 << 20
+QUERY_BYTES, SCORES = 8 << 20, 1 << 19
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows for each query; of equal scores the row with the smaller id.
-    Rows are in order of their ids."""
-    who, rows, found = [], [], []
+def best_of(vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, score) of the k best rows for each query, some queries at a time; of equal scores the row with
+    the smaller id. Rows are in order of their ids."""
     for at in range(0, len(queries), max(1, SCORES // max(1, len(vectors)))):
         scores = queries[at : at + max(1, SCORES // max(1, len(vectors)))] @ vectors.T
         n = min(k, scores.shape[1])
@@ -87,10 +86,7 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -
             best[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :n]
         else:
             best = np.tile(np.arange(n), (len(scores), 1))
-        who.append(np.repeat(np.arange(at, at + len(scores)), n))
-        rows.append(best.ravel())
-        found.append(np.take_along_axis(scores, best, 1).ravel())
-    return np.concatenate(who), np.concatenate(rows), np.concatenate(found)
+        yield np.repeat(np.arange(at, at + len(scores)), n), best.ravel(), np.take_along_axis(scores, best, 1).ravel()
 
 
 def searcher(shared, k: int, names: list[str]):
@@ -104,8 +100,9 @@ def searcher(shared, k: int, names: list[str]):
             if not own.num_rows:
                 continue
             own = own.take(pc.sort_indices(own.column(0)))
-            who, rows, scores = best_of(own.column(0), own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), queries, k)
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(who)), own.column(0).take(pa.array(rows)), pa.array(scores)], names=names)
+            vectors = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            for who, rows, scores in best_of(vectors, queries, k):
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(who)), own.column(0).take(pa.array(rows)), pa.array(scores)], names=names)
 
     return search
 
