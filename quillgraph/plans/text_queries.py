@@ -225,7 +225,8 @@ def pdf_scan(spark, folder):
     """A file of each part: a page of its name, one with a page number only, which goes, and one of its brand, for some empty."""
     make = F.udf(lambda name, brand: bytearray(S.pdf_of([f"Section of {name}", "12", brand])), "binary")
     brand = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand"))
-    files = table(spark, folder, "part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), make("p_name", brand).alias("content"))
+    parts = storage.spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand"))
+    files = parts.select(F.concat(F.lit("f"), "p_partkey").alias("path"), make("p_name", brand).alias("content"))
     return pdf.pages_of(files).select("path", "page_number", "text", "word_count", "has_section_marker")
 
 
